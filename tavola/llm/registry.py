@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, simhash, urls, winnow
+from . import lines, simhash, toxicity, urls, winnow
 
-_MODULES = (lines, simhash, urls, winnow)
+_MODULES = (lines, simhash, toxicity, urls, winnow)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
