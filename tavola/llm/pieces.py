@@ -102,6 +102,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def _suffix_array(codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of all suffixes by their first ``depth`` codes, and the keys (``63 // bits`` codes each) in that order."""
     per = 63 // bits
@@ -236,9 +242,19 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
 class Encoder:
     """Encodes batches; keeps the ids of at most ``most`` distinct words from one batch to the next."""
 
-    def __init__(self, path: str = MODEL, most: int = 300_000):
+    def __init__(self, path: str = MODEL, most: int = 600_000):
         self.v, self.most = vocabulary(path), most
-        self.known: dict[str, np.ndarray] = {}
+        v = self.v
+        self.high = np.zeros(len(v.text), bool)  # bytes that are only a part of a character
+        self.plain = list(v.text)
+        for i, b in v.fallback.items():
+            self.high[i] = b >= 0x80
+            self.plain[i] = chr(b)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.at, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), 0
 
     def units(self, text: str | None) -> list[str]:
         if not text:
@@ -246,23 +262,41 @@ class Encoder:
         text = text.replace(" ", _SPACE)
         return _UNIT.findall(_SPACE + text if self.v.prefix else text)
 
+    def _learn(self, new: list[str]) -> None:
+        ids, at = encode_words(new, self.v)
+        n, have = len(new), len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while have + n + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[have : have + n + 1] = self.used + at
+        self.used += len(ids)
+        self.known.update(zip(new, range(have, have + n), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         units = [self.units(t) for t in texts]
-        new = list({u for x in units for u in x}.difference(self.known))
+        every = set().union(*units)
+        new = list(every.difference(self.known))
         if len(new) + len(self.known) > self.most and self.known:
-            self.known = {}
-            new = list({u for x in units for u in x})
+            self._clear()
+            new = list(every)
         if new:
-            ids, at = encode_words(new, self.v)
-            ids = ids.astype(np.int32)
-            self.known.update((w, ids[a:b]) for w, a, b in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True))
-        none = np.zeros(0, np.int32)
-        get = self.known.__getitem__
-        return [np.concatenate(list(map(get, x))) if x else none for x in units]
+            self._learn(new)
+        get, out = self.known.__getitem__, []
+        for x in units:
+            i = np.fromiter(map(get, x), np.int64, len(x))
+            n = self.at[i + 1] - self.at[i]
+            total = int(n.sum())
+            out.append(self.ids[np.repeat(self.at[i] - (np.cumsum(n) - n), n) + np.arange(total)])
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts first is taken away.  Bytes that are no UTF-8 become U+FFFD."""
         v, out, raw = self.v, [], bytearray()
+        if not self.high[np.asarray(ids, np.int64)].any():
+            s = "".join(map(self.plain.__getitem__, ids)).replace(_SPACE, " ")
+            return s[1:] if v.prefix and s.startswith(" ") else s
         fallback, text = v.fallback, v.text
         for i in ids:
             if i in fallback:
@@ -298,7 +332,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
     keep = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "round_trip")]
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in _groups(texts):
@@ -319,7 +353,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", path: s
     keep = [c for c in rows.columns if c not in (ids_col, out_col)]
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             text = [None if x.as_py() is None else enc.decode(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(text, pa.string())], names=[*b.schema.names[1:], out_col])
