@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import html_text, lines, ordinal, pieces, quality_rules, simhash, toxicity, urls, winnow
+from . import html_text, lines, ordinal, pieces, quality_rules, simhash, surrogates, toxicity, urls, winnow
 
-_MODULES = (html_text, lines, ordinal, pieces, quality_rules, simhash, toxicity, urls, winnow)
+_MODULES = (html_text, lines, ordinal, pieces, quality_rules, simhash, surrogates, toxicity, urls, winnow)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
