@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import table
 
@@ -176,7 +177,7 @@ def grade(docs: DataFrame, model: Ordinal, text_col: str = "text", least: float
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p.sum(1)), pa.array(list(p), pa.list_(pa.float64())), pa.array(p[:, 0] >= least)], names=[*part.schema.names[1:], "expected_grade", "p_above", "selected"])
 
     d = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    return d.mapInArrow(run, d.drop("_text").schema.add("expected_grade", "double").add("p_above", "array<double>").add("selected", "boolean"))
+    return d.mapInArrow(run, d.drop("_text").schema.add("expected_grade", "double").add("p_above", T.ArrayType(T.DoubleType())).add("selected", "boolean"))
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import table
 
@@ -345,7 +346,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], lists, pa.array(size), pa.array(same)], names=[*part.schema.names[1:], "ids", "n_tokens", "round_trip"])
 
     d = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    return d.mapInArrow(run, d.drop("_text").schema.add("ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean"))
+    return d.mapInArrow(run, d.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", path: str = MODEL) -> DataFrame:
