@@ -126,11 +126,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs (doc_id, text, ...)`` after line dedup; ``n_chars``, if there, is brought up to date, and rows of which nothing but white space is left go."""
-    d = dedup_lines(docs.drop("n_lines", "n_removed"))
+    d = dedup_lines(docs)
     d = d.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d
+    return d.select(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
