@@ -1,4 +1,425 @@
-"""Queries by name, and the same as DuckDB SQL."""
+"""Queries by name, and the same as DuckDB SQL.
+
+The tables hold no menus, so parts stand for dishes, shipping dates for menu
+dates, suppliers for restaurants, and lines of documents for menu lines.  Raw
+menu lines with prices, options, noise and spellings are built from part names
+by one SQL expression that both engines run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tavola.functions import rules as R
+from tavola.functions import text as X
+from tavola.functions import values as V
+from tavola.operators import categorize as C
+from tavola.operators import dishes as D
+from tavola.operators import lemmas as L
+from tavola.operators import menus as M
+from tavola.operators import reports as P
+from tavola.operators import resolve as S
+from tavola.operators import seasonal as T
+from tavola.sources import pages as G
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _lit(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _any(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")" if words else "false"
+
+
+# Menu lines: a part name dressed in one of many ways.
+RAW_LINE = """CASE p_partkey % 20
+WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, ' 990 ft') WHEN 2 THEN concat('A: ', p_name) WHEN 3 THEN concat(p_name, ' B: rántott sajt')
+WHEN 4 THEN concat('- ', p_name, ' (1, 7)') WHEN 5 THEN concat('www.', p_name) WHEN 6 THEN concat(p_name, ' vagy leves vagy sült hal')
+WHEN 7 THEN concat(p_name, ':') WHEN 8 THEN concat('"', p_name, '" 30dkg') WHEN 9 THEN concat(p_name, ' leves debreceni módra')
+WHEN 10 THEN concat('Kellemes ünnepeket ', p_name) WHEN 11 THEN concat(p_name, ', rántott csirkemell, hasábburgonya') WHEN 12 THEN concat(p_name, ' + sütemény')
+WHEN 13 THEN concat(p_name, ' Desszert: torta') WHEN 14 THEN concat(p_name, '! 1.250,-') WHEN 15 THEN '12:30-14:00'
+WHEN 16 THEN concat('Mai menü ára: ', CAST(1400 + p_size * 50 AS STRING), 'Ft') WHEN 17 THEN concat('főtt marhahús ', p_name, ' gombóc') WHEN 18 THEN replace(p_name, 'a', 'á')
+ELSE p_name END"""
+_RAW_SQL = RAW_LINE.replace("AS STRING", "AS VARCHAR")
+
+
+def _raw(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", F.expr(RAW_LINE).alias("dish_name"), (F.col("p_size").cast("long") + 1).alias("count"))
+
+
+_RAW = f"raw AS (SELECT p_partkey, {_RAW_SQL} AS dish_name, CAST(p_size AS BIGINT) + 1 AS count FROM part)"
+
+
+def _menus(spark, d) -> DataFrame:
+    li = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("dish_name"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("restaurant"))
+    return li.join(p, "l_partkey").join(s, "l_suppkey").select("date", "restaurant", "dish_name")
+
+
+_MENUS = "menus AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, s_name AS restaurant, p_name AS dish_name, month(l_shipdate) AS m FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"
+# Names of the first half of the alphabet are known dishes.
+_KNOWN = "known AS (SELECT DISTINCT p_name AS dish_name FROM part WHERE p_name < 'n')"
+
+
+def _known(spark, d) -> DataFrame:
+    return T.canonical_map(_t(spark, d, "part").where("p_name < 'n'").select(F.col("p_name").alias("dish_name")))
+
+
+def _counts(spark, d, min_count: int = 10) -> DataFrame:
+    return T.monthly_counts(T.matched(_menus(spark, d), _known(spark, d)), min_count)
+
+
+_MONTHLY = f"WITH {_MENUS}, {_KNOWN}, counts AS (SELECT dish_name AS canonical_name, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE m = {m}) AS {c}" for m, c in enumerate(T.MONTHS, 1)) + ", min(date) AS first_seen, max(date) AS last_seen FROM menus JOIN known USING (dish_name) GROUP BY dish_name HAVING count(*) >= 10)"
+_ARR = "[" + ", ".join(T.MONTHS) + "]"
+_SEASON = "CASE WHEN {m} IN (12, 1, 2) THEN 'tél' WHEN {m} IN (3, 4, 5) THEN 'tavasz' WHEN {m} IN (6, 7, 8) THEN 'nyár' ELSE 'ősz' END"
+_SUMMARY = (
+    _MONTHLY
+    + f", peak AS (SELECT *, list_position({_ARR}, list_max({_ARR})) AS pm, list_sum({_ARR}) / 12.0 AS mu FROM counts), summary AS (SELECT canonical_name, total AS total_count, CAST(pm AS INTEGER) AS peak_month, {_SEASON.format(m='pm')} AS peak_season, "
+    + f"CASE WHEN mu > 0 THEN round(sqrt(list_sum(list_transform({_ARR}, lambda x: (x - mu) * (x - mu))) / 12.0) / mu, 3) ELSE 0.0 END AS seasonality_index, first_seen, last_seen, "
+    + "month_12 + month_01 + month_02 AS \"tél\", month_03 + month_04 + month_05 AS \"tavasz\", month_06 + month_07 + month_08 AS \"nyár\", month_09 + month_10 + month_11 AS \"ősz\" FROM peak)"
+)
+
+
+@query(f"WITH {_MENUS} SELECT date, restaurant, dish_name FROM menus")
+def menu_rows(spark, d):
+    """Menu rows: dated dishes of restaurants."""
+    return _menus(spark, d)
+
+
+@query(f"WITH {_MENUS} SELECT dish_name, count(*) AS count FROM menus GROUP BY dish_name")
+def dish_count(spark, d):
+    return D.dish_count(_menus(spark, d))
+
+
+@query(_MONTHLY + " SELECT * FROM counts")
+def monthly_counts(spark, d):
+    return _counts(spark, d)
+
+
+@query(_SUMMARY + " SELECT * FROM summary")
+def seasonal_summary(spark, d):
+    return T.seasonal_summary(_counts(spark, d))
+
+
+@query(_SUMMARY + ", long AS (SELECT season, canonical_name, n, total_count, seasonality_index FROM summary UNPIVOT (n FOR season IN (\"tél\", \"tavasz\", \"nyár\", \"ősz\"))) SELECT season, CAST(rank AS INTEGER) AS rank, canonical_name AS dish, n AS count, seasonality_index AS seasonality FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY n DESC, total_count DESC, canonical_name) AS rank FROM long) WHERE rank <= 20")
+def top_per_season(spark, d):
+    return T.top_per_season(T.seasonal_summary(_counts(spark, d)))
+
+
+@query(_SUMMARY + " SELECT canonical_name AS dish, peak_season, peak_month, seasonality_index, total_count AS total FROM summary WHERE total_count >= 20 ORDER BY seasonality_index DESC, total_count DESC, canonical_name LIMIT 30")
+def most_seasonal(spark, d):
+    return T.most_seasonal(T.seasonal_summary(_counts(spark, d)))
+
+
+@query(_SUMMARY + " SELECT peak_season, CAST(rank AS INTEGER) AS rank, canonical_name AS dish, total_count AS total, seasonality_index FROM (SELECT *, row_number() OVER (PARTITION BY peak_season ORDER BY seasonality_index DESC, total_count DESC, canonical_name) AS rank FROM summary WHERE total_count >= 50) WHERE rank <= 5")
+def season_peakers(spark, d):
+    return T.season_peakers(T.seasonal_summary(_counts(spark, d)))
+
+
+@query(f"WITH {_MENUS}, {_KNOWN} SELECT dish_name, date, restaurant FROM menus WHERE dish_name NOT IN (SELECT dish_name FROM known)")
+def unmatched_rows(spark, d):
+    return T.unmatched(_menus(spark, d), _known(spark, d)).select("dish_name", "date", "restaurant")
+
+
+def _noise_case() -> str:
+    out, low = [], "lower(dish_name)"
+    for name, kind, words in V.NOISE:
+        cond = {
+            "contains": lambda: _any(low, words),
+            "regex": lambda: " OR ".join(f"regexp_matches({low}, '{w}')" for w in words),
+            "raw_regex": lambda: " OR ".join(f"regexp_matches(dish_name, '{w}')" for w in words),
+            "suffix": lambda: " OR ".join(f"ends_with(trim(dish_name), '{w}')" for w in words),
+            "exact": lambda: f"dish_name IN ({_lit(words)})",
+            "exact_trimmed": lambda: f"trim(dish_name) IN ({_lit(words)})",
+            "all_of": lambda: " AND ".join(f"contains({low}, '{w}')" for w in words),
+            "long_any": lambda: f"length(dish_name) > 100 AND {_any(low, words)}",
+        }[kind]()
+        out.append(f"WHEN {cond} THEN '{name}'")
+    return "CASE " + " ".join(out) + " END"
+
+
+@query(f"WITH {_RAW} SELECT p_partkey, dish_name, {_noise_case()} AS reason FROM raw")
+def noise_filter(spark, d):
+    """Menu lines with the first noise rule that fits."""
+    return _raw(spark, d).select("p_partkey", "dish_name", R.noise_reason(F.col("dish_name")).alias("reason"))
+
+
+@query(f"WITH {_RAW} SELECT reason, count(*) AS names, CAST(sum(count) AS BIGINT) AS occurrences FROM (SELECT count, {_noise_case()} AS reason FROM (SELECT dish_name, sum(count) AS count FROM raw GROUP BY dish_name)) WHERE reason IS NOT NULL GROUP BY reason")
+def noise_reason_counts(spark, d):
+    return D.noise_reasons(_raw(spark, d).groupBy("dish_name").agg(F.sum("count").alias("count")))
+
+
+def _re2(p: str) -> str:
+    return p.replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''")
+
+
+def _sub_sql(col: str, steps: list[tuple[str, str, bool]]) -> str:
+    for p, to, ignore in steps:
+        p = _re2(p).replace(r"[^[\p{L}\p{N}_]\s]", r"[^\p{L}\p{N}_\s]")
+        col = f"regexp_replace({col}, '{'(?i)' if ignore else ''}{p}', '{to}', 'g')"
+    return col
+
+
+_SQUEEZE = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _scrub_sql(col: str) -> str:
+    t = _sub_sql(_SQUEEZE.format(c=f"coalesce({col}, '')"), [(p, to, False) for p, to in V.SCRUB] + [("(?:" + "|".join(V.SCRUB_TAILS) + ").*$", "", True)])
+    return f"CASE WHEN length(trim({t})) > 2 THEN trim({t}) ELSE '' END"
+
+
+def _case_sql(col: str) -> str:
+    stems = "|".join(V.PROPER_STEMS)
+    w, lead = "w", r"regexp_extract(w, '^[,:;.!?+()\-\"'']+')"
+    rest = f"substr(w, length({lead}) + 1)"
+    named = f"{lead} || upper(substr({rest}, 1, 1)) || substr({rest}, 2)"
+    return f"array_to_string(list_transform(list_filter(string_split(lower({col}), ' '), lambda w: w <> ''), lambda w, i: CASE WHEN i = 1 THEN upper(substr(w, 1, 1)) || substr(w, 2) WHEN regexp_matches({rest}, '^(?:{stems})') THEN {named} ELSE w END), ' ')"
+
+
+_CLEAN = _case_sql(_SQUEEZE.format(c=_sub_sql("dish_name", V.CLEAN)))
+_DISH = f"(length(c) >= 4 AND length(lower(c)) - length(replace(lower(c), ' vagy ', '')) <= 6 AND NOT {_any('lower(c)', V.NOT_A_DISH)} AND ({_any('lower(c)', V.FOOD_WORDS)} OR (len(list_filter(string_split(c, ' '), lambda w: w <> '')) <= 3 AND NOT {_any('c', V.NOT_SIMPLE)})))"
+_CLEANED = f"WITH {_RAW}, cl AS (SELECT p_partkey, count, dish_name, {_CLEAN} AS c FROM raw), cleaned AS (SELECT c AS dish_name, CAST(sum(count) AS BIGINT) AS count FROM cl WHERE ({_noise_case()}) IS NULL AND length(c) > 3 AND {_DISH} GROUP BY c)"
+_KEY = r"trim(regexp_replace(regexp_replace(translate(lower(dish_name), '" + V.FOLD_FROM + "', '" + V.FOLD_TO + r"'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_MERGED = _CLEANED + f", merged AS (SELECT arg_min(dish_name, (-count, -length(dish_name), dish_name)) AS dish_name, CAST(sum(count) AS BIGINT) AS count FROM cleaned WHERE length(dish_name) >= 4 GROUP BY {_KEY})"
+
+
+@query(f"WITH {_RAW} SELECT p_partkey, {_scrub_sql('dish_name')} AS scrubbed FROM raw")
+def scrub_lines(spark, d):
+    return _raw(spark, d).select("p_partkey", X.scrub(F.col("dish_name")).alias("scrubbed"))
+
+
+@query(f"WITH {_RAW} SELECT p_partkey, {_CLEAN} AS clean FROM raw")
+def clean_names(spark, d):
+    return _raw(spark, d).select("p_partkey", X.clean_name(F.col("dish_name")).alias("clean"))
+
+
+@query(f"WITH {_RAW} SELECT p_partkey, {_DISH} AS is_dish FROM (SELECT p_partkey, {_CLEAN} AS c FROM raw)")
+def actual_dish_filter(spark, d):
+    return _raw(spark, d).select("p_partkey", R.is_dish(X.clean_name(F.col("dish_name"))).alias("is_dish"))
+
+
+@query(_MERGED + " SELECT dish_name, count FROM merged")
+def dedup_folded(spark, d):
+    """Raw lines to clean, merged dish names with counts."""
+    return D.clean_dishes(_raw(spark, d).select("dish_name", "count"))
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
+def line_frequency(spark, d):
+    return G.line_frequency(_t(spark, d, "documents").select("text"))
+
+
+@query()
+def page_line_frequency(spark, d):
+    """Text of all pages, line by line."""
+    return G.line_frequency(G.page_text(_t(spark, d, "pages")))
+
+
+_TOKENS = r"tok AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w: w <> '')) AS lemma FROM documents)"
+_DICT = f"WITH {_TOKENS}, dict AS (SELECT lemma, frequency, CAST(row_number() OVER (ORDER BY frequency DESC, lemma) AS INTEGER) AS rank FROM (SELECT lemma, count(*) AS frequency FROM tok WHERE NOT regexp_matches(lemma, '^[!-/:-@\\[-`{{-~\\s]*$') GROUP BY lemma HAVING count(*) >= 2))"
+
+
+def _dictionary(spark, d, least=2) -> DataFrame:
+    return L.lemma_dictionary(_t(spark, d, "documents").select("text"), "text", least, True)
+
+
+@query(_DICT + " SELECT * FROM dict")
+def lemma_dictionary(spark, d):
+    return _dictionary(spark, d)
+
+
+@query(_DICT + " SELECT count(*) AS unique_lemmas, CAST(sum(frequency) AS BIGINT) AS occurrences, avg(frequency) AS mean_frequency, count(*) FILTER (WHERE frequency = 1) AS hapaxes, 100.0 * count(*) FILTER (WHERE frequency = 1) / count(*) AS hapax_percent, arg_min(lemma, rank) AS most_frequent, arg_max(lemma, rank) AS least_frequent FROM dict")
+def lemma_stats(spark, d):
+    return L.lemma_stats(_dictionary(spark, d))
+
+
+@query(_MERGED + r" SELECT dish_name, count AS score, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(dish_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ') AS lemmas FROM merged")
+def lemmatized(spark, d):
+    out = L.lemmatize(D.clean_dishes(_raw(spark, d).select("dish_name", "count")))
+    return out.withColumn("lemmas", F.array_join("lemmas", " "))
+
+
+_LEM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(dish_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')"
+
+
+def _labels_sql(classes, text="t") -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_any(text, words)} THEN '{label}' END" for label, words in classes) + "], lambda x: x IS NOT NULL)"
+
+
+_COURSE = "CASE " + " ".join(f"WHEN {_any('t', w)} THEN '{c}'" for c, w in V.COURSES if w) + f" ELSE '{V.DEFAULT_COURSE}' END"
+_PROT = f"CASE WHEN len({_labels_sql(V.PROTEINS)}) > 0 THEN {_labels_sql(V.PROTEINS)} ELSE {_labels_sql([V.VEGETARIAN])} END"
+_CAT = _MERGED + f", txt AS (SELECT dish_name, count, lower(dish_name || ' ' || {_LEM}) AS t FROM merged), cat AS (SELECT dish_name, count, {_COURSE} AS course, {_PROT} AS protein, {_labels_sql(V.METHODS)} AS method FROM txt)"
+
+
+def _categorized(spark, d) -> DataFrame:
+    return C.categorize(L.lemmatize(D.clean_dishes(_raw(spark, d).select("dish_name", "count"))))
+
+
+@query(_CAT + " SELECT dish_name, course FROM cat")
+def course_first_match(spark, d):
+    return _categorized(spark, d).select("dish_name", "course")
+
+
+@query(_CAT + " SELECT dish_name, array_to_string(protein, ',') AS protein, array_to_string(method, ',') AS cooking_method FROM cat")
+def labels_multi(spark, d):
+    return C.joined(_categorized(spark, d)).select("dish_name", "protein", "cooking_method")
+
+
+_DIST = ", dist AS (SELECT dimension, label, count(*) AS n FROM (SELECT 'course' AS dimension, course AS label FROM cat UNION ALL SELECT 'protein', unnest(protein) FROM cat UNION ALL SELECT 'cooking_method', unnest(method) FROM cat) GROUP BY dimension, label)"
+
+
+@query(_CAT + _DIST + " SELECT * FROM dist")
+def category_stats(spark, d):
+    return C.distribution(_categorized(spark, d))
+
+
+@query(_CAT + _DIST + " SELECT dimension, label, n, 100.0 * n / (SELECT sum(n) FROM dist WHERE dimension = 'course') AS share FROM dist")
+def label_share(spark, d):
+    return C.label_share(_categorized(spark, d))
+
+
+_PAIRS = S.curated_pairs()
+_KEYS = "(VALUES " + ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate(_PAIRS)) + ") AS k(ordinal, key, canonical)"
+_CUR = f", cur AS (SELECT dish_name, arg_min(canonical, CASE WHEN lower(dish_name) = key THEN -1 ELSE ordinal END) AS curated FROM merged JOIN {_KEYS} ON contains(lower(dish_name), key) GROUP BY dish_name)"
+
+
+@query(_MERGED + _CUR + " SELECT merged.dish_name, curated FROM merged LEFT JOIN cur USING (dish_name)")
+def curated_exact_or_substring(spark, d):
+    names = D.clean_dishes(_raw(spark, d).select("dish_name", "count"))
+    return names.select("dish_name", S.curated_match(F.col("dish_name"), _PAIRS).alias("curated"))
+
+
+@query(_MERGED + _CUR + " SELECT merged.dish_name, curated FROM merged LEFT JOIN cur USING (dish_name)")
+def curated_by_join(spark, d):
+    """The same for tables of synonyms of any size."""
+    names = D.clean_dishes(_raw(spark, d).select("dish_name", "count")).select("dish_name")
+    keys = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(_PAIRS)], "ordinal long, key string, canonical string")
+    return S.curated_join(names, keys)
+
+
+_SETS = "sets AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 200)), '[a-záéíóöőúüű]+'), lambda t: length(t) > 1 AND t NOT IN ('vagy', 'és', 'egy', 'a', 'az', 'van', 'volt', 'meg', 'is'))) AS s FROM documents), ok AS (SELECT * FROM sets WHERE len(s) > 0)"
+
+
+@query(f"WITH {_SETS.replace('substr(text, 1, 200)', 'text')}, inter AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS n, len(y.s) AS m FROM ok x JOIN ok y ON x.id < y.id AND len(x.s) * 1000 >= 850 * len(y.s) AND len(y.s) * 1000 >= 850 * len(x.s)) SELECT a, b FROM inter WHERE 1000 * i >= 850 * (n + m - i)")
+def jaccard_pairs(spark, d):
+    """Documents whose token sets are similar."""
+    sets = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return S.similar_pairs(sets)
+
+
+@query()
+def auto_groups(spark, d):
+    """Texts, as names, that join an earlier, similar one."""
+    names = D.dish_count(_t(spark, d, "documents"), "text")
+    out = S.auto_groups(names, lemmas=None)
+    return out.select(F.sha2("dish_name", 256).alias("name_sha256"), F.sha2("canonical_name", 256).alias("canonical_sha256"))
+
+
+@query()
+def dishes_resolved(spark, d):
+    return C.joined(S.resolve(_categorized(spark, d))).withColumn("lemmas", F.array_join("lemmas", " "))
+
+
+def _curated(spark, d) -> DataFrame:
+    rows = _categorized(spark, d)
+    return rows.withColumn("canonical_name", F.coalesce(S.curated_match(F.col("dish_name"), _PAIRS), "dish_name"))
+
+
+_RES = _CAT + _CUR + ", res AS (SELECT cat.*, coalesce(curated, cat.dish_name) AS canonical_name FROM cat LEFT JOIN cur USING (dish_name)), top AS (SELECT canonical_name, CAST(sum(count) AS BIGINT) AS occurrences FROM res GROUP BY canonical_name), tiered AS (SELECT *, CASE WHEN occurrences >= 200 THEN 1 WHEN occurrences >= 50 THEN 2 WHEN occurrences >= 10 THEN 3 ELSE 4 END AS tier FROM top)"
+
+
+@query(f"WITH {_MENUS} SELECT count(*) AS menu_rows, count(DISTINCT dish_name) AS dishes, min(date) AS first_date, max(date) AS last_date FROM menus")
+def corpus_totals(spark, d):
+    return P.corpus_totals(_menus(spark, d))
+
+
+@query(_RES + " SELECT * FROM top")
+def top_dishes(spark, d):
+    return P.top_dishes(_curated(spark, d))
+
+
+@query(_RES + " SELECT canonical_name, CAST(sum(count) AS BIGINT) AS occurrences FROM res WHERE course = 'leves' GROUP BY canonical_name ORDER BY occurrences DESC, canonical_name LIMIT 10")
+def top_of_course(spark, d):
+    return P.top_dishes(_curated(spark, d), 10, "leves")
+
+
+@query(_RES + " SELECT tier, count(*) AS dishes, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM tiered GROUP BY tier")
+def tiers(spark, d):
+    return P.tiers(_curated(spark, d))
+
+
+@query(_RES + " SELECT tier, CAST(rank AS INTEGER) AS rank, canonical_name, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY occurrences DESC, canonical_name) AS rank FROM tiered) WHERE rank <= 100")
+def tier_ranks(spark, d):
+    return P.tier_ranks(_curated(spark, d))
+
+
+@query(_RES + " SELECT tier, dimension, label, CAST(sum(count) AS BIGINT) AS occurrences FROM (SELECT tier, count, 'course' AS dimension, course AS label FROM res JOIN tiered USING (canonical_name) UNION ALL SELECT tier, count, 'protein', unnest(protein) FROM res JOIN tiered USING (canonical_name) UNION ALL SELECT tier, count, 'cooking_method', unnest(method) FROM res JOIN tiered USING (canonical_name)) GROUP BY ALL")
+def tier_profile(spark, d):
+    return P.tier_profile(_curated(spark, d))
+
+
+@query(f"WITH {_RAW}, x AS (SELECT dish_name, p_partkey FROM raw) SELECT low, spellings FROM (SELECT lower(dish_name) AS low, count(DISTINCT dish_name) AS spellings FROM x GROUP BY 1) WHERE spellings > 1")
+def case_collisions(spark, d):
+    return D.case_collisions(_raw(spark, d), "dish_name")
+
+
+@query(f"WITH {_RAW} SELECT p_partkey, TRY_CAST(nullif(regexp_extract(dish_name, '([0-9]+)\\s*(?:Ft|ft)', 1), '') AS INTEGER) AS price FROM raw")
+def price_extract(spark, d):
+    return _raw(spark, d).select("p_partkey", X.price_of(F.col("dish_name")).alias("price"))
+
+
+_LINES = f"WITH {_RAW}, sc AS (SELECT p_partkey, dish_name, {_scrub_sql('dish_name')} AS c FROM raw WHERE length(dish_name) >= 3 AND NOT regexp_matches(dish_name, '^[0-9\\s]*(?:Ft|ft)[^\\p{{L}}\\p{{N}}_]*$')), ok AS (SELECT * FROM sc WHERE length(c) >= 3)"
+_SEP = r"(?i)\s*[AB]:\s*"
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(c, '{_SEP}'), lambda p: trim(p)), lambda p: length(p) > 2)"
+
+
+@query(
+    _LINES
+    + r", opt AS (SELECT p_partkey, trim(regexp_extract(c, '^([A-Z]):\s*(.+)', 2)) AS dish_name, 1 AS item_number, 'option_' || regexp_extract(c, '^([A-Z]):', 1) AS menu_type FROM ok WHERE regexp_matches(c, '^[A-Z]:')), "
+    + f"parts AS (SELECT p_partkey, unnest({_PARTS}) AS dish_name, unnest(range(1, len({_PARTS}) + 1)) AS item_number FROM ok WHERE NOT regexp_matches(c, '^[A-Z]:') AND regexp_matches(c, '{_SEP}')), "
+    + f"rest AS (SELECT p_partkey, c AS dish_name FROM ok WHERE NOT regexp_matches(c, '^[A-Z]:') AND NOT regexp_matches(c, '{_SEP}') AND ({_any('lower(c)', V.SOUP_WORDS)} OR NOT {_any('lower(c)', V.DEFAULT_SKIP)})) "
+    + "SELECT p_partkey, dish_name, item_number, menu_type FROM opt WHERE dish_name <> '' UNION ALL SELECT p_partkey, dish_name, CAST(item_number AS INTEGER), 'main' FROM parts UNION ALL SELECT p_partkey, dish_name, 1, 'main' FROM rest"
+)
+def option_split(spark, d):
+    """Menu lines to dishes: options, separators, soups and the rest."""
+    return M.menu_lines(_raw(spark, d).select("p_partkey", "dish_name").withColumnRenamed("dish_name", "text"))
+
+
+# An element stream: purchases are logos, other events paragraphs; a user is a page.
+@query("SELECT user_id, event_id, CAST(section AS BIGINT) AS section, restaurant FROM (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'Desperado' WHEN 1 THEN 'Weber' END END IGNORE NULLS) OVER w AS restaurant FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) WHERE event_type <> 'purchase' AND restaurant IS NOT NULL")
+def section_carry_forward(spark, d):
+    logo = F.element_at(F.array(F.lit("desperado.jpg"), F.lit("img/WEBER.png"), F.lit("other.png")), (F.col("event_id") % 3 + 1).cast("int"))
+    el = _t(spark, d, "events").select(F.col("user_id").alias("path"), F.lit("2024-01-07").alias("date"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "purchase", "img").otherwise("p").alias("tag"), F.when(F.col("event_type") == "purchase", logo).alias("src"), F.lit("dish").alias("text"))
+    return M.sections(el).select(F.col("path").alias("user_id"), F.col("pos").alias("event_id"), F.col("section").cast("long").alias("section"), "restaurant")
+
+
+@query("SELECT DISTINCT strftime(CAST(o_orderdate AS DATE) - CAST(b AS INTEGER), '%Y-%m-%d') AS file_date, ['vasarnap', 'szombat', 'pentek', 'csutortok', 'szerda', 'kedd', 'hetfo'][CAST(b AS INTEGER) + 1] AS page FROM orders, range(0, 7) AS r(b) WHERE dayofweek(o_orderdate) = 0")
+def weekly_schedule(spark, d):
+    days = _t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return G.weekly_schedule(days)
+
+
+@query()
+def page_menus(spark, d):
+    """Paragraphs of the scraped pages as elements."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("path"), F.lit("2024-01-07").alias("date"), F.col("html").cast("binary").alias("content"))
+    return G.page_elements(pages, close_p=True).groupBy("path", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
