@@ -21,8 +21,9 @@ def without_noise(counts: DataFrame, rules=V.NOISE) -> DataFrame:
 
 def noise_reasons(counts: DataFrame, rules=V.NOISE) -> DataFrame:
     """``reason, names, occurrences`` of what the noise rules take away."""
-    rows = counts.select("count", noise_reason(F.col("dish_name"), rules).alias("reason")).where("reason is not null")
-    return rows.groupBy("reason").agg(F.count("*").alias("names"), F.sum("count").alias("occurrences"))
+    rows = counts.select("count", noise_reason(F.col("dish_name"), rules).alias("reason"))
+    # counted, not filtered: a filter on the key would be pushed down and have the rules evaluated twice
+    return rows.groupBy("reason").agg(F.count("reason").alias("names"), F.sum("count").alias("occurrences")).where("names > 0")
 
 
 def cleaned(counts: DataFrame, rules=V.NOISE) -> DataFrame:
