@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .storage import fits_broadcast, materialize
 from .tables import table
 
+#: Stands for the place after a text's last word among the hashes.
+_END = 1234567890123456789
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits by which the left half turns when two halves of 1, 2, 4 and more words are combined.
@@ -88,20 +90,83 @@ def _bench(items: DataFrame, k: int, w: int, window: int) -> DataFrame:
     return out.distinct()
 
 
-def _extended(matches: DataFrame, window: int) -> DataFrame:
-    """Of ``ws, at, k, ctx, left``: ``from``, ``to`` of the equal words around the match; only whole windows stay."""
-    return (
-        matches.withColumn("eq", F.expr("transform(ctx, (x, j) -> x <=> get(ws, at - left + j))"))
-        .withColumn("stop_l", F.expr("array_position(reverse(slice(eq, 1, left)), false)"))
-        .withColumn("stop_r", F.expr("array_position(slice(eq, left + k + 1, size(eq)), false)"))
-        .where("not array_contains(slice(eq, left + 1, k), false)")
-        .withColumn("from", F.expr("cast(at - if(stop_l = 0, left, stop_l - 1) as int)"))
-        .withColumn("to", F.expr("cast(at + k + if(stop_r = 0, size(eq) - left - k, stop_r - 1) as int)"))
-        .where(f"to - from >= least({window}, if(size(ctx) = k, k, {window}))")
+def _near(matches: DataFrame, window: int) -> DataFrame:
+    """``dctx``: the words of the text around a match, as many as can matter, and how many of them are before it.
+
+    Sliced in generated code, so that no match carries its whole text on.
+    """
+    side = f"if(size(ctx) = k, 0, {window} - k)"
+    return matches.select("id", "th", "at", "h", "k", "left", "ctx", "item_id", F.size("ws").alias("n"), F.expr(f"slice(ws, greatest(at - {side}, 0) + 1, least(at, {side}) + k + {side})").alias("dctx"), F.expr(f"least(at, {side})").alias("dleft"))
+
+
+def _extended(matches: DataFrame, window: int, w: int, lazy: bool) -> DataFrame:
+    """``id, th, from, to, item_id, n_words`` of matches: the equal words around each, which may go beyond it to both sides.
+
+    Where no whole window is equal, ``from``, ``to`` and ``item_id`` are null.
+    ``lazy``: likewise where the text's gram is the least of no ``w`` around
+    it.  Rows without item, at the end of a text, get ``n_words``.  Nothing is
+    filtered: a filter would be pushed down and break the generated stage.
+    """
+    d = matches.withColumn("eq", F.expr("transform(ctx, (x, j) -> x <=> get(dctx, dleft - left + j))"))
+    stop_l = "array_position(reverse(slice(eq, 1, left)), false)"
+    stop_r = "array_position(slice(eq, left + k + 1, size(eq)), false)"
+    ok = "not array_contains(slice(eq, left + 1, k), false)"
+    if lazy and w > 1:
+        least = {k: _gram_at(k, "dleft + j", "dctx") for k in (window - w + 1,)}[window - w + 1]
+        d = d.withColumn("near", F.expr(f"transform(sequence(1 - {w}, {w} - 1), j -> if(dleft + j < 0, h - 1, coalesce({least}, h)) >= h)"))
+        before, after = f"array_position(reverse(slice(near, 1, {w - 1})), false)", f"array_position(slice(near, {w + 1}, {w - 1}), false)"
+        ok += f" and if({before} = 0, {w - 1}, {before} - 1) + if({after} = 0, {w - 1}, {after} - 1) >= {w - 1}"
+    d = d.withColumn("from", F.expr(f"cast(at - if({stop_l} = 0, left, {stop_l} - 1) as int)")).withColumn("to", F.expr(f"cast(at + k + if({stop_r} = 0, size(eq) - left - k, {stop_r} - 1) as int)"))
+    good = F.expr(f"item_id is not null and {ok} and to - from >= if(size(ctx) = k, k, {window})")
+    return d.select("id", "th", F.when(good, F.col("from")).alias("from"), F.when(good, F.col("to")).alias("to"), F.when(good, F.col("item_id")).alias("item_id"), F.expr("if(item_id is null, cast(n as bigint), null)").alias("n_words"))
+
+
+def _gram_at(k: int, at: str, ws: str = "ws") -> str:
+    """What ``_grams`` gives at word ``at`` of ``ws``, as one expression of codegen functions."""
+
+    def of(size: int, first: int) -> str:
+        if size == 1:
+            return f"get({ws}, {at} + {first})"
+        half, t = size // 2, _TURNS[size // 2]
+        x, y = of(half, first), of(half, first + half)
+        return f"(shiftleft({x}, {t}) ^ shiftrightunsigned({x}, {64 - t}) ^ {y})"
+
+    size = 1
+    while 2 * size <= k:
+        size *= 2
+    out, done = of(size, 0), size
+    while done < k:
+        size = max(s for s in (1, 2, 4, 8) if s <= k - done)
+        out = f"(shiftleft({out}, {3 + done}) ^ shiftrightunsigned({out}, {61 - done}) ^ {of(size, done)})"
+        done += size
+    return out
+
+
+def _probed(rows: DataFrame, bench: DataFrame, k: int) -> DataFrame:
+    """Places of ``rows`` whose gram ``bench``, small enough to be broadcast, has as a fingerprint; and one after each text's last word.
+
+    All grams of a text are hashed and looked up in one stage of generated
+    code.  Whether a gram is the least of some ``w`` is asked of those that
+    are found, which gives the same matches as asking it of all before.
+    """
+    end = bench.sparkSession.range(1).select(F.lit(_END).alias("bh"), F.lit(k).alias("k"), F.lit(None).cast(bench.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<bigint>").alias("ctx"), F.lit(0).alias("left"))
+    table = bench.withColumnRenamed("h", "bh").unionByName(end)
+    places = rows.select("*", F.posexplode(F.concat("ws", F.array(F.lit(None).cast("long")))).alias("at", "_"))
+    found = places.withColumn("h", F.expr(f"if(at = size(ws), {_END}L, {_gram_at(k, 'at')})")).join(F.broadcast(table), F.col("h") == F.col("bh"))
+    return found.where("item_id is not null or at = size(ws)")
+
+
+def _by_text(spans: DataFrame) -> DataFrame:
+    """Spans, items and number of words of each text, and how many rows have it."""
+    return spans.groupBy("id", "th").agg(
+        F.max("n_words").alias("n_words"),
+        F.count("n_words").alias("rows"),
+        F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to"))).alias("s"),
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 6, share: tuple[int, int] = (1, 20)) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 6, share: tuple[int, int] = (1, 20), broadcast_bytes: int = 8 << 20) -> DataFrame:
     """``id, th, n_words, n_hit, items (sorted as strings), contaminated`` per row of ``docs``.
 
     ``items`` has ``item_id`` and ``text``.  A word of a document is hit if it
@@ -110,37 +175,36 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     at least ``share`` of all words.  Null and empty texts have no words and
     match nothing; repeated rows, and rows without id, are judged like any
     other.  ``th`` hashes the text and tells rows of one id apart.
+    Fingerprints of items are broadcast up to ``broadcast_bytes`` of them on
+    disk; beyond that fingerprints are shuffled.
     """
     w = window - k + 1
     bench = materialize(_bench(items, k, w, window), "bench")
     text = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    rows = d.select("id", "th", F.transform(_words(F.col("t")), lambda x: F.xxhash64(x)).alias("ws"))
-    small = fits_broadcast(bench, 8 << 20)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.transform(_words(text), lambda x: F.xxhash64(x)).alias("ws"))
+    small = fits_broadcast(bench, broadcast_bytes)
+    cols = ["id", "th", "from", "to", "item_id", "n_words"]
+    # the items at least as long as the window; then the lengths of shorter ones
+    groups = [(k, w, bench.where(f"k = {k} and size(ctx) > k"))]
+    groups += [(n, 1, bench.where(f"k = {n} and size(ctx) = k")) for (n,) in sorted(bench.where("size(ctx) = k").select("k").distinct().collect())]
     spans = None
-    for (n,) in sorted(bench.select("k").distinct().collect()):  # the lengths of short items, and k
-        own = bench.where(F.col("k") == n)
-        whole = own.where("size(ctx) > k") if n == k else None
-        for side, one in ((w, whole), (1, own.where("size(ctx) = k"))):
-            if one is None or (n == k and one.isEmpty()):
-                continue
-            marks = _fingerprints(rows, n, side)
-            if small:
-                found = marks.join(F.broadcast(one), "h")
-            else:
-                at = marks.select("id", "th", "at", "h").join(one, "h").distinct()
-                found = at.alias("a").join(rows.alias("r"), F.expr("a.id <=> r.id and a.th = r.th")).select("a.*", "r.ws")
-            part = _extended(found, window).select("id", "th", "from", "to", "item_id")
-            spans = part if spans is None else spans.unionByName(part)
-    counted = d.select("id", "th", F.size(_words(F.col("t"))).cast("long").alias("n_words"))
-    if spans is None:
-        out = counted.withColumn("n_hit", F.lit(0).cast("long")).withColumn("items", F.array().cast("array<string>"))
-    else:
-        hits = spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("s"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-        covered = "aggregate(array_sort(s), named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.to - greatest(x.from, a.e), 0), 'e', greatest(a.e, x.to)), a -> a.n)"
-        hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.expr(covered).alias("n_hit"), "items")
-        out = counted.join(hits, F.expr("id <=> hid and th = hth"), "left").select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share[1]} * n_hit >= {share[0]} * n_words"))
+    for n, side, own in groups:
+        if small:
+            found = _probed(rows, own, n)
+            found = found if spans is None else found.where("item_id is not null")
+        else:
+            at = _fingerprints(rows, n, side).select("id", "th", "at", "h").join(own, "h").distinct()
+            found = at.alias("a").join(rows.alias("r"), F.expr("a.id <=> r.id and a.th = r.th")).select("a.*", "r.ws")
+        part = _extended(_near(found, window), window, side, small)
+        if not small and spans is None:
+            none = F.lit(None).cast("int")
+            part = part.select(*cols).unionByName(rows.select("id", "th", none.alias("from"), none.alias("to"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.size("ws").cast("long").alias("n_words")))
+        spans = part.select(*cols) if spans is None else spans.unionByName(part.select(*cols))
+    covered = "aggregate(array_sort(s), named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.to - greatest(x.from, a.e), 0), 'e', greatest(a.e, x.to)), a -> a.n)"
+    out = _by_text(spans).withColumn("n_hit", F.expr(covered))
+    out = out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share[1]} * n_hit >= {share[0]} * n_words"))
+    # rows that are equal in id and text were counted together
+    return out.select("id", "th", "n_words", "n_hit", "items", "contaminated", F.explode(F.expr("array_repeat(0, cast(rows as int))")).alias("_")).drop("_")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
