@@ -33,6 +33,14 @@ def cleaned(counts: DataFrame, rules=V.NOISE) -> DataFrame:
     return rows.groupBy("dish_name").agg(F.sum("count").alias("count"))
 
 
+def step_counts(counts: DataFrame, rules=V.NOISE) -> DataFrame:
+    """One row on what ``clean_dishes`` does: names that came in, that are no noise, that are long enough once clean, that are dishes, and how many names are left before and after merging."""
+    d = counts.select(is_noise(F.col("dish_name"), rules).alias("noise"), clean_name(F.col("dish_name")).alias("c"))
+    d = d.withColumn("long", ~F.col("noise") & (F.length("c") > 3)).withColumn("dish", F.col("long") & is_dish(F.col("c")))
+    name = F.when(F.col("dish"), F.col("c"))
+    return d.agg(F.count("*").alias("names"), F.count_if(~F.col("noise")).alias("without_noise"), F.count_if("long").alias("cleaned"), F.count_if("dish").alias("dishes"), F.count_distinct(name).alias("distinct_names"), F.count_distinct(fold(name)).alias("merged"))
+
+
 def merge_spellings(counts: DataFrame) -> DataFrame:
     """``dish_name, count``: of names that fold to one key the most frequent stands for all; the longer one if tied, then the lesser."""
     rows = counts.where(F.length("dish_name") >= 4)

@@ -30,6 +30,16 @@ def unmatched(menus: DataFrame, names: DataFrame) -> DataFrame:
     return rows.withColumn("dish_name", strip(F.col("dish_name"))).join(names.select("dish_name"), "dish_name", "left_anti")
 
 
+def run_metrics(menus: DataFrame, names: DataFrame) -> DataFrame:
+    """One row on what ``matched`` does: all rows, blank ones, those of unknown names, those with bad dates, and those that are matched."""
+    rows = menus.select(strip(F.coalesce("dish_name", F.lit(""))).alias("dish_name"), F.coalesce("date", F.lit("")).alias("date"))
+    known = names.select("dish_name", F.lit(True).alias("_known"))
+    d = rows.join(known, "dish_name", "left")
+    blank = (F.col("dish_name") == "") | (F.col("date") == "")
+    found, month = F.col("_known").isNotNull(), month_of(F.col("date")).isNotNull()
+    return d.agg(F.count("*").alias("menu_rows"), F.count_if(blank).alias("blank"), F.count_if(~blank & ~found).alias("unmatched"), F.count_if(~blank & found & ~month).alias("bad_dates"), F.count_if(~blank & found & month).alias("matched"))
+
+
 def monthly_counts(rows: DataFrame, min_count: int = 10) -> DataFrame:
     """``canonical_name, total, month_01 .. month_12, first_seen, last_seen`` of ``rows (canonical_name, date, month)``; one shuffle."""
     months = [F.count_if(F.col("month") == m).alias(c) for m, c in enumerate(MONTHS, 1)]

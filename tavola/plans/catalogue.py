@@ -140,6 +140,11 @@ def unmatched_rows(spark, d):
     return T.unmatched(_menus(spark, d), _known(spark, d)).select("dish_name", "date", "restaurant")
 
 
+@query(f"WITH {_MENUS}, {_KNOWN}, j AS (SELECT known.dish_name AS k FROM menus LEFT JOIN known USING (dish_name)) SELECT count(*) AS menu_rows, CAST(0 AS BIGINT) AS blank, count(*) FILTER (WHERE k IS NULL) AS unmatched, CAST(0 AS BIGINT) AS bad_dates, count(*) FILTER (WHERE k IS NOT NULL) AS matched FROM j")
+def run_metrics(spark, d):
+    return T.run_metrics(_menus(spark, d), _known(spark, d))
+
+
 def _noise_case() -> str:
     out, low = [], "lower(dish_name)"
     for name, kind, words in V.NOISE:
@@ -223,6 +228,12 @@ def dedup_folded(spark, d):
     return D.clean_dishes(_raw(spark, d).select("dish_name", "count"))
 
 
+@query(f"WITH {_RAW}, n AS (SELECT DISTINCT dish_name FROM raw), cl AS (SELECT ({_noise_case()}) IS NOT NULL AS noise, {_CLEAN} AS c FROM n), k AS (SELECT *, NOT noise AND length(c) > 3 AS long, NOT noise AND length(c) > 3 AND {_DISH} AS dish FROM cl) SELECT count(*) AS names, count(*) FILTER (WHERE NOT noise) AS without_noise, count(*) FILTER (WHERE long) AS cleaned, count(*) FILTER (WHERE dish) AS dishes, count(DISTINCT c) FILTER (WHERE dish) AS distinct_names, count(DISTINCT {_KEY.replace('dish_name', 'c')}) FILTER (WHERE dish) AS merged FROM k")
+def step_counts(spark, d):
+    """How many names each cleaning step leaves."""
+    return D.step_counts(_raw(spark, d).select("dish_name").distinct())
+
+
 @query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
 def line_frequency(spark, d):
     return G.line_frequency(_t(spark, d, "documents").select("text"))
