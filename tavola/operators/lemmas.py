@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.text import split_words
+from tavola.operators.lineage import cut
 
 
 def _identity(dishes: DataFrame, **_) -> DataFrame:
@@ -71,11 +72,9 @@ def lemma_dictionary(rows: DataFrame, lemmas: str = "lemmas", min_frequency: int
 
 def ranked(rows: DataFrame, by: str, tie: str) -> DataFrame:
     """``rows`` with ``rank`` from 1 by falling ``by`` and rising ``tie``: sorted by range, numbered per partition, shifted by the partitions before."""
-    from pyspark.sql import Window
-
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = rows.repartitionByRange(n, F.desc(by), F.asc(tie)).withColumn("_p", F.spark_partition_id()).persist()
+    part = cut(rows.repartitionByRange(n, F.desc(by), F.asc(tie)).withColumn("_p", F.spark_partition_id()))
     sizes = part.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(by), F.asc(tie)))
     out = part.withColumn("_i", own).join(sizes.select("_p", F.coalesce("before", F.lit(0)).alias("before")), "_p")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
 from tavola.functions.rules import first_contained
 from tavola.functions.text import tokens
+from tavola.operators.lineage import cut
 
 
 def curated_pairs(groups=V.SYNONYMS) -> list[tuple[str, str]]:
@@ -51,16 +50,6 @@ def curated_join(names: DataFrame, synonyms: DataFrame, name: str = "dish_name")
     return names.withColumn("_low", F.lower(name)).join(best.withColumnRenamed("low", "_low"), "_low", "left").drop("_low")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here, in the folder of ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tavola-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``a, b`` (a < b): ids of ``sets (id, tokens)`` whose token sets have a Jaccard similarity of ``threshold`` or more.
 
@@ -74,7 +63,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     ordered = sets.select("id", F.explode("tokens").alias("t")).join(freq, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "t")))["t"].alias("tokens"))
     ordered = ordered.withColumn("n", size)
     prefix = F.expr(f"slice(tokens, 1, n - cast(ceil({num} * n / 1000.0) as int) + 1)")
-    index = _cut(ordered.select("id", "n", "tokens", prefix.alias("p")))
+    index = cut(ordered.select("id", "n", "tokens", prefix.alias("p")))
     parts = index.select("id", "n", "tokens", F.explode("p").alias("t"))
     x, y = parts.alias("x"), parts.alias("y")
     near = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")))
@@ -89,16 +78,16 @@ def leaders(edges: DataFrame) -> DataFrame:
     decided is decided; every round decides at least the least undecided one
     of each component, and all of them at once.
     """
-    e = _cut(edges)
+    e = cut(edges)
     ids = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
-    state = _cut(ids.join(e.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")))
+    state = cut(ids.join(e.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")))
     while True:
         open_ = e.join(state.select(F.col("id").alias("b")), "b", "left_anti")
         below = open_.join(state.withColumnRenamed("id", "a"), "a", "left").groupBy("b").agg(F.max(F.col("leads") == True).alias("joins"), F.count_if(F.col("leads").isNull()).alias("waits"))  # noqa: E712
-        new = _cut(below.where("coalesce(joins, false) or waits = 0").select(F.col("b").alias("id"), (~F.coalesce("joins", F.lit(False))).alias("leads")))
+        new = cut(below.where("coalesce(joins, false) or waits = 0").select(F.col("b").alias("id"), (~F.coalesce("joins", F.lit(False))).alias("leads")))
         if new.isEmpty():
             break
-        state = _cut(state.unionByName(new))
+        state = cut(state.unionByName(new))
     return e.join(state.where("leads").select(F.col("id").alias("a")), "a").join(state.where("not leads").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader")
 
 
@@ -116,7 +105,7 @@ def auto_groups(dishes: DataFrame, threshold: float = 0.85, lemmas: str | None =
     rows = named.select("dish_name", "count", F.array_sort(tokens(F.col("_text"))).alias("tokens")).where(F.size("tokens") > 0)
     order = F.struct((-F.col("count")).alias("c"), F.col("dish_name").alias("n"))
     rows = rows.withColumn("id", order)
-    sets = _cut(rows.groupBy("tokens").agg(F.min("id").alias("id")))
+    sets = cut(rows.groupBy("tokens").agg(F.min("id").alias("id")))
     joins = leaders(similar_pairs(sets, threshold))
     head = sets.join(joins, "id", "left").select("tokens", F.coalesce("leader", "id").alias("leader"))
     return rows.join(head, "tokens").select("dish_name", F.col("leader.n").alias("canonical_name")).where("dish_name <> canonical_name")
