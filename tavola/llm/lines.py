@@ -17,7 +17,7 @@ occur earlier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, release
@@ -99,6 +99,15 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return named.join(first, ["m", "ra", "rb"]).where(F.struct(*_AT) > F.col("first")).select(*_AT, "m")
 
 
+def _once(col: Column) -> Column:
+    """``col``, computed once a row: the optimizer neither merges such a projection into the next nor pushes filters below it.
+
+    Merged, it would be computed anew for every element of an array that a
+    lambda function runs over.  The condition always holds.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with later copies of line runs deleted from its text, and ``n_lines, n_removed`` (replaced if there).
 
@@ -111,11 +120,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_o", "_th", "_gone", "_l")]
     d = docs.select(*keep).join(gone, (_order(id_col) == F.col("_o")) & (F.xxhash64(text) == F.col("_th")), "left")
-    d = d.withColumn("_l", F.split(text, "\n", -1))
+    d = d.withColumn("_l", _once(F.split(text, "\n", -1)))
     worded = F.expr(r"filter(sequence(0, size(_l) - 1), p -> get(_l, p) rlike '[^\\x20\\x09-\\x0D]')")
     left = F.expr("array_except(sequence(0, size(_l) - 1), transform(_gone, k -> get(_w, k)))")
-    d = d.withColumn("_w", F.when(F.col("_gone").isNotNull(), worded))
-    d = d.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    d = d.withColumn("_w", _once(F.when(F.col("_gone").isNotNull(), worded)))
+    d = d.withColumn("_left", _once(F.when(F.col("_gone").isNotNull(), left)))
     new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform("_left", lambda p: F.get("_l", p)), "\n"))
     return d.select(
         *[new.alias(c) if c == text_col else F.col(c) for c in keep],
