@@ -243,7 +243,7 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
 class Encoder:
     """Encodes batches; keeps the ids of at most ``most`` distinct words from one batch to the next."""
 
-    def __init__(self, path: str = MODEL, most: int = 600_000):
+    def __init__(self, path: str = MODEL, most: int = 500_000):
         self.v, self.most = vocabulary(path), most
         v = self.v
         self.high = np.zeros(len(v.text), bool)  # bytes that are only a part of a character
@@ -263,7 +263,11 @@ class Encoder:
         text = text.replace(" ", _SPACE)
         return _UNIT.findall(_SPACE + text if self.v.prefix else text)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], step: int = 40_000) -> None:
+        for i in range(0, len(new), step):
+            self._add(new[i : i + step])
+
+    def _add(self, new: list[str]) -> None:
         ids, at = encode_words(new, self.v)
         n, have = len(new), len(self.known)
         while self.used + len(ids) > len(self.ids):
@@ -313,7 +317,7 @@ class Encoder:
         return s[1:] if v.prefix and s.startswith(" ") else s
 
 
-def _groups(texts: list[str | None], most_chars: int = 4 << 20):
+def _groups(texts: list[str | None], most_chars: int = 2 << 20):
     i = 0
     while i < len(texts):
         j, n = i, 0
