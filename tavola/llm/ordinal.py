@@ -150,10 +150,10 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where(q.isin(0, 1)).groupBy("doc_id").agg(F.min(F.when(q == 0, 0).when(t == 1, 1).otherwise(2)).alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, rows: int = 4000, n_grades: int = 3) -> Ordinal:
-    """Fit on at most ``rows`` of ``ratings (doc_id, grade)``, in the order of a hash of the id."""
+def train(docs: DataFrame, ratings: DataFrame, rows: int = 4000, n_grades: int = 3, max_chars: int = 50_000) -> Ordinal:
+    """Fit on at most ``rows`` of ``ratings (doc_id, grade)``, in the order of a hash of the id, less texts of over ``max_chars`` characters."""
     chosen = ratings.where(F.col("grade").between(0, n_grades - 1)).select(F.col("doc_id").alias("_id"), "grade").orderBy(F.xxhash64(F.lit("ordinal"), "_id"), "_id").limit(rows)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "t", "grade").collect()
+    got = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.coalesce(F.length("t"), F.lit(0)) <= max_chars).select("_id", "t", "grade").collect()
     got.sort(key=lambda r: (str(r._id), r.t or ""))
     return fit([r.t for r in got], [r.grade for r in got], n_grades)
 
