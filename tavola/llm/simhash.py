@@ -90,6 +90,7 @@ def _forest(fp: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[lis
 
 def _links_of(run: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the runs of equal ``run``."""
+    fp = fp.view(np.uint64)  # of a signed number numpy counts the bits of the absolute value
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     size = np.diff(np.r_[starts, len(run)])
     a, b = [], []
