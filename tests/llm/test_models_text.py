@@ -178,6 +178,26 @@ def test_long_texts_score_alike():
     assert s.scores([text], most_chars=4000) == pytest.approx(s.scores([text]), abs=1e-5)
 
 
+def test_scores_are_of_one_text_alone():
+    rng = random.Random(6)
+    net = toxicity.fit([prose(rng, 30) + (" zurk" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)], epochs=3)
+    texts = ["", None, "zurk", "zurk zurk an", "!?", *[prose(rng, rng.randint(1, 12)) for _ in range(25)]]
+    alone = [toxicity.Scorer(net).scores([t])[0] for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert toxicity.Scorer(net).scores([a, b]).tolist() == [alone[i], alone[j]]
+    assert toxicity.Scorer(net).scores(texts).tolist() == alone
+
+
+def test_fit_reads_no_next_text():
+    rng = random.Random(7)
+    net = toxicity.fit([prose(rng, 5) for _ in range(8)], [i % 2 for i in range(8)], epochs=1)
+    docs = [np.array(x, np.int64) for x in ([1, 2], [], [3, 4, 5], [6])]
+    flat, begin, stop = toxicity._layout(docs, max(net.widths))
+    for b, e in zip(begin, stop, strict=True):
+        assert not flat[e - 1 : e - 1 + max(net.widths)].any()  # all that the last position in the maximum reads
+
+
 def test_ordinal_grades(spark):
     rng = random.Random(5)
     words = {0: "junk ###", 1: "plain", 2: "superb"}
