@@ -249,7 +249,7 @@ _TOKENS = r"tok AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\s\x
 _DICT = f"WITH {_TOKENS}, dict AS (SELECT lemma, frequency, CAST(row_number() OVER (ORDER BY frequency DESC, lemma) AS INTEGER) AS rank FROM (SELECT lemma, count(*) AS frequency FROM tok WHERE NOT regexp_matches(lemma, '^[!-/:-@\\[-`{{-~\\s]*$') GROUP BY lemma HAVING count(*) >= 2))"
 
 
-def _dictionary(spark, d, least=2) -> DataFrame:
+def _dictionary(spark, d, least=1) -> DataFrame:
     return L.lemma_dictionary(_t(spark, d, "documents").select("text"), "text", least, True)
 
 
