@@ -76,7 +76,7 @@ def _menus(spark, d) -> DataFrame:
 
 
 _MENUS = "menus AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, s_name AS restaurant, p_name AS dish_name, month(l_shipdate) AS m FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"
-# Names of the first half of the alphabet are known dishes.
+# Names of the first half of the alphabet are known dishes to unmatched_rows and run_metrics.
 _KNOWN = "known AS (SELECT DISTINCT p_name AS dish_name FROM part WHERE p_name < 'n')"
 
 
@@ -84,8 +84,12 @@ def _known(spark, d) -> DataFrame:
     return T.canonical_map(_t(spark, d, "part").where("p_name < 'n'").select(F.col("p_name").alias("dish_name")))
 
 
+def _dishes(spark, d) -> DataFrame:
+    return T.canonical_map(_t(spark, d, "part").select(F.col("p_name").alias("dish_name")))
+
+
 def _counts(spark, d, min_count: int = 10) -> DataFrame:
-    return T.monthly_counts(T.matched(_menus(spark, d), _known(spark, d)), min_count)
+    return T.monthly_counts(T.matched(_menus(spark, d), _dishes(spark, d)), min_count)
 
 
 _MONTHLY = f"WITH {_MENUS}, {_KNOWN}, counts AS (SELECT dish_name AS canonical_name, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE m = {m}) AS {c}" for m, c in enumerate(T.MONTHS, 1)) + ", min(date) AS first_seen, max(date) AS last_seen FROM menus JOIN known USING (dish_name) GROUP BY dish_name HAVING count(*) >= 10)"
