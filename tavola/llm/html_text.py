@@ -5,14 +5,15 @@ a block-level tag ends a line, white space inside becomes one space.  A line's
 ratio is its characters over its tags; ratios are smoothed by a Gaussian and
 split into two clusters by an iterated threshold.  The dense cluster tells
 which element is the article: an ``article`` or ``main`` element with most of
-it, else the element that has most of it.  All lines of that element are
-returned, short headings among them, except those in menus, headers, footers,
-sidebars, notices, adverts, forms and comments.
+it, else the innermost container of all of it, or the page where there is
+none.  All lines of that element are returned, however short, except those in
+menus, headers, footers, sidebars, notices, adverts, forms and comments.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +33,8 @@ _NAMES = frozenset(
 )
 _NOT = frozenset("has with no without is js".split())
 _CLOSES_P = _BLOCK
+#: Elements that can be the article where none is named; a paragraph or an item of a list is a part of one.
+_CONTAINERS = frozenset("html body div section center".split())
 _ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -174,7 +177,8 @@ def blocks(html: str | None) -> list[str]:
         return []
     ratio = np.array([len(t) / (1 + n) for t, n, _, _ in lines])
     soft = smoothed(ratio)
-    dense = soft >= threshold(soft)
+    limit = threshold(soft)
+    dense = soft >= limit
     may = [i for i, x in enumerate(lines) if x[3]]
     if not may:
         return []
@@ -198,16 +202,11 @@ def blocks(html: str | None) -> list[str]:
             if every[root] < 0.5 * every[m]:
                 root = m
         return [lines[i][0] for i in may if root in lines[i][2]]
-    if not weight:  # text outside of any element
-        return [lines[i][0] for i in may if dense[i]]
-    total = sum(len(lines[i][0]) for i in may if dense[i])
-    root = max((e for e in weight if weight[e] >= 0.6 * total), default=None)  # the innermost: ids grow inwards
-    own = [i for i in may if root is None or root in lines[i][2]]
-    picked = [i for i in own if dense[i]]
-    first, last = picked[0], picked[-1]
-    while first - 1 in own and any(p.kinds[e] in ("h1", "h2", "h3") for e in lines[first - 1][2]):
-        first -= 1
-    return [lines[i][0] for i in own if first <= i <= last]
+    # a long line between short ones is text, too
+    common = set.intersection(*(set(lines[i][2]) for i in may if dense[i] or ratio[i] >= limit))
+    held = Counter(e for i in may for e in lines[i][2])
+    root = max((e for e in common if p.kinds[e] in _CONTAINERS and held[e] > 1), default=None)  # the innermost: ids grow inwards
+    return [lines[i][0] for i in may if root is None or root in lines[i][2]]
 
 
 def main_text(html: str | None) -> str:

@@ -67,6 +67,20 @@ def test_main_text_without_article():
     assert got[0] == "Title" and len(got) == 6 and not any("cookies" in x or "Home" in x for x in got)
 
 
+def test_main_text_of_uneven_paragraphs():
+    long, mid, short = "A long sentence. " * 180, "Some more words. " * 25, "And some at the end. " * 15
+    nav = "<div id='top'><a>Home</a> <a>News</a> <a>About</a></div><ul><li><a>x</a><li><a>y</a></ul>"
+    want = ["T", *[" ".join(x.split()) for x in (long, mid, short)]]
+    assert html_text.blocks(f"<body>{nav}<div><h1>T</h1><p>{long}</p><p>{mid}</p><p>{short}</p></div></body>") == want
+    assert html_text.blocks(f"<body>{nav}<div><h1>T</h1><div>{long}</div><div>{mid}</div><div>{short}</div></div></body>") == want
+    parts = f"<section><h1>T</h1><p>{long}</p></section><section><p>{mid}</p><p>{short}</p></section>"
+    assert html_text.blocks(f"<body>{nav}<div>{parts}</div></body>") == want
+    ends = f"<h5>Part</h5><p>Hello.</p><ul><li>one</li><li>two</li></ul><p>{long}</p><p>{mid}</p><p>{mid}</p><h4>End</h4><p>Bye.</p><ol><li>three</li></ol>"
+    got = html_text.blocks(f"<body>{nav}<div>{ends}<div class='share'>Share</div></div></body>")
+    assert got == ["Part", "Hello.", "one", "two", *[" ".join(x.split()) for x in (long, mid, mid)], "End", "Bye.", "three"]
+    assert html_text.blocks(f"<p>Hello.</p><p>{long}</p><p>{mid}</p><p>Bye.</p>") == ["Hello.", *want[1:3], "Bye."]
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 2), (3, None, "<p>only text here", 3), (3, None, "<p>only text here", 3), (4, "u", "<!-- <p> " + "x" * 99_999, 4)], "page_id long, url string, html string, text long")
     rows = html_text.extract(df).collect()
