@@ -203,6 +203,16 @@ def test_scores_are_of_one_text_alone():
     assert toxicity.Scorer(net).scores(texts).tolist() == alone
 
 
+def test_slices_score_as_the_whole():
+    for seed in range(30):
+        rng = random.Random(seed)
+        net = toxicity.fit([prose(rng, 8) for _ in range(12)], [i % 2 for i in range(12)], epochs=1, n_buckets=512, seed=seed)
+        s = toxicity.Scorer(net)
+        text = prose(rng, rng.randint(30, 60))
+        for chars in (8, 16, 24, 40):
+            assert s.scores([text], most_chars=chars).tolist() == s.scores([text]).tolist(), (seed, chars)
+
+
 def test_fit_reads_no_next_text():
     rng = random.Random(7)
     net = toxicity.fit([prose(rng, 5) for _ in range(8)], [i % 2 for i in range(8)], epochs=1)
