@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.operators.lemmas import ranked
+
 #: Tier -> least number of occurrences.
 TIERS = ((1, 200), (2, 50), (3, 10))
 
@@ -31,10 +33,16 @@ def tiers(resolved: DataFrame) -> DataFrame:
     return top_dishes(resolved).groupBy(tier_of(F.col("occurrences")).alias("tier")).agg(F.count("*").alias("dishes"), F.sum("occurrences").alias("occurrences"))
 
 
-def tier_ranks(resolved: DataFrame, k: int = 100) -> DataFrame:
-    """``tier, rank, canonical_name, occurrences``: the first ``k`` of each tier."""
-    w = Window.partitionBy("tier").orderBy(F.desc("occurrences"), F.asc("canonical_name"))
-    return top_dishes(resolved).withColumn("tier", tier_of(F.col("occurrences"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("tier", "rank", "canonical_name", "occurrences")
+def tier_ranks(resolved: DataFrame, k: int | None = None) -> DataFrame:
+    """``tier, rank, canonical_name, occurrences``: all of each tier, or the first ``k``.
+
+    Tiers follow each other in the order of all names, so a rank is the place
+    in it less the names of the tiers before; no task has to hold a tier.
+    """
+    out = ranked(top_dishes(resolved), "occurrences", "canonical_name").withColumn("tier", tier_of(F.col("occurrences")))
+    before = out.groupBy("tier").agg((F.min("rank") - 1).alias("before"))  # a row per tier
+    out = out.join(F.broadcast(before), "tier").select("tier", (F.col("rank") - F.col("before")).alias("rank"), "canonical_name", "occurrences")
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def tier_profile(resolved: DataFrame) -> DataFrame:

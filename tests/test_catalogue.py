@@ -3,6 +3,7 @@
 import datetime
 
 import __spark_entry__ as entry
+from tavola.operators import reports as P
 
 
 def test_words_that_occur_once(spark, tmp_path):
@@ -24,3 +25,15 @@ def test_seasons_of_all_dishes(spark, tmp_path):
         assert {k: r[n] for k, r in got(name, dish).items()} == {"apple": 50, "zucchini": 60}, name
     assert set(got("top_per_season", "dish")) == {"apple", "zucchini"}
     assert set(got("unmatched_rows", "dish_name")) == {"zucchini"}  # its dimension stays a part of the names
+
+
+def test_ranks_of_whole_tiers(spark):
+    rows = [(f"n{i:03}", 10 + i % 7) for i in range(130)] + [(f"r{i:03}", 1 + i % 3) for i in range(120)] + [("top", 500)]
+    got = [tuple(r) for r in P.tier_ranks(spark.createDataFrame(rows, "canonical_name string, count long")).collect()]
+    want = []
+    for tier, low, high in [(1, 200, 1 << 30), (3, 10, 50), (4, 0, 10)]:
+        own = sorted((x for x in rows if low <= x[1] < high), key=lambda x: (-x[1], x[0]))
+        want += [(tier, i, name, n) for i, (name, n) in enumerate(own, 1)]
+    assert sorted(got) == want
+    few = [tuple(r) for r in P.tier_ranks(spark.createDataFrame(rows, "canonical_name string, count long"), 2).collect()]
+    assert sorted(few) == [r for r in want if r[1] <= 2]
