@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one."""
+    """``df`` from a checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, in a temporary one on a local master; on a cluster
+    executors would not share it, so it must be set there.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tavola-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="tavola-")
+            atexit.register(shutil.rmtree, own, True)
+            folder = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

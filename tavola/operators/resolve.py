@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
@@ -50,45 +50,55 @@ def curated_join(names: DataFrame, synonyms: DataFrame, name: str = "dish_name")
     return names.withColumn("_low", F.lower(name)).join(best.withColumnRenamed("low", "_low"), "_low", "left").drop("_low")
 
 
+def token_classes(sets: DataFrame) -> DataFrame:
+    """``id, class_id`` of ``sets (id, tokens)``: the least id that has the same set of tokens.  Sets without a token are left out."""
+    rows = sets.select("id", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    return rows.join(rows.groupBy("tokens").agg(F.min("id").alias("class_id")), "tokens").select("id", "class_id")
+
+
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``a, b`` (a < b): ids of ``sets (id, tokens)`` whose token sets have a Jaccard similarity of ``threshold`` or more.
+    """``a, b`` (a < b): ids of ``sets (id, tokens)``, no two of them equal, with a Jaccard similarity of ``threshold`` or more.
 
     Prefix filtering: with tokens ordered from the rarest on, similar sets
-    share one of their first ``n - ceil(threshold * n) + 1``; and their sizes
-    are within the threshold.
+    share one of their first ``n - ceil(threshold * n) + 1``; their sizes are
+    within the threshold, and what the sets have from that token on suffices.
+    Only ids, sizes and places are joined on tokens; each pair that is left is
+    then verified once.  Sets so small that no other can be similar are left
+    out first, and with them nearly all common tokens of prefixes.
     """
     num = round(threshold * 1000)
-    size = F.size("tokens")
-    freq = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    ordered = sets.select("id", F.explode("tokens").alias("t")).join(freq, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "t")))["t"].alias("tokens"))
-    ordered = ordered.withColumn("n", size)
-    prefix = F.expr(f"slice(tokens, 1, n - cast(ceil({num} * n / 1000.0) as int) + 1)")
-    index = cut(ordered.select("id", "n", "tokens", prefix.alias("p")))
-    parts = index.select("id", "n", "tokens", F.explode("p").alias("t"))
+    sets = sets.select("id", F.array_sort("tokens").alias("tokens"), F.size("tokens").alias("n")).where(F.col("n") * 1000 >= num * (F.col("n") + 1))
+    long = sets.select("id", "n", F.explode("tokens").alias("t"))
+    freq = long.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")  # a token of one set makes no pair
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("f"), F.col("t")))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those come before all others
+    ordered = long.join(freq, "t").withColumn("i", place + alone)
+    parts = cut(ordered.where(F.expr(f"i <= n - cast(ceil({num} * n / 1000.0) as int) + 1")).select("t", "id", "n", "i"))
     x, y = parts.alias("x"), parts.alias("y")
-    near = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")))
-    both = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    return near.where(1000 * both >= num * (F.col("x.n") + F.col("y.n") - both)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + F.least("x.i", "y.i")
+    near = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")) & ((1000 + num) * rest >= num * (F.col("x.n") + F.col("y.n"))))
+    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(1000 * shared >= num * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
 def leaders(edges: DataFrame) -> DataFrame:
     """``id, leader`` for every id that joins one: in rising order each id joins its least earlier leader that it has an edge to, else leads.
 
-    ``edges (a, b)`` with a < b.  An id all of whose lower neighbours are
-    decided is decided; every round decides at least the least undecided one
-    of each component, and all of them at once.
+    ``edges (a, b)`` with a < b.  In every round the ids without an undecided
+    lower neighbour lead and their neighbours join; edges of decided ids go,
+    so each round has only the edges between undecided ones.
     """
     e = cut(edges)
-    ids = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
-    state = cut(ids.join(e.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")))
-    while True:
-        open_ = e.join(state.select(F.col("id").alias("b")), "b", "left_anti")
-        below = open_.join(state.withColumnRenamed("id", "a"), "a", "left").groupBy("b").agg(F.max(F.col("leads") == True).alias("joins"), F.count_if(F.col("leads").isNull()).alias("waits"))  # noqa: E712
-        new = cut(below.where("coalesce(joins, false) or waits = 0").select(F.col("b").alias("id"), (~F.coalesce("joins", F.lit(False))).alias("leads")))
-        if new.isEmpty():
-            break
-        state = cut(state.unionByName(new))
-    return e.join(state.where("leads").select(F.col("id").alias("a")), "a").join(state.where("not leads").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader")
+    joined, left = e.select("b").limit(0), e
+    while not left.isEmpty():
+        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = cut(left.join(heads, "a", "left_semi").select("b").distinct())
+        left = cut(left.join(heads, "a", "left_anti").join(new, "b", "left_anti").join(new.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+        joined = joined.unionByName(new)
+    lead = e.join(joined.select(F.col("b").alias("a")), "a", "left_anti").join(joined, "b", "left_semi")
+    return lead.groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader")
 
 
 def auto_groups(dishes: DataFrame, threshold: float = 0.85, lemmas: str | None = "lemmas") -> DataFrame:

@@ -92,7 +92,7 @@ def _counts(spark, d, min_count: int = 10) -> DataFrame:
     return T.monthly_counts(T.matched(_menus(spark, d), _dishes(spark, d)), min_count)
 
 
-_MONTHLY = f"WITH {_MENUS}, {_KNOWN}, counts AS (SELECT dish_name AS canonical_name, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE m = {m}) AS {c}" for m, c in enumerate(T.MONTHS, 1)) + ", min(date) AS first_seen, max(date) AS last_seen FROM menus JOIN known USING (dish_name) GROUP BY dish_name HAVING count(*) >= 10)"
+_MONTHLY = f"WITH {_MENUS}, known AS (SELECT DISTINCT p_name AS dish_name FROM part), counts AS (SELECT dish_name AS canonical_name, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE m = {m}) AS {c}" for m, c in enumerate(T.MONTHS, 1)) + ", min(date) AS first_seen, max(date) AS last_seen FROM menus JOIN known USING (dish_name) GROUP BY dish_name HAVING count(*) >= 10)"
 _ARR = "[" + ", ".join(T.MONTHS) + "]"
 _SEASON = "CASE WHEN {m} IN (12, 1, 2) THEN 'tél' WHEN {m} IN (3, 4, 5) THEN 'tavasz' WHEN {m} IN (6, 7, 8) THEN 'nyár' ELSE 'ősz' END"
 _SUMMARY = (
@@ -250,7 +250,7 @@ def page_line_frequency(spark, d):
 
 
 _TOKENS = r"tok AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w: w <> '')) AS lemma FROM documents)"
-_DICT = f"WITH {_TOKENS}, dict AS (SELECT lemma, frequency, CAST(row_number() OVER (ORDER BY frequency DESC, lemma) AS INTEGER) AS rank FROM (SELECT lemma, count(*) AS frequency FROM tok WHERE NOT regexp_matches(lemma, '^[!-/:-@\\[-`{{-~\\s]*$') GROUP BY lemma HAVING count(*) >= 2))"
+_DICT = f"WITH {_TOKENS}, dict AS (SELECT lemma, frequency, CAST(row_number() OVER (ORDER BY frequency DESC, lemma) AS INTEGER) AS rank FROM (SELECT lemma, count(*) AS frequency FROM tok WHERE NOT regexp_matches(lemma, '^[!-/:-@\\[-`{{-~\\s]*$') GROUP BY lemma))"
 
 
 def _dictionary(spark, d, least=1) -> DataFrame:
@@ -331,17 +331,36 @@ def curated_by_join(spark, d):
     return S.curated_join(names, keys)
 
 
-_SETS = "sets AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 200)), '[a-záéíóöőúüű]+'), lambda t: length(t) > 1 AND t NOT IN ('vagy', 'és', 'egy', 'a', 'az', 'van', 'volt', 'meg', 'is'))) AS s FROM documents), ok AS (SELECT * FROM sets WHERE len(s) > 0)"
+def _tokens_sql(col: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({col}), '{V.TOKEN}'), lambda t: length(t) > 1 AND t NOT IN ({_lit(V.STOPWORDS)}))))"
 
 
-@query(f"WITH {_SETS.replace('substr(text, 1, 200)', 'text')}, inter AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS n, len(y.s) AS m FROM ok x JOIN ok y ON x.id < y.id AND len(x.s) * 1000 >= 850 * len(y.s) AND len(y.s) * 1000 >= 850 * len(x.s)) SELECT a, b FROM inter WHERE 1000 * i >= 850 * (n + m - i)")
+_CLASSES = f"sets AS (SELECT doc_id AS id, {_tokens_sql('text')} AS s FROM documents), ok AS (SELECT s, min(id) AS id FROM sets WHERE len(s) > 0 GROUP BY s)"
+_EDGES = "edge AS MATERIALIZED (SELECT a, b FROM (SELECT x.{id} AS a, y.{id} AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS n, len(y.s) AS m FROM {rows} x JOIN {rows} y ON x.{id} < y.{id} AND len(x.s) * 1000 >= 850 * len(y.s) AND len(y.s) * 1000 >= 850 * len(x.s)) WHERE 1000 * i >= 850 * (n + m - i))"
+
+
+def _sets(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+
+
+@query(f"WITH {_CLASSES}, {_EDGES.format(id='id', rows='ok')} SELECT a, b FROM edge")
 def jaccard_pairs(spark, d):
-    """Documents whose token sets are similar."""
-    sets = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    return S.similar_pairs(sets)
+    """Similar classes of documents, by their least ids; documents of one class have one set of tokens."""
+    sets = _sets(spark, d).withColumn("tokens", F.array_sort("tokens"))
+    return S.similar_pairs(sets.groupBy("tokens").agg(F.min("id").alias("id")))
 
 
-@query()
+@query(f"WITH {_CLASSES} SELECT sets.id, ok.id AS class_id FROM sets JOIN ok USING (s)")
+def jaccard_classes(spark, d):
+    """The class of each document."""
+    return S.token_classes(_sets(spark, d))
+
+
+# Names by rank join the least earlier leader: one step of the recursion per name that has an earlier neighbour.
+_GROUPS = f"sets AS (SELECT s, min(r) AS r FROM toks WHERE len(s) > 0 GROUP BY s), {_EDGES.format(id='r', rows='sets')}, nodes AS MATERIALIZED (SELECT b, list(a) AS low, row_number() OVER (ORDER BY b) AS k FROM edge GROUP BY b), rec AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS joined, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS leader UNION ALL SELECT k, CASE WHEN leader IS NULL THEN joined ELSE list_append(joined, b) END, b, leader FROM (SELECT n.k, rec.joined, n.b, list_min(list_filter(n.low, lambda a: NOT list_contains(rec.joined, a))) AS leader FROM rec JOIN nodes n ON n.k = rec.k + 1)), grp AS (SELECT t.dish_name, h.dish_name AS canonical_name FROM toks t JOIN sets USING (s) LEFT JOIN rec ON rec.b = sets.r JOIN toks h ON h.r = coalesce(rec.leader, sets.r) WHERE t.dish_name <> h.dish_name)"
+
+
+@query(f"WITH RECURSIVE toks AS (SELECT dish_name, row_number() OVER (ORDER BY c DESC, dish_name) AS r, {_tokens_sql('dish_name')} AS s FROM (SELECT text AS dish_name, count(*) AS c FROM documents WHERE text IS NOT NULL GROUP BY text)), {_GROUPS} SELECT sha256(dish_name) AS name_sha256, sha256(canonical_name) AS canonical_sha256 FROM grp")
 def auto_groups(spark, d):
     """Texts, as names, that join an earlier, similar one."""
     names = D.dish_count(_t(spark, d, "documents"), "text")
@@ -349,7 +368,15 @@ def auto_groups(spark, d):
     return out.select(F.sha2("dish_name", 256).alias("name_sha256"), F.sha2("canonical_name", 256).alias("canonical_sha256"))
 
 
-@query()
+_RESOLVED = (
+    _CAT.replace("WITH ", "WITH RECURSIVE ", 1)
+    + _CUR
+    + f", toks AS (SELECT dish_name, row_number() OVER (ORDER BY count DESC, dish_name) AS r, {_tokens_sql('CASE WHEN length(l) > 0 THEN l ELSE dish_name END')} AS s FROM (SELECT cat.dish_name, cat.count, {_LEM.replace('dish_name', 'cat.dish_name')} AS l FROM cat LEFT JOIN cur USING (dish_name) WHERE curated IS NULL)), {_GROUPS}"
+    + f" SELECT cat.dish_name, cat.count, {_LEM.replace('dish_name', 'cat.dish_name')} AS lemmas, course, array_to_string(protein, ',') AS protein, array_to_string(method, ',') AS cooking_method, coalesce(curated, grp.canonical_name, cat.dish_name) AS canonical_name, CASE WHEN curated IS NOT NULL THEN 'curated' WHEN grp.canonical_name IS NOT NULL THEN 'auto' END AS match_type FROM cat LEFT JOIN cur USING (dish_name) LEFT JOIN grp USING (dish_name)"
+)
+
+
+@query(_RESOLVED)
 def dishes_resolved(spark, d):
     return C.joined(S.resolve(_categorized(spark, d))).withColumn("lemmas", F.array_join("lemmas", " "))
 
@@ -382,7 +409,7 @@ def tiers(spark, d):
     return P.tiers(_curated(spark, d))
 
 
-@query(_RES + " SELECT tier, CAST(rank AS INTEGER) AS rank, canonical_name, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY occurrences DESC, canonical_name) AS rank FROM tiered) WHERE rank <= 100")
+@query(_RES + " SELECT tier, CAST(rank AS INTEGER) AS rank, canonical_name, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY occurrences DESC, canonical_name) AS rank FROM tiered)")
 def tier_ranks(spark, d):
     return P.tier_ranks(_curated(spark, d))
 
