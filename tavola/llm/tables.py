@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is not among ``taken``, whatever the case."""
+    used = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name in used:
+        name += "_"
+    return name
