@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, release
-from .tables import table
+from .storage import materialize
+from .tables import free, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _FIRST = -(1 << 63)
@@ -41,10 +41,13 @@ def _sequence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(*_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))).cast("long").alias("n"))
 
 
-def _ranked(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """``by`` values that occur twice or more, with a rank ``r`` in their order."""
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` values that occur twice or more, with a rank ``r`` in their order.
+
+    For one use only: another run may give other ranks.
+    """
     twice = rows.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return materialize(twice.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("r")), label)
+    return twice.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("r"))
 
 
 def _candidates(seq: DataFrame, min_words: int) -> DataFrame:
@@ -53,8 +56,7 @@ def _candidates(seq: DataFrame, min_words: int) -> DataFrame:
     ``fore`` lines from ``i`` on, and ``back`` lines up to ``i``, are the
     fewest that have ``min_words`` words; null where the row ends before.
     """
-    ranks = _ranked(seq, ["h1", "h2"], "line-ranks")
-    a = seq.join(ranks, ["h1", "h2"]).select(*_AT, "n", "r").distinct()
+    a = seq.join(_ranked(seq, ["h1", "h2"]), ["h1", "h2"]).select(*_AT, "n", "r").distinct()
     doc = Window.partitionBy("o", "th").orderBy("i")
     a = a.withColumn("row", F.col("i") - F.row_number().over(doc))
     own = Window.partitionBy("o", "th", "row")
@@ -70,13 +72,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``o`` is the id (the least number for null), ``th`` hashes the text.  The
     earliest copy, by ``o``, ``th`` and line, is not among them.  Rows equal
-    in id and text are one document.
+    in id and text are one document.  Ids are integers, or texts of such.
+    Null texts have no lines; an empty table has no runs.
     """
     seq = materialize(_sequence(docs, id_col, text_col), "lines")
-    cand = materialize(_candidates(seq, min_words), "candidates")
+    cand = materialize(_candidates(seq, min_words), "candidates", seq.count())
     blocks = cand.where("fore is not null").select(*_AT, F.col("fore").alias("m")).unionByName(cand.where("back is not null").select("o", "th", F.expr("cast(i - back + 1 as int)").alias("i"), F.col("back").alias("m"))).distinct()
-    most = cand.agg(F.max(F.greatest("fore", "back"))).first()[0] or 0
-    level = cand.select(*_AT, "r")
+    most, have = cand.agg(F.max(F.greatest("fore", "back")), F.count("*")).first()
+    if not most:
+        return blocks
+    level, left = cand.select(*_AT, "r"), have
     named, k = None, 0
     while (1 << k) <= most:
         size = 1 << k
@@ -84,21 +89,31 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             half = size >> 1
             after = level.select("o", "th", (F.col("i") - half).alias("i"), F.col("r").alias("r2"))
             pairs = level.withColumnRenamed("r", "r1").join(after, _AT)
-            ranks = _ranked(pairs, ["r1", "r2"], f"ranks-{size}")
-            level = materialize(pairs.join(ranks, ["r1", "r2"]).select(*_AT, "r"), f"suffixes-{size}")
+            level = materialize(pairs.join(_ranked(pairs, ["r1", "r2"]), ["r1", "r2"]).select(*_AT, "r"), f"suffixes-{size}", left)
+            left = level.count()
         here = blocks.where(f"m >= {size} and m < {2 * size}")
         part = here.join(level.withColumnRenamed("r", "ra"), _AT)
         tail = level.select("o", "th", F.col("i").alias("j"), F.col("r").alias("rb"))
         part = part.withColumn("j", (F.col("i") + F.col("m") - size).cast("int")).join(tail, ["o", "th", "j"]).drop("j")
         named = part if named is None else named.unionByName(part)
         k += 1
-    if named is None:
-        return blocks
-    named = materialize(named, "blocks")
-    first = named.groupBy("m", "ra", "rb").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = materialize(named, "blocks", 2 * have)
+    # a table of its own, so that adaptive execution may split the blocks of one interval in the join
+    first = materialize(named.groupBy("m", "ra", "rb").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "intervals", have)
     return named.join(first, ["m", "ra", "rb"]).where(F.struct(*_AT) > F.col("first")).select(*_AT, "m")
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """``o, th, gone``: the lines in any of the runs, as ascending numbers, each once."""
+    doc = Window.partitionBy("o", "th").orderBy("i", "m")
+    end = F.max(F.col("i") + F.col("m")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    r = runs.withColumn("new", F.when(F.col("i") <= end, 0).otherwise(1))
+    r = r.withColumn("g", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = r.groupBy("o", "th", "g").agg(F.min("i").alias("a"), F.max(F.col("i") + F.col("m")).alias("b"))
+    spans = spans.groupBy("o", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+    return spans.select("o", "th", F.expr("flatten(transform(s, x -> sequence(x.a, x.b - 1)))").alias("gone"))
+
+
 def _once(col: Column) -> Column:
     """``col``, computed once a row: the optimizer neither merges such a projection into the next nor pushes filters below it.
 
@@ -115,21 +130,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     deleted.  Lines without words stay.  A null text stays null and has no
     lines.  A text that is not touched is returned as it is.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words)
-    gone = runs.groupBy("o", "th").agg(F.collect_set(F.struct("i", "m")).alias("runs")).select(F.col("o").alias("_o"), F.col("th").alias("_th"), F.expr("array_distinct(flatten(transform(runs, x -> sequence(x.i, x.i + x.m - 1))))").alias("_gone"))
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    o, th, gone, ls, w, left = (free(x, keep) for x in ("o", "th", "gone", "ls", "w", "left"))
+    found = _merged(repeated_runs(docs, id_col, text_col, min_words))
+    found = found.select(F.col("o").alias(o), F.col("th").alias(th), F.col("gone").alias(gone))
     text = F.col(text_col).cast("string")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_o", "_th", "_gone", "_l")]
-    d = docs.select(*keep).join(gone, (_order(id_col) == F.col("_o")) & (F.xxhash64(text) == F.col("_th")), "left")
-    d = d.withColumn("_l", _once(F.split(text, "\n", -1)))
-    worded = F.expr(r"filter(sequence(0, size(_l) - 1), p -> get(_l, p) rlike '[^\\x20\\x09-\\x0D]')")
-    left = F.expr("array_except(sequence(0, size(_l) - 1), transform(_gone, k -> get(_w, k)))")
-    d = d.withColumn("_w", _once(F.when(F.col("_gone").isNotNull(), worded)))
-    d = d.withColumn("_left", _once(F.when(F.col("_gone").isNotNull(), left)))
-    new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform("_left", lambda p: F.get("_l", p)), "\n"))
+    d = docs.select(*keep).join(found, (_order(id_col) == F.col(o)) & (F.xxhash64(text) == F.col(th)), "left")
+    d = d.withColumn(ls, _once(F.split(text, "\n", -1)))
+    worded = F.expr(rf"filter(sequence(0, size(`{ls}`) - 1), p -> get(`{ls}`, p) rlike '[^\\x20\\x09-\\x0D]')")
+    d = d.withColumn(w, _once(F.when(F.col(gone).isNotNull(), worded)))
+    rest = F.expr(f"array_except(sequence(0, size(`{ls}`) - 1), transform(`{gone}`, k -> get(`{w}`, k)))")
+    d = d.withColumn(left, _once(F.when(F.col(gone).isNotNull(), rest)))
+    new = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(left, lambda p: F.get(ls, p)), "\n"))
     return d.select(
         *[new.alias(c) if c == text_col else F.col(c) for c in keep],
-        F.coalesce(F.when(text.isNotNull(), F.size("_l")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_l") - F.size("_left"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(text.isNotNull(), F.size(ls)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(ls) - F.size(left), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
