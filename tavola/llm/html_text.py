@@ -1,19 +1,24 @@
 """Main text of HTML pages by text-to-tag ratios.
 
-Events of the standard library's parser are turned into lines as they come:
-a block-level tag ends a line, white space inside becomes one space.  A line's
-ratio is its characters over its tags; ratios are smoothed by a Gaussian and
-split into two clusters by an iterated threshold.  The dense cluster tells
-which element is the article: an ``article`` or ``main`` element with most of
-it, else the innermost container of all of it, or the page where there is
-none.  All lines of that element are returned, however short, except those in
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Events of the standard library's parser are turned into lines as they come: a
+block-level tag ends a line, white space inside becomes one space.  A line's
+ratio is its characters over its tags; in menus, headers, footers, sidebars,
+notices, adverts and comments, told by tag and class, a line counts only a
+ten-thousandth of it.  The logarithms of the ratios are smoothed by a Gaussian
+and split into two clusters by an iterated threshold.
+
+The dense cluster selects the region: from the innermost container of half of
+its characters outwards, as long as a container adds more dense characters
+than its sparse lines lack to be dense; then the article element around that,
+if there is one.  Of the region all lines are returned, however short, except
+sparse ones of the kinds above, and lines of nothing but links beyond all
+dense ones.  Scripts, styles, forms and hidden elements are no lines at all.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,35 +26,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import free, table
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never part of an article.
-_DROP = frozenset("script style noscript template svg math head title iframe object canvas audio video nav footer aside form dialog menu button select textarea input datalist fieldset".split())
+#: Elements whose text is no line.
+_DROP = frozenset("script style noscript template svg math head title iframe object canvas audio video form dialog button select textarea input datalist fieldset".split())
+#: Elements whose lines are sparse unless they are ten thousand times as dense as others.
+_WEAK = frozenset("nav footer aside menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended recommendations teaser widget toolbar pagination pager search skip outbrain taboola".split()
 )
 _NOT = frozenset("has with no without is js".split())
-_CLOSES_P = _BLOCK
-#: Elements that can be the article where none is named; a paragraph or an item of a list is a part of one.
-_CONTAINERS = frozenset("html body div section center".split())
+#: Elements that can be the region where no article is named; a paragraph or an item of a list is a part of one.
+_CONTAINERS = frozenset("html body div section center main article table td".split())
+#: An item ends the last one of these, but for one outside of the list or table that it is in.
 _ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS = ("ul", "ol", "dl", "table", "select", "menu")
+_P_SCOPE = ("td", "th", "caption", "table", "button", "object")
+_DAMP = 1e-4
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and (value or "").strip().lower() == "true":
+            return True
+        if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+    return False
+
+
+def _weak(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether tag, role or class say that this is no part of an article."""
     if tag in ("html", "body", "main", "article"):
         return False
+    if tag in _WEAK or tag == "header" and not in_article:
+        return True
     for name, value in attrs:
-        if name == "hidden":
-            return True
         if not value:
             continue
-        if name == "role" and value.strip().lower() in _ROLES or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "role" and value.strip().lower() in _ROLES:
             return True
         if name in ("class", "id"):
             for token in value.split():
@@ -61,86 +79,155 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
     return False
 
 
+@dataclass(slots=True)
+class Line:
+    """``inside``: the innermost element; ``weak``: in one that is no part of an article; ``inline``: the inline one that it is in, if any; ``linked``: characters of links."""
+
+    text: str
+    tags: int
+    inside: int
+    weak: bool
+    inline: int
+    linked: int
+
+    @property
+    def ratio(self) -> float:
+        return len(self.text) / (1 + self.tags) * (_DAMP if self.weak else 1)
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, number of tags, ids of open elements, and whether it may be content."""
+    """Lines of a page.  Elements are numbered as they open, from 1; 0 is the page.  Every tag costs constant time but for elements that it closes.
+
+    An inline element that is dropped or weak ends with the block around it;
+    if its own end tag never came, blocks inside it are as good as others.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.open: list[tuple[str, int, bool]] = []
-        self.off = 0
-        self.count = 0
-        self.kinds: dict[int, str] = {}
-        self.articles = 0
-        self.heading = 0
+        self.aside: list[str] = []  # text of weak inline elements of this line
+        self.tags = self.linked = self.link = 0
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, dropped, weak, inline
+        self.places: dict[str, list[int]] = {}  # of each tag among the open
+        self.kinds, self.parent = [""], [0]
+        self.inline_of = [0]  # of each element the innermost inline one that is dropped or weak, itself included
+        self.unclosed: set[int] = set()
+        self.dropped = self.weak = 0  # open block elements of the kind
+        self.inline = self.inline_dropped = 0  # open inline ones of either kind, and dropped ones
+        self.blocks: list[int] = []  # places of open block elements
+        self.began = 0  # the first inline one that began on this line
 
     def updatepos(self, i: int, j: int) -> int:
         """Line and column are not asked for."""
         return j
 
+    def _inside(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
     def _end_line(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.lines.append((text, self.tags, tuple(x[1] for x in self.open), not self.off))
-                self.tags = 0
-            self.text = []
-
-    def _pop_to(self, k: int) -> None:
-        for tag, _, off in self.open[k:]:
-            self.off -= off
-            self.articles -= tag in ("article", "main")
-        del self.open[k:]
-
-    def _close(self, names: tuple[str, ...], until: frozenset | tuple = ()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                self._pop_to(k)
-                return
-            if self.open[k][0] in until:
-                return
+        at = self.parent[self.began] if self.began else self._inside()
+        for text, aside in ((self.text, False), (self.aside, True)):
+            words = " ".join("".join(text).split()) if text else ""
+            if words:
+                self.lines.append(Line(words, self.tags, at, aside or self.weak > 0, self.inline_of[at], 0 if aside else self.linked))
+                self.tags = self.linked = 0
+            text.clear()
+        self.began = 0
+
+    def _push(self, tag: str, dropped: bool, weak: bool, inline: bool) -> None:
+        up, number = self._inside(), len(self.kinds)
+        self.kinds.append(tag)
+        self.parent.append(up)
+        odd = inline and (dropped or weak)
+        self.inline_of.append(number if odd else self.inline_of[up])
+        self.places.setdefault(tag, []).append(len(self.open))
+        if not inline:
+            self.blocks.append(len(self.open))
+        if odd:
+            self.inline += 1
+            self.inline_dropped += dropped
+            self.began = self.began or number
+        else:
+            self.dropped += dropped
+            self.weak += weak
+        self.open.append((tag, number, dropped, weak, inline))
+
+    def _pop_to(self, k: int, closed: int = -1) -> None:
+        """``closed``: the place of the element whose end tag this is."""
+        while len(self.open) > k:
+            tag, number, dropped, weak, inline = self.open.pop()
+            self.places[tag].pop()
+            if not inline:
+                self.blocks.pop()
+            if inline and (dropped or weak):
+                self.inline -= 1
+                self.inline_dropped -= dropped
+                if len(self.open) != closed:
+                    self.unclosed.add(number)
+            else:
+                self.dropped -= dropped
+                self.weak -= weak
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Close the last of ``tags``, unless one of ``scope`` began in it."""
+        k = self._last(tags)
+        if k >= 0 and k > self._last(scope):
+            self._pop_to(k)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         block = tag in _BLOCK
         if block:
             self._end_line()
-            if self.open and self.open[-1][0] == "p":
-                self._pop_to(len(self.open) - 1)
+            self._close(("p",), _P_SCOPE)
             if tag in _ITEMS:
-                self._close(_ITEMS[tag], ("ul", "ol", "dl", "table", "select", "menu"))
+                self._close(_ITEMS[tag], _LISTS)
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            (self.aside if self.inline else self.text).append(" ")
         if tag in _VOID:
             return
-        off = tag in _DROP or bool(attrs) and _boilerplate(tag, attrs, self.articles > 0) or tag == "header" and not self.articles
-        if block or off:
-            self.count += 1
-            self.kinds[self.count] = tag
-            self.open.append((tag, self.count, off))
-            self.off += off
-            self.articles += tag in ("article", "main")
-
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in _VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # a slash does not close an HTML element
-            self.handle_starttag(tag, attrs)
+        self.link += tag == "a"
+        dropped = tag in _DROP or bool(attrs) and _hidden(attrs)
+        weak = not dropped and (bool(attrs) or tag in _WEAK or tag == "header") and _weak(tag, attrs, bool(self.places.get("article") or self.places.get("main")))
+        if block or dropped or weak or self.inline:  # inside an inline one all are told apart, so that end tags fit
+            self._push(tag, dropped, weak, not block)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
-        if tag in _VOID:
-            return
-        self._close((tag,), ("html", "body") if tag not in ("html", "body") else ())
+        if tag == "a" and self.link:
+            self.link -= 1
+        if tag not in _VOID and self.places.get(tag):
+            k = self.places[tag][-1]
+            if tag in _BLOCK or not self.blocks or self.blocks[-1] < k:
+                self._pop_to(k, k)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.dropped or self.open and self.open[-1][0] in ("script", "style"):
+            return
+        if self.inline_dropped:
+            return
+        if self.inline and self.began:
+            self.aside.append(data)
             return
         self.text.append(data)
+        if self.link:
+            self.linked += len(data.strip())
+
+    def result(self) -> list[Line]:
+        """The lines; those in inline elements that were closed in order are weak."""
+        weak = [False] * len(self.kinds)  # of inline ones: closed, or in one that is
+        for e in range(1, len(weak)):
+            if self.inline_of[e] == e:
+                weak[e] = e not in self.unclosed or weak[self.inline_of[self.parent[e]]]
+        for x in self.lines:
+            x.weak = x.weak or weak[x.inline]
+        return self.lines
 
 
 def smoothed(ratio: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -164,49 +251,68 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
+def _sums(values: np.ndarray, inside: np.ndarray, parent: list[int]) -> np.ndarray:
+    """For each element the values of all lines in it."""
+    total = np.bincount(inside, values, len(parent)).tolist()
+    for e in range(len(parent) - 1, 0, -1):  # the inner ones have the greater numbers
+        total[parent[e]] += total[e]
+    return np.array(total)
+
+
+def _chain(e: int, parent: list[int]):
+    while True:
+        yield e
+        if not e:
+            return
+        e = parent[e]
+
+
 def blocks(html: str | None) -> list[str]:
-    """The blocks of the main text, in page order."""
+    """The blocks of the main text, in page order.  Null, empty and textless pages, and those of nothing but weak lines, have none."""
     if not html:
         return []
     p = _Lines()
     p.feed(html)
     p.close()
     p._end_line()
-    lines = p.lines
+    p._pop_to(0)
+    lines = p.result()
     if not lines:
         return []
-    ratio = np.array([len(t) / (1 + n) for t, n, _, _ in lines])
+    ratio = np.log1p([x.ratio for x in lines])
     soft = smoothed(ratio)
     limit = threshold(soft)
-    dense = soft >= limit
-    may = [i for i, x in enumerate(lines) if x[3]]
-    if not may:
+    weak = np.array([x.weak for x in lines])
+    dense = (soft >= limit) & (~weak | (ratio >= limit))  # smoothing lends a weak line nothing
+    if weak.all():
         return []
-    if not any(dense[i] for i in may):
-        dense = ratio >= 0
-    weight: dict[int, int] = {}
-    every: dict[int, int] = {}
-    for i in may:
-        text, _, inside, _ = lines[i]
-        for e in inside:
-            every[e] = every.get(e, 0) + len(text)
-            if dense[i]:
-                weight[e] = weight.get(e, 0) + len(text)
-    named = [e for e in every if p.kinds[e] in ("article", "main")]
+    if not dense.any():
+        dense = ~weak
+    chars = np.array([len(x.text) for x in lines], float)
+    inside = np.array([x.inside for x in lines])
+    kinds, parent = p.kinds, p.parent
+    held = _sums(chars * dense, inside, parent)
+    lacks = _sums(np.where(dense | weak, 0, np.maximum(0, np.expm1(limit) * (1 + np.array([x.tags for x in lines])) - chars)), inside, parent)
+    count = _sums(np.ones(len(lines)), inside, parent)
+    fits = [e for e in range(len(kinds)) if not e or kinds[e] in _CONTAINERS and count[e] > 1 and 2 * held[e] >= held[0]]
+    start = fits[-1]  # the innermost: numbers grow inwards
+    region = max((e for e in _chain(start, parent) if not e or kinds[e] in _CONTAINERS), key=lambda e: (held[e] - lacks[e], -e))
+    around = list(_chain(region, parent))
+    named = [e for e in around if kinds[e] == "article"]
     if named:
-        arts = [e for e in named if p.kinds[e] == "article"] or named
-        root = max(arts, key=lambda e: (weight.get(e, 0), every[e], -e))
-        mains = [e for e in named if p.kinds[e] == "main"]
-        if mains:  # many short articles in one main element are a list; one that has most of it is the article
-            m = max(mains, key=lambda e: (weight.get(e, 0), every[e], -e))
-            if every[root] < 0.5 * every[m]:
-                root = m
-        return [lines[i][0] for i in may if root in lines[i][2]]
-    # a long line between short ones is text, too
-    common = set.intersection(*(set(lines[i][2]) for i in may if dense[i] or ratio[i] >= limit))
-    held = Counter(e for i in may for e in lines[i][2])
-    root = max((e for e in common if p.kinds[e] in _CONTAINERS and held[e] > 1), default=None)  # the innermost: ids grow inwards
-    return [lines[i][0] for i in may if root is None or root in lines[i][2]]
+        region = named[-1]
+    own = np.zeros(len(kinds), bool)
+    own[region] = True
+    for e in range(1, len(kinds)):
+        own[e] = own[e] or own[parent[e]]
+    got = own[inside]
+    first, last = np.flatnonzero(dense & got)[[0, -1]] if (dense & got).any() else (0, len(lines) - 1)
+    out = []
+    for i in np.flatnonzero(got & (dense | ~weak)).tolist():
+        x = lines[i]
+        if first <= i <= last or kinds[region] == "article" or x.linked < 0.9 * len(x.text.replace(" ", "")):
+            out.append(x.text)
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -227,8 +333,9 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
                 text = [main_text(h.as_py()) for h in part.column(0)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*part.schema.names[1:], out_col, "n_chars"])
 
-    d = pages.select(F.col(html_col).cast("string").alias("_html"), *keep)
-    return d.mapInArrow(run, d.drop("_html").schema.add(out_col, "string").add("n_chars", "long"))
+    own = free("html", keep)
+    d = pages.select(F.col(html_col).cast("string").alias(own), *keep)
+    return d.mapInArrow(run, d.drop(own).schema.add(out_col, "string").add("n_chars", "long"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,5 +343,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+# The given pages name their article, which has headings, paragraphs, line breaks and bold text.
+_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:h1|p)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS l FROM a),
+c AS (SELECT page_id, url, list_transform(l, lambda x: regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g')) AS l FROM b),
+d AS (SELECT page_id, url, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM c)
+SELECT page_id, url, array_to_string(l, chr(10) || chr(10)) AS text, CAST(length(array_to_string(l, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM d
+"""
+
 QUERIES = {"op9_html_text": op9_html_text}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op9_html_text": _SQL}
