@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
@@ -34,6 +35,14 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _show(title: str, few: DataFrame) -> None:
+    """A report of a few rows on the console."""
+    rows = few.collect()
+    print(f"{title}:")
+    for r in rows:
+        print("  " + "  ".join(f"{k}={v}" for k, v in r.asDict().items()))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = session()
@@ -46,25 +55,34 @@ def main(argv: list[str] | None = None) -> None:
         rows = menus.daily_menus(pages.page_elements(pages.read_pages(spark, a.pages), a.close_p), a.strict_logos)
         sinks.write_parquet(rows.withColumn("year", F.substring("date", 1, 4)), a.output, "year")
     elif a.stage == "dishes":
-        sinks.write_csv(dishes.clean_dishes(dishes.dish_count(spark.read.parquet(a.menus))), a.output)
+        found = dishes.clean_dishes(dishes.dish_count(spark.read.parquet(a.menus)))
+        sinks.write_csv(found, a.output)
+        _show("most frequent dishes", found.orderBy(F.desc("count"), "dish_name").limit(30))
     elif a.stage == "lemmas":
         counts = files.read_csv(spark, a.csv, "dish_name string, count long")
         named = files.without_header_rows(counts, "dish_name")
         backend, options = (a.model, {}) if a.model in lemmas.BACKENDS else ("spacy", {"model": a.model})
         out = lemmas.lemmatize(named, backend, **options)
-        sinks.write_csv(out.withColumn("lemmas", F.array_join("lemmas", " ")), a.output)
+        out = out.withColumn("lemmas", F.array_join("lemmas", " "))
+        sinks.write_csv(out, a.output)
+        _show("first rows", out.orderBy(F.desc("score"), "dish_name").limit(3))
     elif a.stage == "dictionary":
         rows = files.without_header_rows(files.read_strings(spark, a.input), "lemmas")
         found = lemmas.lemma_dictionary(rows, "lemmas", a.min_frequency, a.filter_punctuation)
         sinks.write_csv(found.orderBy("rank"), a.output_csv)
         if a.output_json:
-            sinks.write_report(sinks.dictionary_report(found), a.output_json)
+            sinks.write_dictionary(found, a.output_json)
+        _show("tokens", lemmas.lemma_counts(rows))
+        _show("dictionary", lemmas.lemma_stats(found))
+        _show("most frequent lemmas", found.where("rank <= 10").orderBy("rank"))
     elif a.stage == "categorize":
         rows = files.without_header_rows(files.read_csv(spark, a.input, "dish_name string, score long, lemmas string"), "dish_name")
         out = categorize.categorize(rows)
         sinks.write_csv(out, a.output)
         if a.stats:
             sinks.write_report(categorize.category_stats(out), a.stats)
+        _show("rows", categorize.counts(rows))
+        _show("labels", categorize.label_share(out).orderBy("dimension", F.desc("n"), "label"))
     elif a.stage == "synonyms":
         rows = files.read_csv(spark, a.input, "dish_name string, count long, lemmas string, course string, protein string, cooking_method string")
         pairs = resolve.curated_pairs(V.SYNONYMS)
@@ -74,6 +92,7 @@ def main(argv: list[str] | None = None) -> None:
         out = resolve.resolve(rows, pairs, a.threshold)
         sinks.write_csv(out.drop("match_type"), a.output)
         sinks.write_csv(resolve.synonym_groups(out), a.groups)
+        _show("resolved names", out.groupBy("match_type").agg(F.count("*").alias("names")).orderBy("match_type"))
     elif a.stage == "seasonal":
         names = seasonal.canonical_map(files.read_strings(spark, a.dishes))
         counts = seasonal.monthly_counts(seasonal.matched(spark.read.parquet(a.menus), names), a.min_count)
@@ -82,6 +101,9 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_csv(summary.orderBy(F.desc("total_count"), "canonical_name"), a.output_summary)
         if a.output_json:
             sinks.write_report(seasonal.seasonal_report(summary, a.min_count), a.output_json)
+        _show("rows", seasonal.run_metrics(spark.read.parquet(a.menus), names))
+        _show("best of each season", seasonal.top_per_season(summary, 3).orderBy("season", "rank"))
+        _show("most seasonal", seasonal.most_seasonal(summary, a.min_count, 5))
     elif a.stage == "clean":
         sinks.remove(spark, a.output)
 

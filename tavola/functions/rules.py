@@ -11,7 +11,8 @@ from . import values as V
 from .text import any_of, split_words, strip
 
 
-def _rule(col: Column, kind: str, words: list[str]) -> Column:
+def fits(col: Column, kind: str, words: list[str]) -> Column:
+    """Whether a name fits a rule of this kind; null for a null name."""
     low = F.lower(col)
     if kind == "contains":
         return any_of(low, words)
@@ -34,7 +35,7 @@ def _rule(col: Column, kind: str, words: list[str]) -> Column:
 
 def noise_reason(col: Column, rules=V.NOISE) -> Column:
     """Name of the first noise rule that fits; null if none does."""
-    return F.coalesce(*[F.when(_rule(col, kind, words), F.lit(name)) for name, kind, words in rules])
+    return F.coalesce(*[F.when(fits(col, kind, words), F.lit(name)) for name, kind, words in rules])
 
 
 def is_noise(col: Column, rules=V.NOISE) -> Column:

@@ -30,6 +30,19 @@ def categorize(dishes: DataFrame, courses=V.COURSES, default=V.DEFAULT_COURSE, p
     )
 
 
+def side_dishes(dishes: DataFrame, sides: list[str] = V.SIDES) -> DataFrame:
+    """``dish_name, sides``: all side dishes that the name or its lemmas mention, in the order of the list."""
+    lemmas = F.array_join("lemmas", " ") if dict(dishes.dtypes)["lemmas"].startswith("array") else F.coalesce("lemmas", F.lit(""))
+    text = F.concat(F.col("dish_name"), F.lit(" "), lemmas)
+    return dishes.where(F.col("dish_name").isNotNull()).select("dish_name", all_labels(text, [(s, [s]) for s in sides]).alias("sides"))
+
+
+def counts(dishes: DataFrame) -> DataFrame:
+    """One row on what ``categorize`` does: all rows, those ``skipped`` for a blank name, and those that are left."""
+    blank = F.coalesce(F.trim("dish_name"), F.lit("")) == ""
+    return dishes.agg(F.count("*").alias("rows"), F.count_if(blank).alias("skipped"), F.count_if(~blank).alias("categorized"))
+
+
 def joined(categorized: DataFrame) -> DataFrame:
     """Label arrays as comma-joined text, for CSV."""
     return categorized.withColumns({c: F.array_join(c, ",") for c in ("protein", "cooking_method")})

@@ -25,19 +25,24 @@ def _lookup(dishes: DataFrame, table: DataFrame, **_) -> DataFrame:
     return dishes.join(found.select("dish_name", F.col("x.l").alias("lemmas")), "dish_name", "left").withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
 
 
+def load_model(model: str, load: Callable, blank: Callable):
+    """The first that there is: the model; a blank Hungarian pipeline, if the model's name is Hungarian.  Else the error of loading."""
+    try:
+        return load(model)
+    except OSError:
+        if "hu" not in model.lower():
+            raise
+        return blank("hu")
+
+
 def _spacy(dishes: DataFrame, model: str = "hu_core_news_lg", **_) -> DataFrame:
-    """A model loaded once per worker; a blank pipeline if it is absent and its name is Hungarian."""
+    """A model loaded once per worker."""
 
     @F.pandas_udf("array<string>")
     def lemmas(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import spacy
 
-        try:
-            nlp = spacy.load(model)
-        except OSError:
-            if "hu" not in model.lower():
-                raise
-            nlp = spacy.blank("hu")
+        nlp = load_model(model, spacy.load, spacy.blank)
         for names in batches:
             yield pd.Series([[t.lemma_ or t.lower_ for t in doc] for doc in nlp.pipe(names.fillna(""))])
 
@@ -60,6 +65,13 @@ def lemma_tokens(rows: DataFrame, lemmas: str = "lemmas", filter_punctuation: bo
     return out.where(~F.col("lemma").rlike(r"^[\p{Punct}\s]*$")) if filter_punctuation else out
 
 
+def lemma_counts(rows: DataFrame, lemmas: str = "lemmas") -> DataFrame:
+    """One row: ``rows``, ``tokens``, how many of these are ``punctuation``, and how many are ``remaining``."""
+    mark = F.col("lemma").rlike(r"^[\p{Punct}\s]*$")
+    found = lemma_tokens(rows, lemmas).agg(F.count("*").alias("tokens"), F.count_if(mark).alias("punctuation"), F.count_if(~mark).alias("remaining"))
+    return rows.agg(F.count("*").alias("rows")).crossJoin(found)  # one row each
+
+
 def lemma_dictionary(rows: DataFrame, lemmas: str = "lemmas", min_frequency: int = 1, filter_punctuation: bool = False) -> DataFrame:
     """``lemma, frequency, rank``: most frequent first, ties by lemma.
 

@@ -31,7 +31,7 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    df.write.text(path)
+    df.write.mode("overwrite").text(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -45,12 +45,23 @@ def write_report(df: DataFrame, path: str) -> None:
         json.dump(row, f, ensure_ascii=False, indent=2)
 
 
-def dictionary_report(dictionary: DataFrame) -> DataFrame:
-    """One row for ``write_report``: totals, lemma -> frequency, and the list by rank."""
-    items = F.array_sort(F.collect_list(F.struct("rank", "lemma", "frequency")))
-    return dictionary.agg(F.count("*").alias("total_unique_lemmas"), F.sum("frequency").alias("total_occurrences"), items.alias("x")).select(
-        "total_unique_lemmas", "total_occurrences", F.map_from_arrays("x.lemma", "x.frequency").alias("dictionary"), F.transform("x", lambda i: F.struct(i["lemma"].alias("lemma"), i["frequency"].alias("frequency"))).alias("sorted_by_frequency")
-    )
+def write_dictionary(dictionary: DataFrame, path: str) -> None:
+    """``dictionary (lemma, frequency, rank)`` as one JSON file: totals, lemma -> frequency, and the list by rank.
+
+    Rows come to the driver a partition at a time, so it never holds the
+    vocabulary.
+    """
+    total = dictionary.agg(F.count("*").alias("n"), F.coalesce(F.sum("frequency"), F.lit(0)).alias("all")).first()
+    rows = dictionary.select("lemma", "frequency").orderBy("rank") if "rank" in dictionary.columns else dictionary
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{\n  "total_unique_lemmas": {total.n},\n  "total_occurrences": {total["all"]},\n  "dictionary": {{')
+        for i, r in enumerate(rows.toLocalIterator()):
+            f.write(f'{"," if i else ""}\n    {text(r.lemma)}: {r.frequency}')
+        f.write('\n  },\n  "sorted_by_frequency": [')
+        for i, r in enumerate(rows.toLocalIterator()):
+            f.write(f'{"," if i else ""}\n    {{"lemma": {text(r.lemma)}, "frequency": {r.frequency}}}')
+        f.write("\n  ]\n}\n")
 
 
 def remove(spark, path: str) -> bool:

@@ -144,26 +144,34 @@ def unmatched_rows(spark, d):
     return T.unmatched(_menus(spark, d), _known(spark, d)).select("dish_name", "date", "restaurant")
 
 
-@query(f"WITH {_MENUS}, {_KNOWN}, j AS (SELECT known.dish_name AS k FROM menus LEFT JOIN known USING (dish_name)) SELECT count(*) AS menu_rows, CAST(0 AS BIGINT) AS blank, count(*) FILTER (WHERE k IS NULL) AS unmatched, CAST(0 AS BIGINT) AS bad_dates, count(*) FILTER (WHERE k IS NOT NULL) AS matched FROM j")
+# Menu rows of which some have a blank name or date, and some a date without a month.
+_MESSY_DATE = "CASE WHEN l_orderkey % 50 = 0 THEN '' WHEN l_orderkey % 51 = 0 THEN '2024' WHEN l_orderkey % 53 = 0 THEN '2024-xx-01' WHEN l_orderkey % 59 = 0 THEN '2024-13-01' ELSE {day} END"
+_MESSY_NAME = "CASE WHEN l_orderkey % 47 = 0 THEN '  ' WHEN l_orderkey % 61 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN concat(' ', p_name, ' ') ELSE p_name END"
+
+
+@query(f"WITH m AS (SELECT trim(coalesce({_MESSY_NAME}, '')) AS dish_name, " + _MESSY_DATE.format(day="strftime(l_shipdate, '%Y-%m-%d')") + f" AS date FROM lineitem JOIN part ON l_partkey = p_partkey), {_KNOWN}, j AS (SELECT dish_name = '' OR date = '' AS blank, k.dish_name IS NOT NULL AS known, coalesce(TRY_CAST(string_split(date, '-')[2] AS INTEGER) BETWEEN 1 AND 12, false) AS dated FROM m LEFT JOIN known k USING (dish_name)) SELECT count(*) AS menu_rows, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND NOT known) AS unmatched, count(*) FILTER (WHERE NOT blank AND known AND NOT dated) AS bad_dates, count(*) FILTER (WHERE NOT blank AND known AND dated) AS matched FROM j")
 def run_metrics(spark, d):
-    return T.run_metrics(_menus(spark, d), _known(spark, d))
+    li = _t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_shipdate").join(_t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    rows = li.select(F.expr(_MESSY_NAME).alias("dish_name"), F.expr(_MESSY_DATE.format(day="date_format(l_shipdate, 'yyyy-MM-dd')")).alias("date"))
+    return T.run_metrics(rows, _known(spark, d))
+
+
+def _noise_sql(kind: str, words: list[str]) -> str:
+    low = "lower(dish_name)"
+    return {
+        "contains": lambda: _any(low, words),
+        "regex": lambda: " OR ".join(f"regexp_matches({low}, '{w}')" for w in words),
+        "raw_regex": lambda: " OR ".join(f"regexp_matches(dish_name, '{w}')" for w in words),
+        "suffix": lambda: " OR ".join(f"ends_with(trim(dish_name), '{w}')" for w in words),
+        "exact": lambda: f"dish_name IN ({_lit(words)})",
+        "exact_trimmed": lambda: f"trim(dish_name) IN ({_lit(words)})",
+        "all_of": lambda: " AND ".join(f"contains({low}, '{w}')" for w in words),
+        "long_any": lambda: f"length(dish_name) > 100 AND {_any(low, words)}",
+    }[kind]()
 
 
 def _noise_case() -> str:
-    out, low = [], "lower(dish_name)"
-    for name, kind, words in V.NOISE:
-        cond = {
-            "contains": lambda: _any(low, words),
-            "regex": lambda: " OR ".join(f"regexp_matches({low}, '{w}')" for w in words),
-            "raw_regex": lambda: " OR ".join(f"regexp_matches(dish_name, '{w}')" for w in words),
-            "suffix": lambda: " OR ".join(f"ends_with(trim(dish_name), '{w}')" for w in words),
-            "exact": lambda: f"dish_name IN ({_lit(words)})",
-            "exact_trimmed": lambda: f"trim(dish_name) IN ({_lit(words)})",
-            "all_of": lambda: " AND ".join(f"contains({low}, '{w}')" for w in words),
-            "long_any": lambda: f"length(dish_name) > 100 AND {_any(low, words)}",
-        }[kind]()
-        out.append(f"WHEN {cond} THEN '{name}'")
-    return "CASE " + " ".join(out) + " END"
+    return "CASE " + " ".join(f"WHEN {_noise_sql(kind, words)} THEN '{name}'" for name, kind, words in V.NOISE) + " END"
 
 
 @query(f"WITH {_RAW} SELECT p_partkey, dish_name, {_noise_case()} AS reason FROM raw")
@@ -226,6 +234,44 @@ def actual_dish_filter(spark, d):
     return _raw(spark, d).select("p_partkey", R.is_dish(X.clean_name(F.col("dish_name"))).alias("is_dish"))
 
 
+# Lines on which every step of scrubbing and cleaning and every noise rule acts, around a part's name.
+_SCRUB_LINES = ["NULL", "concat('  ', p_name, chr(9), ' leves', chr(10))", "concat(p_name, ' + 150 Ft doboz')", "concat(p_name, ' ( 990 Ft )')", "concat(p_name, ' 990 Ft, köret')", "concat(p_name, ' Telefon: 06-30 123 4567')", "concat(p_name, ' Kiszállítás ingyen minden nap')", "concat('Házhozszállítás hétfőn ', p_name)", "concat(p_name, ', Menü mára ketten')", "concat(p_name, ', rendelés telefonon délig')", "concat(p_name, ' 11:30-14:00')", "concat(p_name, ' 9:05 után')", "concat(p_name, '!?..')", "concat('(', p_name, ') (', p_size, ')')", "'ab'", "concat(p_name, ' -')"]
+_SCRUB_LINES += [f"concat(p_name, ', {t.upper() if i % 2 else t} még')" for i, t in enumerate(V.SCRUB_TAILS)]
+_CLEAN_LINES = ["concat(chr(34), p_name, chr(34))", "concat('• - ', p_name)", "concat(p_name, ' 1.250,-')", "concat(p_name, ' 30dkg köret')", "concat(p_name, ' (1, 7) köret')", "concat(p_name, ' 1, 3, 7')", "concat(p_name, ' DESSZERT: torta')", "concat(p_name, ' + sütemény és kávé')", "concat(p_name, ' + Meglepetés')", "concat('B: ', p_name)", "concat(p_name, ' -')", "concat(p_name, '   ', p_type)", "upper(p_name)", "concat(p_name, ', (debreceni módra')", "concat(p_name, ' Milánói bbq GYROS')"]
+_NOISE_LINES = ["concat('www.', p_name)", "concat(p_name, ' utca 5')", "concat(p_name, ' LOGO')", "concat(p_name, ' svédasztal')", "concat('Napi menünk: ', p_name)", "concat(p_name, ' Kellemes')", "concat(p_size, '990 ft')", "concat(p_name, ':')", "'12:30-14:00'", "'leves nélkül'", "concat(p_size, 'ft')", "concat(p_size, '')", "concat('rántott szelet, tartárral 2.', p_size)", "'BUÉK'", "' Mai menü '", "concat(p_name, ' crispy chicken nuggets 7db')", "concat(repeat(concat(p_name, ' '), 20), 'vagy')", "p_name", "concat(p_name, ' és ', p_type)", "NULL"]
+
+
+def _lines(words: list[str]) -> str:
+    return f"CASE p_partkey % {len(words)} " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(words)) + " END"
+
+
+def _line_rows(spark, d, words: list[str]) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", F.expr(_lines(words)).alias("dish_name"))
+
+
+def _line_sql(words: list[str]) -> str:
+    return f"raw AS (SELECT p_partkey, {_lines(words)} AS dish_name FROM part)"
+
+
+@query(f"WITH {_line_sql(_SCRUB_LINES)} SELECT p_partkey, {_scrub_sql('dish_name')} AS scrubbed FROM raw")
+def scrub_steps(spark, d):
+    """Every step of scrubbing acts on some line."""
+    return _line_rows(spark, d, _SCRUB_LINES).select("p_partkey", X.scrub(F.col("dish_name")).alias("scrubbed"))
+
+
+@query(f"WITH {_line_sql(_CLEAN_LINES)} SELECT p_partkey, {_CLEAN} AS clean FROM raw")
+def clean_steps(spark, d):
+    """Every step of cleaning acts on some line."""
+    return _line_rows(spark, d, _CLEAN_LINES).select("p_partkey", X.clean_name(F.col("dish_name")).alias("clean"))
+
+
+@query(f"WITH {_line_sql(_NOISE_LINES)} SELECT p_partkey, " + ", ".join(f"coalesce({_noise_sql(kind, words)}, false) AS \"{name}\"" for name, kind, words in V.NOISE) + f", {_noise_case()} AS reason FROM raw")
+def noise_rules(spark, d):
+    """Every noise rule by itself, also where an earlier one fits, and the first that fits."""
+    rows = _line_rows(spark, d, _NOISE_LINES)
+    return rows.select("p_partkey", *[F.coalesce(R.fits(F.col("dish_name"), kind, words), F.lit(False)).alias(name) for name, kind, words in V.NOISE], R.noise_reason(F.col("dish_name")).alias("reason"))
+
+
 @query(_MERGED + " SELECT dish_name, count FROM merged")
 def dedup_folded(spark, d):
     """Raw lines to clean, merged dish names with counts."""
@@ -243,7 +289,12 @@ def line_frequency(spark, d):
     return G.line_frequency(_t(spark, d, "documents").select("text"))
 
 
-@query()
+# The given pages have these elements and references alone.
+_DECODED = "replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(" + _DECODED.format(x="regexp_replace(replace(replace(translate(coalesce(html, ''), chr(13) || chr(10), '  '), '</p>', chr(10)), '<br>', chr(10)), '(?s)<(script|style)>.*?</(script|style)>', '', 'g')") + r", '&amp;?', '&', 'g'), '[^\S\n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split({_PLAIN}, chr(10))) AS line FROM pages) GROUP BY line")
 def page_line_frequency(spark, d):
     """Text of all pages, line by line."""
     return G.line_frequency(G.page_text(_t(spark, d, "pages")))
@@ -273,6 +324,23 @@ def lemmatized(spark, d):
     return out.withColumn("lemmas", F.array_join("lemmas", " "))
 
 
+_LOOKUP = [("rántott", "ránt"), ("sajt", "sajt"), ("leves", "lé"), ("red", "colour"), ("blue", "colour"), ("hot", "warm"), ("steel", "metal"), ("copper", "metal"), ("copper", "ore")]
+
+
+@query(_MERGED + f", words AS (SELECT dish_name, count, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT dish_name, count, list_filter(regexp_split_to_array(regexp_replace(lower(dish_name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS w FROM merged)), look AS (SELECT word, min(lemma) AS lemma FROM (VALUES " + ", ".join(f"('{w}', '{v}')" for w, v in _LOOKUP) + ") AS t(word, lemma) GROUP BY word) SELECT dish_name, count AS score, string_agg(coalesce(lemma, words.word), ' ' ORDER BY i) AS lemmas FROM words LEFT JOIN look USING (word) GROUP BY dish_name, count")
+def lemmatized_lookup(spark, d):
+    """Lemmas by a table of words."""
+    known = spark.createDataFrame(_LOOKUP, "word string, lemma string")
+    out = L.lemmatize(D.clean_dishes(_raw(spark, d).select("dish_name", "count")), "lookup", table=known)
+    return out.withColumn("lemmas", F.array_join("lemmas", " "))
+
+
+@query(r"WITH tok AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w: w <> '')) AS lemma FROM documents) SELECT (SELECT count(*) FROM documents) AS rows, count(*) AS tokens, count(*) FILTER (WHERE regexp_matches(lemma, '^[!-/:-@\[-`{-~\s]*$')) AS punctuation, count(*) FILTER (WHERE NOT regexp_matches(lemma, '^[!-/:-@\[-`{-~\s]*$')) AS remaining FROM tok")
+def lemma_counts(spark, d):
+    """What the filter of punctuation takes away."""
+    return L.lemma_counts(_t(spark, d, "documents").select("text"), "text")
+
+
 _LEM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(dish_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')"
 
 
@@ -299,6 +367,19 @@ def labels_multi(spark, d):
     return C.joined(_categorized(spark, d)).select("dish_name", "protein", "cooking_method")
 
 
+@query(_MERGED + f" SELECT dish_name, array_to_string({_labels_sql([(x, [x]) for x in V.SIDES], 'lower(dish_name || chr(32) || ' + _LEM + ')')}, ',') AS sides FROM merged")
+def side_dishes(spark, d):
+    rows = C.side_dishes(L.lemmatize(D.clean_dishes(_raw(spark, d).select("dish_name", "count"))))
+    return rows.withColumn("sides", F.array_join("sides", ","))
+
+
+@query(f"WITH {_line_sql(_NOISE_LINES)}, x AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN '  ' ELSE dish_name END AS dish_name FROM raw) SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(trim(dish_name), '') = '') AS skipped, count(*) FILTER (WHERE coalesce(trim(dish_name), '') <> '') AS categorized FROM x")
+def category_counts(spark, d):
+    """Rows that have no name to categorize."""
+    rows = _line_rows(spark, d, _NOISE_LINES)
+    return C.counts(rows.withColumn("dish_name", F.when(F.col("p_partkey") % 7 == 0, "  ").otherwise(F.col("dish_name"))))
+
+
 _DIST = ", dist AS (SELECT dimension, label, count(*) AS n FROM (SELECT 'course' AS dimension, course AS label FROM cat UNION ALL SELECT 'protein', unnest(protein) FROM cat UNION ALL SELECT 'cooking_method', unnest(method) FROM cat) GROUP BY dimension, label)"
 
 
@@ -434,13 +515,14 @@ _SEP = r"(?i)\s*[AB]:\s*"
 _PARTS = f"list_filter(list_transform(regexp_split_to_array(c, '{_SEP}'), lambda p: trim(p)), lambda p: length(p) > 2)"
 
 
-@query(
-    _LINES
-    + r", opt AS (SELECT p_partkey, trim(regexp_extract(c, '^([A-Z]):\s*(.+)', 2)) AS dish_name, 1 AS item_number, 'option_' || regexp_extract(c, '^([A-Z]):', 1) AS menu_type FROM ok WHERE regexp_matches(c, '^[A-Z]:')), "
+_OPTIONS = (
+    r", opt AS (SELECT p_partkey, trim(regexp_extract(c, '^([A-Z]):\s*(.+)', 2)) AS dish_name, 1 AS item_number, 'option_' || regexp_extract(c, '^([A-Z]):', 1) AS menu_type FROM ok WHERE regexp_matches(c, '^[A-Z]:')), "
     + f"parts AS (SELECT p_partkey, unnest({_PARTS}) AS dish_name, unnest(range(1, len({_PARTS}) + 1)) AS item_number FROM ok WHERE NOT regexp_matches(c, '^[A-Z]:') AND regexp_matches(c, '{_SEP}')), "
-    + f"rest AS (SELECT p_partkey, c AS dish_name FROM ok WHERE NOT regexp_matches(c, '^[A-Z]:') AND NOT regexp_matches(c, '{_SEP}') AND ({_any('lower(c)', V.SOUP_WORDS)} OR NOT {_any('lower(c)', V.DEFAULT_SKIP)})) "
-    + "SELECT p_partkey, dish_name, item_number, menu_type FROM opt WHERE dish_name <> '' UNION ALL SELECT p_partkey, dish_name, CAST(item_number AS INTEGER), 'main' FROM parts UNION ALL SELECT p_partkey, dish_name, 1, 'main' FROM rest"
+    + f"rest AS (SELECT p_partkey, c AS dish_name FROM ok WHERE NOT regexp_matches(c, '^[A-Z]:') AND NOT regexp_matches(c, '{_SEP}') AND ({_any('lower(c)', V.SOUP_WORDS)} OR NOT {_any('lower(c)', V.DEFAULT_SKIP)}))"
 )
+
+
+@query(_LINES + _OPTIONS + " SELECT p_partkey, dish_name, item_number, menu_type FROM opt WHERE dish_name <> '' UNION ALL SELECT p_partkey, dish_name, CAST(item_number AS INTEGER), 'main' FROM parts UNION ALL SELECT p_partkey, dish_name, 1, 'main' FROM rest")
 def option_split(spark, d):
     """Menu lines to dishes: options, separators, soups and the rest."""
     return M.menu_lines(_raw(spark, d).select("p_partkey", "dish_name").withColumnRenamed("dish_name", "text"))
@@ -460,8 +542,47 @@ def weekly_schedule(spark, d):
     return G.weekly_schedule(days)
 
 
-@query()
+_P_TEXT = "regexp_replace(regexp_replace(" + _DECODED.format(x="regexp_replace(x, '(?s)(</p>|</article>).*', '')") + r", '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT url AS path, 'p' AS tag, count(*) AS n, CAST(sum(length({_P_TEXT})) AS BIGINT) AS chars FROM (SELECT url, unnest(string_split(html, '<p>')[2:]) AS x FROM pages) GROUP BY url")
 def page_menus(spark, d):
     """Paragraphs of the scraped pages as elements."""
     pages = _t(spark, d, "pages").select(F.col("url").alias("path"), F.lit("2024-01-07").alias("date"), F.col("html").cast("binary").alias("content"))
     return G.page_elements(pages, close_p=True).groupBy("path", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# Pages of parts: 37 pages, on each every sixth element an image, known logo or not, and paragraphs of every kind between.
+_EL_TAG = "CASE WHEN cast(floor(p_partkey / 37) AS bigint) % 6 = 0 THEN 'img' ELSE 'p' END"
+_EL_SRC = "CASE WHEN cast(floor(p_partkey / 37) AS bigint) % 6 = 0 THEN CASE p_partkey % 5 WHEN 0 THEN 'img/Desperado.JPG' WHEN 1 THEN 'weber.png' WHEN 2 THEN 'kukta.jpg' WHEN 3 THEN '2darvas.gif' ELSE 'OTTHON.png' END END"
+_EL_TEXT = "CASE p_partkey % 13 WHEN 0 THEN concat('Mai menü ', 1400 + p_size * 50, ' Ft') WHEN 1 THEN concat('Extra tál ', 1900 + p_size * 50, ' ft') WHEN 2 THEN concat('A: ', p_name) WHEN 3 THEN concat(p_name, ' B: rántott sajt') WHEN 4 THEN concat('Nyitva ', p_name) WHEN 5 THEN concat(p_name, ' leves 500 Ft') WHEN 6 THEN '  ' WHEN 7 THEN concat('Extra menü ', 1500 + p_size * 60, 'ft') WHEN 8 THEN '990 Ft' WHEN 9 THEN concat(' ', p_name, ' ') WHEN 10 THEN 'ab' WHEN 11 THEN concat(p_name, ', ft nélkül') ELSE p_name END"
+_EL_RESTAURANT = "CASE " + " ".join(f"WHEN contains(lower(src), '{k}') THEN '{v}'" for k, v in V.RESTAURANTS) + f" ELSE '{V.UNKNOWN_RESTAURANT}' END"
+_PRICE = r"TRY_CAST(nullif(regexp_extract(text, '([0-9]+)\s*(?:Ft|ft)', 1), '') AS INTEGER)"
+_REGULAR = "contains(lower(text), 'menü') AND contains(lower(text), 'ft')"
+_EXTRA = "contains(lower(text), 'extra') AND contains(lower(text), 'ft')"
+_DAILY = (
+    f"WITH el AS (SELECT p_partkey % 37 AS path, p_partkey AS pos, {_EL_TAG} AS tag, {_EL_SRC} AS src, trim({_EL_TEXT}) AS text FROM part), "
+    + f"sec AS (SELECT *, sum(CASE WHEN tag = 'img' THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN tag = 'img' AND {_any('lower(src)', V.LOGOS)} THEN {_EL_RESTAURANT} END IGNORE NULLS) OVER w AS restaurant FROM el WINDOW w AS (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
+    + f"para AS (SELECT * FROM sec WHERE tag = 'p' AND restaurant IS NOT NULL AND text <> '' AND NOT {_any('lower(text)', V.PARAGRAPH_SKIP)}), "
+    + f"prices AS (SELECT path, section, arg_max({_PRICE}, pos) FILTER (WHERE {_REGULAR} AND {_PRICE} BETWEEN {V.REGULAR_PRICE[0]} AND {V.REGULAR_PRICE[1]}) AS regular, arg_max({_PRICE}, pos) FILTER (WHERE NOT ({_REGULAR}) AND {_EXTRA} AND {_PRICE} BETWEEN {V.EXTRA_PRICE[0]} AND {V.EXTRA_PRICE[1]}) AS extra FROM para GROUP BY path, section), "
+)
+
+
+@query(
+    _DAILY
+    + _LINES.replace(f"WITH {_RAW}, ", "").replace("FROM raw", "FROM (SELECT pos AS p_partkey, text AS dish_name FROM para)")
+    + _OPTIONS
+    + ", dishes AS (SELECT p_partkey, dish_name, item_number, menu_type FROM opt WHERE dish_name <> '' UNION ALL SELECT p_partkey, dish_name, CAST(item_number AS INTEGER), 'main' FROM parts UNION ALL SELECT p_partkey, dish_name, 1, 'main' FROM rest) SELECT strftime(DATE '2024-01-01' + CAST(para.path AS INTEGER), '%Y-%m-%d') AS date, restaurant, dish_name, item_number, menu_type, regular, extra FROM dishes JOIN para ON para.pos = p_partkey LEFT JOIN prices ON prices.path = para.path AND prices.section = para.section"
+)
+def daily_menus(spark, d):
+    """Whole pages of elements to menu rows with the prices of their sections."""
+    el = _t(spark, d, "part").select((F.col("p_partkey") % 37).cast("string").alias("path"), F.expr("date_format(date_add(DATE '2024-01-01', cast(p_partkey % 37 AS int)), 'yyyy-MM-dd')").alias("date"), F.col("p_partkey").alias("pos"), F.expr(_EL_TAG).alias("tag"), F.expr(_EL_SRC).alias("src"), F.expr(_EL_TEXT).alias("text"))
+    rows = M.daily_menus(el)
+    return rows.select("date", "restaurant", "dish_name", "item_number", "menu_type", F.try_element_at("prices", F.lit("regular")).alias("regular"), F.try_element_at("prices", F.lit("extra")).alias("extra"))
+
+
+@query("SELECT url AS path, regexp_extract(file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS date FROM (SELECT url, concat(url, CASE page_id % 3 WHEN 0 THEN '/2024-05-05.html' WHEN 1 THEN concat('/x2023-11-', 10 + page_id % 20, '/2022-01-01') ELSE '/none.html' END) AS file FROM pages)")
+def page_dates(spark, d):
+    """Dates in paths of files."""
+    file = F.expr("concat(url, CASE page_id % 3 WHEN 0 THEN '/2024-05-05.html' WHEN 1 THEN concat('/x2023-11-', 10 + page_id % 20, '/2022-01-01') ELSE '/none.html' END)")
+    return _t(spark, d, "pages").select(F.col("url").alias("path"), G.date_of(file).alias("date"))

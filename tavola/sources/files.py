@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,12 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, key, canonical``: canonical names and variants in lower case, in file order."""
     groups = spark.read.schema(SYNONYM_SCHEMA).json(path, multiLine=True)
     g = groups.select(F.posexplode("groups").alias("g", "x"))
-    keys = g.select("g", F.col("x.canonical").alias("canonical"), F.posexplode(F.concat(F.array("x.canonical"), "x.variants")).alias("k", "key"))
-    out = keys.select((F.col("g").cast("long") * 100_000 + F.col("k")).alias("ordinal"), F.lower("key").alias("key"), "canonical")
+    keys = g.select("g", F.col("x.canonical").alias("canonical"), F.posexplode(F.concat(F.array("x.canonical"), F.coalesce("x.variants", F.array().cast("array<string>")))).alias("k", "key"))
+    out = keys.select(F.struct("g", "k").alias("place"), F.lower("key").alias("key"), "canonical")
     # a key that comes again keeps its place and takes the later canonical name
-    return out.groupBy("key").agg(F.min("ordinal").alias("ordinal"), F.max_by("canonical", "ordinal").alias("canonical")).select("ordinal", "key", "canonical")
+    out = out.groupBy("key").agg(F.min("place").alias("place"), F.max_by("canonical", "place").alias("canonical"))
+    # a curated table: one file, that one task has read as a whole
+    return out.select((F.row_number().over(Window.orderBy("place")) - 1).cast("long").alias("ordinal"), "key", "canonical")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

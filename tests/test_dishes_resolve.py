@@ -70,6 +70,49 @@ def test_auto_groups_against_greedy(spark):
         assert got == greedy([(n, set(n.split())) for n, _ in order], threshold)
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    rng = random.Random(6)
+    words = [a + b for a in "bcdfghkl" for b in ("aa", "ee", "oo", "uu")]
+    sets = {}
+    for i in range(60):
+        own = rng.sample(words, rng.randint(1, 24))
+        for j in range(4):
+            sets[4 * i + j] = frozenset(own) - set(rng.sample(own, min(len(own) - 1, rng.randint(0, 2)))) | set(rng.sample(words, rng.randint(0, 1)))
+    one = {}
+    for i, s in sets.items():
+        one.setdefault(s, i)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tokens array<string>").repartition(5)
+    assert {r.id: r.class_id for r in S.token_classes(df).collect()} == {i: one[s] for i, s in sets.items()}
+    classes = df.join(S.token_classes(df).where("id = class_id"), "id", "left_semi")
+    for threshold in (0.5, 0.7, 0.85, 0.95):
+        num = round(threshold * 1000)
+        want = {(i, j) for s, i in one.items() for t, j in one.items() if i < j and 1000 * len(s & t) >= num * len(s | t)}
+        assert {(r.a, r.b) for r in S.similar_pairs(classes, threshold).collect()} == want
+
+
+def test_leaders_in_rounds(spark):
+    edges = [(i, i + 1) for i in range(9)] + [(20, 22), (21, 22), (21, 23), (30, 31), (30, 32), (31, 32)]
+    got = {r.id: r.leader for r in S.leaders(spark.createDataFrame(edges, "a long, b long")).collect()}
+    lead, want = set(), {}
+    low = {}
+    for a, b in edges:
+        low.setdefault(b, []).append(a)
+    for x in sorted({x for e in edges for x in e}):
+        own = [a for a in low.get(x, []) if a in lead]
+        if own:
+            want[x] = min(own)
+        else:
+            lead.add(x)
+    assert got == want
+    assert S.leaders(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_side_dishes_and_counts(spark):
+    rows = spark.createDataFrame([("Rántott hús, rizs és burgonya", 1, ["burgonya"]), ("Leves", 2, []), (None, 1, []), (" ", 1, [])], "dish_name string, score long, lemmas array<string>")
+    assert {r.dish_name: r.sides for r in C.side_dishes(rows).collect()} == {"Rántott hús, rizs és burgonya": ["burgonya", "rizs"], "Leves": [], " ": []}
+    assert tuple(C.counts(rows).first()) == (4, 2, 2)
+
+
 def test_case_collisions(spark):
     rows = spark.createDataFrame([("Ab",), ("ab",), ("c",)], "canonical_name string")
     assert [tuple(r) for r in D.case_collisions(rows).collect()] == [("ab", 2)]
