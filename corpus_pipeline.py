@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tavola.llm import lines, pieces, simhash, toxicity, winnow
-from tavola.llm.storage import materialize
+from tavola.llm.storage import materialize, release_since, tables_made
 from tavola.llm.tables import table
 
 
@@ -53,8 +53,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents."""
     docs = table(spark, sf_dir, "documents")
+    mark = tables_made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release_since(mark, docs)
     return docs
 
 
