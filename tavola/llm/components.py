@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     e = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
     seen = _signature(e)
     while seen[0]:
-        nxt = materialize(_small_star(_large_star(e)), "edges")
+        nxt = materialize(_small_star(_large_star(e)), "edges", 2 * seen[0])
         now = _signature(nxt)
         release(e)
         e = nxt

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, release
+from .storage import materialize
 from .tables import table
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -112,7 +112,7 @@ def _links_of(run: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int,
 
 
 def links(nodes: DataFrame, distance: int = 3, blocks: int = 5, chunk: int = 2048) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints of ``nodes (fp, node)`` that span the components of all links."""
+    """``(a, b)``: links between distinct fingerprints of ``nodes (fp, node)``, neither of them null, that span the components of all links.  No nodes, no links."""
     masks = _masks(blocks, distance)
     keyed = nodes.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("x")).select("fp", "node", "x.j", "x.key")
     shared = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -146,33 +146,40 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int = 5, chunk: int = 204
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """``(id, fp, th, component)`` per row of ``docs``: texts whose fingerprints differ in ``distance`` bits or fewer are linked.
-
-    ``component`` is the least id that links reach, the row's own included.
-    Texts without words (null, empty) have fingerprint 0 and link like others.
-    Repeated rows stay repeated.  A row without id has a fingerprint; its
-    component is that of its fingerprint, null if no row of it has an id.
+    """``(id, fp, th, component, root)`` per row of ``docs``: texts whose fingerprints differ in ``distance`` bits or fewer are linked.
+
+    ``component`` is the least id that links reach, the row's own included;
+    ``root`` names the component by a fingerprint.  Texts without words (null,
+    empty) have fingerprint 0 and link like others.  Repeated rows stay
+    repeated.  Rows without id link like others; the component is null if no
+    row of it has an id.  Different texts under one id are linked only if
+    their fingerprints are.  Ids are integers, or texts of such.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    found = connected_components(links(nodes.where("node is not null"), distance, blocks), "a", "b")
-    label = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return fps.join(label, "fp").select("id", "fp", "th", "component")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes", fps.count())
+    found = connected_components(links(nodes.select("fp", F.col("fp").alias("node")), distance, blocks), "a", "b")
+    linked = found.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(nodes, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "root").select("fp", "root", "component")
+    label = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
+    label = materialize(label, "labels", nodes.count())  # of known size, and dealt anew for the join, which can then split the rows of one fingerprint
+    return fps.join(label, "fp").select("id", "fp", "th", "component", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates of ``docs (doc_id, text, ...)``: that of the least ``doc_id``.
+    """One row of each group of near-duplicates of ``docs (doc_id, text, ...)``: that of the least ``doc_id``, one without id only if all are.
 
     Of different texts under that ``doc_id`` the one with the least hash
-    stays, of wholly equal rows one.  Rows without ``doc_id`` all stay.
+    stays, of wholly equal rows one.
     """
-    rows = materialize(near_duplicates(docs).where("id is not null"), "classes")
-    kept = materialize(rows.groupBy("component").agg(F.min(F.struct("id", "th")).alias("x"), F.count("*").alias("n")).select("x.id", "x.th", "n"), "kept")
-    same = (docs["doc_id"].cast("long") == kept["id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["th"])
+    rows = materialize(near_duplicates(docs), "classes")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("x"), F.count("*").alias("n"))
+    kept = materialize(first.select("x.id", "x.th", "n"), "kept", rows.count())
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["th"])
     chosen = docs.join(kept.select("id", "th"), same, "left_semi")
     if not rows.groupBy("id", "th").count().where("count > 1").isEmpty():
         chosen = chosen.dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    return chosen
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
