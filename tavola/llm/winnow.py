@@ -4,10 +4,10 @@ Texts become arrays of word hashes.  Hashes of ``k`` consecutive words are
 formed by doubling; of every ``w`` consecutive ones the least is kept, ties
 included.  With ``k + w - 1`` equal to the window, two texts that share a
 window share a fingerprint at the same place of it, so every shared span is
-found.  Fingerprints of documents are matched with the benchmark's in the
-stage that makes them if the benchmark's are of proven small size, else by a
-shuffled join.  Each match is extended word by word, and spans that hold a
-whole window go on.  Items shorter than the window are matched as a whole.
+found.  Kept fingerprints of documents are joined with the benchmark's; each
+match carries the few words around it, is extended word by word, and spans
+that hold a whole window go on.  An item shorter than the window is one
+fingerprint of all its words, looked for at every place in the same pass.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .storage import fits_broadcast, materialize
 from .tables import table
 
-#: Stands for the place after a text's last word among the hashes.
-_END = 1234567890123456789
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits by which the left half turns when two halves of 1, 2, 4 and more words are combined.
@@ -40,120 +38,77 @@ def _slide(df: DataFrame, out: str, src: str, other: str, by: int, f: str) -> Da
     return df.withColumn(out, F.expr(f"transform({src}, (x, i) -> {f.replace('y', f'get({other}, i + {by})')})"))
 
 
-def _grams(df: DataFrame, k: int) -> DataFrame:
-    """Column ``g``: the hash of the ``k`` words from each word of ``ws`` on, or null."""
+def _grams(df: DataFrame, sizes: set[int]) -> DataFrame:
+    """Columns ``g6`` and so on: the hash of so many words from each word of ``ws`` on, or null."""
     df, size = df.withColumn("p1", F.col("ws")), 1
-    while 2 * size <= k:
+    while 2 * size <= max(sizes):
         t = _TURNS[size]
         df = _slide(df, f"p{2 * size}", f"p{size}", f"p{size}", size, f"shiftleft(x, {t}) ^ shiftrightunsigned(x, {64 - t}) ^ y")
         size *= 2
-    df, done = df.withColumn("g", F.col(f"p{size}")), size
-    while done < k:
-        size = max(s for s in (1, 2, 4, 8) if s <= k - done)
-        df = _slide(df, "g", "g", f"p{size}", done, f"shiftleft(x, {3 + done}) ^ shiftrightunsigned(x, {61 - done}) ^ y")
-        done += size
+    for k in sorted(sizes):
+        first = max(s for s in (1, 2, 4, 8) if s <= k)
+        df, done = df.withColumn(f"g{k}", F.col(f"p{first}")), first
+        while done < k:
+            size = max(s for s in (1, 2, 4, 8) if s <= k - done)
+            df = _slide(df, f"g{k}", f"g{k}", f"p{size}", done, f"shiftleft(x, {3 + done}) ^ shiftrightunsigned(x, {61 - done}) ^ y")
+            done += size
     return df
 
 
-def _spread(df: DataFrame, out: str, src: str, w: int, f: str, sign: int) -> DataFrame:
-    """Column ``out``: ``f`` (least or greatest, which skip nulls) over ``w`` elements from each one on (or back)."""
-    df, size = df.withColumn(out, F.col(src)), 1
-    while size < w:
-        by = min(size, w - size)
-        df = _slide(df, out, out, out, sign * by, f"{f}(x, y)")
-        size += by
-    return df
+def _least(g: str, w: int) -> str:
+    """Whether the gram at ``at`` is the least of some ``w`` in a row that all lie in the text: as many as that around it are no less."""
 
+    def run(j: int, sign: int) -> str:
+        return "0" if j == w else f"if(get({g}, at {'+' if sign > 0 else '-'} {j}) >= get({g}, at), 1 + {run(j + 1, sign)}, 0)"
 
-def _fingerprints(rows: DataFrame, k: int, w: int) -> DataFrame:
-    """A row per fingerprint of ``rows (..., ws)``: ``at``, its first word from 0, and ``h``.  ``w`` = 1 keeps every gram."""
-    df = _grams(rows, k)
-    if w > 1:
-        df = _spread(df, "m", "g", w, "least", 1)
-        df = _spread(df, "m", "m", w, "greatest", -1)
-        df = _slide(df, "g", "m", "g", 0, "if(x = y, x, null)")
-    # not the inner generator: for that the optimizer adds filters which compute all of this again
-    return df.select(*rows.columns, F.posexplode_outer("g").alias("at", "h")).where("h is not null")
+    return f"{run(1, 1)} + {run(1, -1)} >= {w - 1}"
 
 
-def _bench(items: DataFrame, k: int, w: int, window: int) -> DataFrame:
-    """Fingerprints of the items: ``h, k, item_id, ctx, left``; ``ctx``: the words around, of which ``left`` are before."""
-    hashed = items.select("item_id", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("ws")).withColumn("n", F.size("ws"))
-    side = window - k
-    long = _fingerprints(hashed.where(f"n >= {window}"), k, w)
-    long = long.select("h", F.lit(k).alias("k"), "item_id", F.expr(f"slice(ws, greatest(at - {side}, 0) + 1, least(at, {side}) + {window})").alias("ctx"), F.expr(f"least(at, {side})").alias("left"))
-    out = long
-    short = hashed.where(f"n > 0 and n < {window}")
-    for (n,) in sorted(short.select("n").distinct().collect()):  # at most window - 1 lengths
-        one = _fingerprints(short.where(f"n = {n}"), n, 1).where("at = 0")
-        out = out.unionByName(one.select("h", F.lit(n).alias("k"), "item_id", F.col("ws").alias("ctx"), F.lit(0).alias("left")))
-    return out.distinct()
-
-
-def _near(matches: DataFrame, window: int) -> DataFrame:
-    """``dctx``: the words of the text around a match, as many as can matter, and how many of them are before it.
-
-    Sliced in generated code, so that no match carries its whole text on.
+def _fingerprints(rows: DataFrame, k: int, w: int, whole: list[int] = ()) -> DataFrame:
+    """``rows (..., ws)`` once per kept gram, with ``at``, its first word from 0, ``k`` and ``h``.
+
+    ``whole``: lengths of which every gram is kept.  One more row per text has
+    ``k`` 0, ``at`` the number of words, and the text's hash ``th`` as ``h``.
     """
-    side = f"if(size(ctx) = k, 0, {window} - k)"
-    return matches.select("id", "th", "at", "h", "k", "left", "ctx", "item_id", F.size("ws").alias("n"), F.expr(f"slice(ws, greatest(at - {side}, 0) + 1, least(at, {side}) + k + {side})").alias("dctx"), F.expr(f"least(at, {side})").alias("dleft"))
+    d = _grams(rows, {k, *whole})
+    # one place more than there are words: no inner generator over computed arrays, for which the optimizer adds filters that compute all of them again
+    d = d.select(*rows.columns, *[f"g{n}" for n in sorted({k, *whole})], F.posexplode(F.concat("ws", F.array(F.lit(None).cast("long")))).alias("at", "_"))
+    # a generator, so that what follows reads a row's hash and does not compute it again
+    kinds = [f"struct({k} as k, if({_least(f'g{k}', w)}, get(g{k}, at), null) as h)", *(f"struct({n} as k, get(g{n}, at) as h)" for n in whole), "struct(0 as k, if(at = size(ws), th, null) as h)"]
+    return d.select(*rows.columns, "at", F.explode(F.expr(f"array({', '.join(kinds)})")).alias("x")).where("x.h is not null").select(*rows.columns, "at", "x.k", "x.h")
+
 
+def _around(prints: DataFrame, keep: list[str], ws: str, before: str, window: int) -> DataFrame:
+    """``keep`` and ``ws``: the words of the text that can be in one window with the gram, and ``before``: how many of them come first."""
+    side = f"if(k = 0, 0, {window} - k)"
+    return prints.select(*keep, F.expr(f"slice(ws, greatest(at - {side}, 0) + 1, if(k = 0, 0, least(at, {side}) + {window}))").alias(ws), F.expr(f"least(at, {side})").alias(before))
 
-def _extended(matches: DataFrame, window: int, w: int, lazy: bool) -> DataFrame:
+
+def _bench(items: DataFrame, k: int, w: int, window: int) -> DataFrame:
+    """Fingerprints of the items: ``h, k, item_id, ctx, left``; ``ctx``: the words around, of which ``left`` are before.  ``whole`` ones have no words around."""
+    hashed = items.select("item_id", F.xxhash64("text").alias("th"), F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("ws"))
+    long = _around(_fingerprints(hashed.where(f"size(ws) >= {window}"), k, w).where("k > 0"), ["h", "k", "item_id"], "ctx", "left", window)
+    short = hashed.where(f"size(ws) between 1 and {window - 1}").withColumn("n", F.size("ws"))
+    sizes = [n for (n,) in sorted(short.select("n").distinct().collect())]  # fewer than the window has words
+    if sizes:
+        own = _grams(short, set(sizes))
+        first = F.coalesce(*[F.when(F.col("n") == n, F.get(f"g{n}", F.lit(0))) for n in sizes])
+        long = long.unionByName(own.select(first.alias("h"), F.col("n").alias("k"), "item_id", F.col("ws").alias("ctx"), F.lit(0).alias("left")))
+    return long.distinct()
+
+
+def _extended(matches: DataFrame, window: int) -> DataFrame:
     """``id, th, from, to, item_id, n_words`` of matches: the equal words around each, which may go beyond it to both sides.
 
     Where no whole window is equal, ``from``, ``to`` and ``item_id`` are null.
-    ``lazy``: likewise where the text's gram is the least of no ``w`` around
-    it.  Rows without item, at the end of a text, get ``n_words``.  Nothing is
-    filtered: a filter would be pushed down and break the generated stage.
+    Rows of ``k`` 0 get ``n_words``.
     """
     d = matches.withColumn("eq", F.expr("transform(ctx, (x, j) -> x <=> get(dctx, dleft - left + j))"))
     stop_l = "array_position(reverse(slice(eq, 1, left)), false)"
     stop_r = "array_position(slice(eq, left + k + 1, size(eq)), false)"
-    ok = "not array_contains(slice(eq, left + 1, k), false)"
-    if lazy and w > 1:
-        least = {k: _gram_at(k, "dleft + j", "dctx") for k in (window - w + 1,)}[window - w + 1]
-        d = d.withColumn("near", F.expr(f"transform(sequence(1 - {w}, {w} - 1), j -> if(dleft + j < 0, h - 1, coalesce({least}, h)) >= h)"))
-        before, after = f"array_position(reverse(slice(near, 1, {w - 1})), false)", f"array_position(slice(near, {w + 1}, {w - 1}), false)"
-        ok += f" and if({before} = 0, {w - 1}, {before} - 1) + if({after} = 0, {w - 1}, {after} - 1) >= {w - 1}"
     d = d.withColumn("from", F.expr(f"cast(at - if({stop_l} = 0, left, {stop_l} - 1) as int)")).withColumn("to", F.expr(f"cast(at + k + if({stop_r} = 0, size(eq) - left - k, {stop_r} - 1) as int)"))
-    good = F.expr(f"item_id is not null and {ok} and to - from >= if(size(ctx) = k, k, {window})")
-    return d.select("id", "th", F.when(good, F.col("from")).alias("from"), F.when(good, F.col("to")).alias("to"), F.when(good, F.col("item_id")).alias("item_id"), F.expr("if(item_id is null, cast(n as bigint), null)").alias("n_words"))
-
-
-def _gram_at(k: int, at: str, ws: str = "ws") -> str:
-    """What ``_grams`` gives at word ``at`` of ``ws``, as one expression of codegen functions."""
-
-    def of(size: int, first: int) -> str:
-        if size == 1:
-            return f"get({ws}, {at} + {first})"
-        half, t = size // 2, _TURNS[size // 2]
-        x, y = of(half, first), of(half, first + half)
-        return f"(shiftleft({x}, {t}) ^ shiftrightunsigned({x}, {64 - t}) ^ {y})"
-
-    size = 1
-    while 2 * size <= k:
-        size *= 2
-    out, done = of(size, 0), size
-    while done < k:
-        size = max(s for s in (1, 2, 4, 8) if s <= k - done)
-        out = f"(shiftleft({out}, {3 + done}) ^ shiftrightunsigned({out}, {61 - done}) ^ {of(size, done)})"
-        done += size
-    return out
-
-
-def _probed(rows: DataFrame, bench: DataFrame, k: int) -> DataFrame:
-    """Places of ``rows`` whose gram ``bench``, small enough to be broadcast, has as a fingerprint; and one after each text's last word.
-
-    All grams of a text are hashed and looked up in one stage of generated
-    code.  Whether a gram is the least of some ``w`` is asked of those that
-    are found, which gives the same matches as asking it of all before.
-    """
-    end = bench.sparkSession.range(1).select(F.lit(_END).alias("bh"), F.lit(k).alias("k"), F.lit(None).cast(bench.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<bigint>").alias("ctx"), F.lit(0).alias("left"))
-    table = bench.withColumnRenamed("h", "bh").unionByName(end)
-    places = rows.select("*", F.posexplode(F.concat("ws", F.array(F.lit(None).cast("long")))).alias("at", "_"))
-    found = places.withColumn("h", F.expr(f"if(at = size(ws), {_END}L, {_gram_at(k, 'at')})")).join(F.broadcast(table), F.col("h") == F.col("bh"))
-    return found.where("item_id is not null or at = size(ws)")
+    good = F.expr(f"k > 0 and not array_contains(slice(eq, left + 1, k), false) and to - from >= if(size(ctx) = k, k, {window})")
+    return d.select("id", "th", F.when(good, F.col("from")).alias("from"), F.when(good, F.col("to")).alias("to"), F.when(good, F.col("item_id")).alias("item_id"), F.expr("if(k = 0, cast(at as bigint), null)").alias("n_words"))
 
 
 def _by_text(spans: DataFrame) -> DataFrame:
@@ -172,34 +127,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``items`` has ``item_id`` and ``text``.  A word of a document is hit if it
     lies in an occurrence of ``window`` consecutive words of an item, or of
     all words of a shorter item.  Contaminated: some word is hit, and hits are
-    at least ``share`` of all words.  Null and empty texts have no words and
-    match nothing; repeated rows, and rows without id, are judged like any
-    other.  ``th`` hashes the text and tells rows of one id apart.
-    Fingerprints of items are broadcast up to ``broadcast_bytes`` of them on
-    disk; beyond that fingerprints are shuffled.
+    at least ``share`` of all words.  Items without id hit words, too, but are
+    not listed.  Null and empty texts have no words and match nothing;
+    repeated rows, and rows without id, are judged like any other; without
+    items nothing is hit.  ``th`` hashes the text and tells rows of one id
+    apart.  The join broadcasts the items' fingerprints up to
+    ``broadcast_bytes`` of them on disk; beyond that both sides are shuffled.
     """
     w = window - k + 1
     bench = materialize(_bench(items, k, w, window), "bench")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.transform(_words(text), lambda x: F.xxhash64(x)).alias("ws"))
-    small = fits_broadcast(bench, broadcast_bytes)
-    cols = ["id", "th", "from", "to", "item_id", "n_words"]
-    # the items at least as long as the window; then the lengths of shorter ones
-    groups = [(k, w, bench.where(f"k = {k} and size(ctx) > k"))]
-    groups += [(n, 1, bench.where(f"k = {n} and size(ctx) = k")) for (n,) in sorted(bench.where("size(ctx) = k").select("k").distinct().collect())]
-    spans = None
-    for n, side, own in groups:
-        if small:
-            found = _probed(rows, own, n)
-            found = found if spans is None else found.where("item_id is not null")
-        else:
-            at = _fingerprints(rows, n, side).select("id", "th", "at", "h").join(own, "h").distinct()
-            found = at.alias("a").join(rows.alias("r"), F.expr("a.id <=> r.id and a.th = r.th")).select("a.*", "r.ws")
-        part = _extended(_near(found, window), window, side, small)
-        if not small and spans is None:
-            none = F.lit(None).cast("int")
-            part = part.select(*cols).unionByName(rows.select("id", "th", none.alias("from"), none.alias("to"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.size("ws").cast("long").alias("n_words")))
-        spans = part.select(*cols) if spans is None else spans.unionByName(part.select(*cols))
+    whole = [n for (n,) in sorted(bench.where("size(ctx) = k").select("k").distinct().collect())]
+    prints = _around(_fingerprints(rows, k, w, whole), ["id", "th", "at", "k", "h"], "dctx", "dleft", window)
+    side = F.broadcast(bench) if fits_broadcast(bench, broadcast_bytes) else bench
+    found = prints.join(side, ["h", "k"], "left").where("k = 0 or left is not null")
+    spans = _extended(found, window)
     covered = "aggregate(array_sort(s), named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.to - greatest(x.from, a.e), 0), 'e', greatest(a.e, x.to)), a -> a.n)"
     out = _by_text(spans).withColumn("n_hit", F.expr(covered))
     out = out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share[1]} * n_hit >= {share[0]} * n_words"))
