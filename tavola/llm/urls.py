@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
-from .tables import table
+from .tables import free, table
 
 #: (verdict, host, path) of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -63,7 +63,7 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             F.transform(F.expr(rf"regexp_extract_all(`{html_col}`, r'(?i)<meta\b[^>]*http-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>?', 0)"), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", 1)),
         ),
     )
-    out = pages.select(url.alias("u"), F.explode(tags).alias("t")).where("t <> ''")
+    out = pages.select(url.alias("u"), F.explode(tags).alias("t")).where("t <> ''").withColumn("t", F.regexp_replace("t", "(?i)&(?:amp|#38|#x26);?", "&"))
     origin = F.regexp_extract("u", r"^(.*?://[^/?#]*)", 1)
     target = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(origin, F.col("t"))).otherwise(F.concat(F.regexp_extract("u", r"^(.*?://[^/?#]*/(?:[^?#]*/)?)", 1), F.col("t")))
     return out.select(address(F.col("u")).alias("a"), address(target).alias("b")).where("a is not null and b is not null and a <> b").distinct()
@@ -85,12 +85,13 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, ur
     known = rule_of(F.regexp_extract("node", r"^[^/?#]*", 0), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1), rules)["verdict"]
     member = materialize(member.select("node", "component", known.alias("v")), "aliases")
     said = member.groupBy("component").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").alias("_said"))
-    said = member.join(said, "component").where("_said is not null").select(F.col("node").alias("_node"), "_said")
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_r", "_a", "_node", "_said")]
-    out = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("_a"))
-    out = out.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    out = out.join(said, F.col("_a") == F.col("_node"), "left")
-    return out.select(*keep, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", "_said", F.lit(default)).alias("verdict"))
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own, at, node, told = (free(x, keep) for x in ("own", "at", "node", "told"))
+    said = member.join(said, "component").where("_said is not null").select(F.col("node").alias(node), F.col("_said").alias(told))
+    out = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias(at))
+    out = out.withColumn(own, rule_of(F.col("host"), F.col("path"), rules))
+    out = out.join(said, F.col(at) == F.col(node), "left")
+    return out.select(*keep, "host", "path", F.col(f"`{own}`.rule").alias("rule"), F.coalesce(F.col(f"`{own}`.verdict"), told, F.lit(default)).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
