@@ -82,7 +82,7 @@ def lemma_dictionary(rows: DataFrame, lemmas: str = "lemmas", min_frequency: int
     return ranked(freq, "frequency", "lemma")
 
 
-def ranked(rows: DataFrame, by: str, tie: str) -> DataFrame:
+def ranked(rows: DataFrame, by: str, tie: str, kind: str = "int") -> DataFrame:
     """``rows`` with ``rank`` from 1 by falling ``by`` and rising ``tie``: sorted by range, numbered per partition, shifted by the partitions before."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -90,7 +90,7 @@ def ranked(rows: DataFrame, by: str, tie: str) -> DataFrame:
     sizes = part.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(by), F.asc(tie)))
     out = part.withColumn("_i", own).join(sizes.select("_p", F.coalesce("before", F.lit(0)).alias("before")), "_p")
-    return out.select(*rows.columns, (F.col("_i") + F.col("before")).cast("int").alias("rank"))
+    return out.select(*rows.columns, (F.col("_i") + F.col("before")).cast(kind).alias("rank"))
 
 
 def lemma_stats(dictionary: DataFrame) -> DataFrame:

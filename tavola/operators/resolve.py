@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tavola.functions import values as V
 from tavola.functions.rules import first_contained
 from tavola.functions.text import tokens
+from tavola.operators.lemmas import ranked
 from tavola.operators.lineage import cut
 
 
@@ -67,7 +68,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     out first, and with them nearly all common tokens of prefixes.
     """
     num = round(threshold * 1000)
-    sets = sets.select("id", F.array_sort("tokens").alias("tokens"), F.size("tokens").alias("n")).where(F.col("n") * 1000 >= num * (F.col("n") + 1))
+    sets = cut(sets.select("id", "tokens", F.size("tokens").alias("n"))).where(F.col("n") * 1000 >= num * (F.col("n") + 1))
     long = sets.select("id", "n", F.explode("tokens").alias("t"))
     freq = long.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")  # a token of one set makes no pair
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("f"), F.col("t")))
@@ -112,13 +113,12 @@ def auto_groups(dishes: DataFrame, threshold: float = 0.85, lemmas: str | None =
         joined = F.array_join(lemmas, " ") if dict(dishes.dtypes)[lemmas].startswith("array") else F.col(lemmas)
         text = F.when(F.coalesce(joined, F.lit("")) != "", joined).otherwise(text)
     named = dishes.groupBy("dish_name").agg(F.max("count").alias("count"), F.min(text).alias("_text")) if lemmas else dishes.withColumn("_text", text)
-    rows = named.select("dish_name", "count", F.array_sort(tokens(F.col("_text"))).alias("tokens")).where(F.size("tokens") > 0)
-    order = F.struct((-F.col("count")).alias("c"), F.col("dish_name").alias("n"))
-    rows = rows.withColumn("id", order)
-    sets = cut(rows.groupBy("tokens").agg(F.min("id").alias("id")))
+    rows = ranked(named.select("dish_name", "count", F.array_sort(tokens(F.col("_text"))).alias("tokens")), "count", "dish_name", "long").where(F.size("tokens") > 0)
+    sets = cut(rows.groupBy("tokens").agg(F.min("rank").alias("id")))
     joins = leaders(similar_pairs(sets, threshold))
     head = sets.join(joins, "id", "left").select("tokens", F.coalesce("leader", "id").alias("leader"))
-    return rows.join(head, "tokens").select("dish_name", F.col("leader.n").alias("canonical_name")).where("dish_name <> canonical_name")
+    own = rows.join(head, "tokens").where("rank <> leader").select("dish_name", "leader")
+    return own.join(rows.select(F.col("rank").alias("leader"), F.col("dish_name").alias("canonical_name")), "leader").select("dish_name", "canonical_name")
 
 
 def resolve(categorized: DataFrame, pairs: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:

@@ -21,6 +21,7 @@ from tavola.operators import menus as M
 from tavola.operators import reports as P
 from tavola.operators import resolve as S
 from tavola.operators import seasonal as T
+from tavola.operators.lineage import cut
 from tavola.sources import pages as G
 
 QUERIES: dict = {}
@@ -421,14 +422,15 @@ _EDGES = "edge AS MATERIALIZED (SELECT a, b FROM (SELECT x.{id} AS a, y.{id} AS
 
 
 def _sets(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    # written once: a filter on tokens and each further use would have them found anew
+    sets = cut(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(X.tokens(F.col("text"))).alias("tokens")))
+    return sets.where(F.size("tokens") > 0)
 
 
 @query(f"WITH {_CLASSES}, {_EDGES.format(id='id', rows='ok')} SELECT a, b FROM edge")
 def jaccard_pairs(spark, d):
     """Similar classes of documents, by their least ids; documents of one class have one set of tokens."""
-    sets = _sets(spark, d).withColumn("tokens", F.array_sort("tokens"))
-    return S.similar_pairs(sets.groupBy("tokens").agg(F.min("id").alias("id")))
+    return S.similar_pairs(_sets(spark, d).groupBy("tokens").agg(F.min("id").alias("id")))
 
 
 @query(f"WITH {_CLASSES} SELECT sets.id, ok.id AS class_id FROM sets JOIN ok USING (s)")
