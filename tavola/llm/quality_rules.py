@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are set by risk control on labelled rows.
 
-For every stratum (language), rule and cutoff of a grid, labelled good rows
-that the cutoff would reject are counted.  A cutoff is admitted if the exact
-binomial test refutes that it rejects more than ``risk`` of the good rows: the
-probability of so few rejections under that risk is at most ``delta`` over the
-number of all tests (Bonferroni), so with probability 1 - ``delta`` no admitted
-cutoff in any stratum breaks the bound.  Risk is shared out among the rules,
-so the union of the rules keeps to ``risk`` too.  Of the admitted cutoffs of a
-rule the one that rejects most labelled bad rows is taken, if it rejects any.
+Labelled rows are split in two by a hash of the id.  On the first part a path
+is laid for each stratum (language): it begins without any rule and tightens
+one rule at a time, always the step that costs fewest good rows for the bad
+rows that it rejects.  On the second part, the holdout, the settings along the
+path are tested in that order, from the safest on: a setting, all its rules
+together, is admitted if the exact binomial test refutes that it rejects more
+than ``risk`` of the good rows, at the level ``delta`` over the number of
+strata; the first that is not ends the sequence.  A fixed sequence needs no
+other correction, so with probability 1 - ``delta`` no stratum gets a setting
+that breaks the bound.  The last admitted setting is taken.
 """
 
 from __future__ import annotations
@@ -105,38 +107,69 @@ def tail(k: int, n: int, p: float) -> float:
     """P(X <= k) of a binomial X of ``n`` trials of probability ``p``."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    lg = np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i])
-    logs = math.lgamma(n + 1) - lg + i * math.log(p) + (n - i) * math.log1p(-p)
+    i = np.arange(1, k + 1)
+    logs = n * math.log1p(-p) + np.r_[0.0, np.cumsum(np.log((n - i + 1) / i) + math.log(p) - math.log1p(-p))]
     top = logs.max()
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
+def _rejected(levels: np.ndarray, setting: tuple[int, ...]) -> np.ndarray:
+    """Which patterns a setting rejects: of each rule the number of its cutoffs, from the loosest on, that are in use."""
+    need = np.array([len(grid) - k + 1 for (_, grid), k in zip(RULES.values(), setting, strict=True)])
+    return (levels >= need).any(1) if len(levels) else np.zeros(0, bool)
+
+
+def path(levels: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, ...]]:
+    """Settings, each with one rule tighter than the one before: always the step of fewest good rows, and a half, for a bad one; of equals the one of more bad rows, then of the first rule."""
+    setting, out = [0] * len(RULES), []
+    sizes = [len(grid) for _, grid in RULES.values()]
+    while True:
+        left = ~_rejected(levels, tuple(setting))
+        best = None
+        for r, n in enumerate(sizes):
+            new_good = np.bincount(levels[left, r], good[left], n + 1)[::-1].cumsum()  # of rows at so many cutoffs or more
+            new_bad = np.bincount(levels[left, r], bad[left], n + 1)[::-1].cumsum()
+            for k in range(setting[r] + 1, n + 1):
+                if new_bad[k - 1] > 0:
+                    cost = ((new_good[k - 1] + 0.5) / new_bad[k - 1], -new_bad[k - 1], r, k)
+                    best = min(best or cost, cost)
+        if best is None:
+            return out
+        setting[best[2]] = best[3]
+        out.append(tuple(setting))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, stratum: str = "lang", good: str = "quality") -> list[tuple[str, str, float]]:
-    """``(stratum, rule, cutoff)`` admitted on ``labels (doc_id, quality)``: 1 is good, 0 bad, others are left out.
+    """``(stratum, rule, cutoff)`` admitted on ``labels (doc_id, quality)``: 1 is good, 0 bad, others are left out; of repeated labels the least counts.
 
-    Only rows that pass the base rules count.  What comes to the driver is one
-    row of counts per stratum: labelled rows are aggregated where they lie.
+    Only rows that pass the base rules and have a stratum count, one per id
+    and kind of row.  What comes to the driver is how many rows exceed how many
+    cutoffs of each rule, a table that the grids bound for each stratum; strata
+    whose holdout is too small for any admission are left out before.
     """
-    lab = labels.where(F.col(good).isin(0, 1)).groupBy("doc_id").agg(F.min(good).alias("_y"))
-    rows = measured.where(~base_failed() & F.col(stratum).isNotNull()).join(lab, "doc_id")
-    aggs = [F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad")]
-    for rule, (expr, grid) in RULES.items():
-        for i, c in enumerate(grid):
-            over = F.expr(expr) > F.lit(float(c))
-            aggs += [F.count_if(over & (F.col("_y") == y)).alias(f"{rule}:{i}:{y}") for y in (0, 1)]
-    found = rows.groupBy(F.col(stratum).cast("string").alias("s")).agg(*aggs).collect()
-    tests = sum(len(grid) for _, grid in RULES.values()) * max(1, len(found))
+    lab = labels.where(F.col(good).isin(0, 1)).groupBy("doc_id").agg(F.min(good).alias("y"))
+    level = [sum((F.expr(expr) > F.lit(float(c))).cast("int") for c in grid).alias(f"l{i}") for i, (expr, grid) in enumerate(RULES.values())]
+    part = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)).cast("int")
+    rows = measured.where(~base_failed() & F.col(stratum).isNotNull()).select("doc_id", F.col(stratum).cast("string").alias("s"), part.alias("part"), *level).distinct().join(lab, "doc_id")
+    names = [f"l{i}" for i in range(len(RULES))]
+    found = rows.groupBy("s", "part", *names).agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad"))
+    least = math.log(delta) / math.log1p(-risk)
+    strata = sorted(r.s for r in rows.where("part = 1 and y = 1").groupBy("s").count().where(F.col("count") >= least).collect())
+    got = found.where(F.col("s").isin(strata)).collect()
     out = []
-    for r in sorted(found, key=lambda r: r.s):
-        for rule, (_, grid) in RULES.items():
-            best = None
-            for i, c in enumerate(grid):
-                hit, miss = r[f"{rule}:{i}:0"], r[f"{rule}:{i}:1"]
-                if hit and r.good and miss <= r.good * risk / len(RULES) and tail(miss, r.good, risk / len(RULES)) <= delta / tests and (best is None or (hit, -miss) > best[0]):
-                    best = ((hit, -miss), float(c))
-            if best:
-                out.append((r.s, rule, best[1]))
+    for s in strata:
+        parts = []
+        for k in (0, 1):
+            own = [r for r in got if r.s == s and r.part == k]
+            parts.append((np.array([[r[n] for n in names] for r in own], np.int64).reshape(-1, len(names)), np.array([r.good for r in own], float), np.array([r.bad for r in own], float)))
+        levels, n_good, _ = parts[1]
+        chosen = None
+        for setting in path(*parts[0]):
+            if tail(int(n_good[_rejected(levels, setting)].sum()), int(n_good.sum()), risk) > delta / len(strata):
+                break
+            chosen = setting
+        if chosen:
+            out += [(s, rule, float(sorted(grid, reverse=True)[k - 1])) for (rule, (_, grid)), k in zip(RULES.items(), chosen, strict=True) if k]
     return out
 
 
@@ -151,7 +184,8 @@ def judge(measured: DataFrame, chosen: list[tuple[str, str, float]], stratum: st
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """``doc_id, lang``, the counts, ``base_failed`` and ``kept`` per row of ``docs (doc_id, text, lang)``.
 
-    Without usable labels only the base rules decide.  Null and empty texts
+    Rows without language, and languages with too few labels, are judged by
+    the base rules.  Without usable labels only the base rules decide.  Null and empty texts
     have no words and fail them.  Repeated rows are judged alike.
     """
     measured = materialize(measure(docs), "measured")
