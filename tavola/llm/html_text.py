@@ -2,10 +2,10 @@
 
 Events of the standard library's parser are turned into lines as they come: a
 block-level tag ends a line, white space inside becomes one space.  A line's
-ratio is its characters over its tags; in menus, headers, footers, sidebars,
-notices, adverts and comments, told by tag and class, a line counts only a
-ten-thousandth of it.  The logarithms of the ratios are smoothed by a Gaussian
-and split into two clusters by an iterated threshold.
+ratio is its characters outside of links over its tags; in menus, headers,
+footers, sidebars, notices, adverts and comments, told by tag and class, a line
+counts only a ten-thousandth of it.  The logarithms of the ratios are smoothed
+by a Gaussian and split into two clusters by an iterated threshold.
 
 The dense cluster selects the region: from the innermost container of half of
 its characters outwards, as long as a container adds more dense characters
@@ -36,7 +36,7 @@ _DROP = frozenset("script style noscript template svg math head title iframe obj
 _WEAK = frozenset("nav footer aside menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended recommendations teaser widget toolbar pagination pager search skip outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended recommendations teaser widget toolbar pagination pager search skip outbrain taboola commentlist topnav subnav mainnav sitenav adsense adbox adslot adbanner sidebox cookiebar cookiebanner".split()
 )
 _NOT = frozenset("has with no without is js".split())
 #: Elements that can be the region where no article is named; a paragraph or an item of a list is a part of one.
@@ -92,7 +92,7 @@ class Line:
 
     @property
     def ratio(self) -> float:
-        return len(self.text) / (1 + self.tags) * (_DAMP if self.weak else 1)
+        return max(0, len(self.text) - self.linked) / (1 + self.tags) * (_DAMP if self.weak else 1)
 
 
 class _Lines(HTMLParser):
@@ -283,7 +283,9 @@ def blocks(html: str | None) -> list[str]:
     soft = smoothed(ratio)
     limit = threshold(soft)
     weak = np.array([x.weak for x in lines])
-    dense = (soft >= limit) & (~weak | (ratio >= limit))  # smoothing lends a weak line nothing
+    links = np.array([x.linked >= 0.9 * len(x.text.replace(" ", "")) for x in lines])
+    # a long line between short ones is dense by itself; smoothing lends nothing to weak lines and to those of nothing but links
+    dense = np.where(weak | links, np.minimum(soft, ratio), np.maximum(soft, ratio)) >= limit
     if weak.all():
         return []
     if not dense.any():
@@ -309,9 +311,8 @@ def blocks(html: str | None) -> list[str]:
     first, last = np.flatnonzero(dense & got)[[0, -1]] if (dense & got).any() else (0, len(lines) - 1)
     out = []
     for i in np.flatnonzero(got & (dense | ~weak)).tolist():
-        x = lines[i]
-        if first <= i <= last or kinds[region] == "article" or x.linked < 0.9 * len(x.text.replace(" ", "")):
-            out.append(x.text)
+        if first <= i <= last or kinds[region] == "article" or not links[i]:
+            out.append(lines[i].text)
     return out
 
 
