@@ -87,8 +87,18 @@ def test_simhash_dense_groups_in_chunks(spark):
 
 def test_simhash_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(7, "a b c d", "x"), (7, "a b c d", "x"), (None, "a b c d", "x"), (7, "other words here now", "y")], "doc_id long, text string, component string")
-    assert simhash.keep_one(df).count() == 2  # one row of document 7 and the row without id
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    kept = sorted(r.text for r in simhash.keep_one(df).collect())
+    assert kept == ["a b c d", "other words here now"]  # different texts under one id are not linked; the copy without id goes
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    fps = {"a": 0, "b": 0b111, "c": 0b111111, "d": 0xFFFF << 40}  # a and c are linked by b alone
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select(F.col("doc_id").alias("id"), F.element_at(F.create_map(*[F.lit(x) for kv in fps.items() for x in kv]), F.col("text")).cast("long").alias("fp"), F.xxhash64("text").alias("th")))
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (3, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    got = sorted((r.fp, r.component) for r in simhash.near_duplicates(df).collect())
+    assert got == [(0, 3), (7, 3), (63, 3), (0xFFFF << 40, None), (0xFFFF << 40, None)]
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(df).collect()) == [(0, "d"), (3, "c")]
 
 
 def brute_lines(texts, least=50):
@@ -118,6 +128,8 @@ def test_line_runs_against_brute_force(spark):
 def test_line_dedup_extra_columns_and_repeats(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long, 5, 1), (1, long, 5, 1), (2, long + "\nend", 6, 2), (3, long, 7, 3), (None, "x", 1, 4)], "doc_id long, text string, n_chars long, th long")
+    clash = df.withColumns({c: F.lit(c) for c in ("_w", "_left", "_o", "_gone", "_ls", "n_lines")})
+    assert {(r._w, r._left, r._o, r._gone, r._ls) for r in lines.dedup_lines(clash).collect()} == {("_w", "_left", "_o", "_gone", "_ls")}
     out = {(r.doc_id, r.n_removed): r.text for r in lines.dedup_lines(df).collect()}
     assert out[(1, 0)] == long and out[(2, 1)] == "end" and out[(3, 1)] == "" and out[(None, 0)] == "x"
     left = lines.without_copies(df)
@@ -176,3 +188,25 @@ def test_winnowing_rows(spark):
     assert left.columns == df.columns and sorted(r.text for r in left.collect()) == ["clean text", "fine"]
     assert winnow.contamination(df.limit(0), bench).count() == 0
     assert winnow.contamination(df, bench.limit(0)).where(F.col("n_hit") > 0).count() == 0
+
+
+def test_items_without_id_hit(spark):
+    bench = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(20))), (None, "short item"), (3, "w1 w2")], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(2, 17))), (2, "a short item here"), (3, "W1 w2")], "doc_id long, text string")
+    got = {r.id: (r.n_hit, list(r["items"]), r.contaminated) for r in winnow.contamination(df, bench).collect()}
+    assert got == {1: (15, [], True), 2: (2, [], True), 3: (2, ["3"], True)}
+    assert winnow.decontaminate(df, bench).count() == 0
+
+
+def test_both_sides_are_winnowed(spark):
+    """Of a text's grams only the least of eight in a row go on, by brute force over the hashes."""
+    rng = random.Random(6)
+    words = [rng.choices(WORDS, k=n) for n in (0, 5, 12, 13, 14, 60, 200)]
+    rows = spark.createDataFrame([(i, i, [hash(w) % (1 << 40) for w in x]) for i, x in enumerate(words)], "id long, th long, ws array<long>")
+    got = defaultdict(set)
+    for r in winnow._fingerprints(rows, 6, 8).where("k > 0").collect():
+        got[r.id].add((r.at, r.h))
+    for r in winnow._fingerprints(rows, 6, 8, [6]).where("k > 0").select("id", "at", "h").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("g")).collect():
+        g = [x.h for x in r.g]
+        least = {(i, g[i]) for a in range(len(g) - 7) for i in range(a, a + 8) if g[i] == min(g[a : a + 8])}
+        assert got[r.id] == least

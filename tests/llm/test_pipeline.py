@@ -45,6 +45,23 @@ def test_stages(spark, folder):
     assert all(r.round_trip for r in out.values()) and out[1003].n_tokens < 10
 
 
+def test_odd_tables(spark, folder, tmp_path):
+    """Empty tables, rows without id or text, repeated rows: every stage takes them."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.where("doc_id < 40").unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 1004").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, d in (("odd", rows), ("empty", docs.limit(0))):
+        at = str(tmp_path / name)
+        d.write.parquet(f"{at}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            x = spark.read.parquet(f"{folder}/{t}.parquet")
+            (x if name == "odd" else x.limit(0)).write.parquet(f"{at}/{t}.parquet")
+        out = pipeline.run(spark, at)
+        ids = [r.doc_id for r in out.collect()]
+        assert out.columns[-3:] == ["ids", "n_tokens", "round_trip"]
+        known = [i for i in ids if i is not None]
+        assert len(known) == len(set(known)) and (ids == [] if name == "empty" else len(ids) > 25)
+
+
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
