@@ -123,14 +123,14 @@ def _once(col: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, col)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``docs`` with later copies of line runs deleted from its text, and ``n_lines, n_removed`` (replaced if there).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later copies of line runs deleted from its text, and ``counts``: ``n_lines, n_removed`` (replaced if there).
 
     ``n_lines`` counts the lines of the text that came in, ``n_removed`` those
     deleted.  Lines without words stay.  A null text stays null and has no
     lines.  A text that is not touched is returned as it is.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c not in counts]
     o, th, gone, ls, w, left = (free(x, keep) for x in ("o", "th", "gone", "ls", "w", "left"))
     found = _merged(repeated_runs(docs, id_col, text_col, min_words))
     found = found.select(F.col("o").alias(o), F.col("th").alias(th), F.col("gone").alias(gone))
@@ -144,17 +144,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(left, lambda p: F.get(ls, p)), "\n"))
     return d.select(
         *[new.alias(c) if c == text_col else F.col(c) for c in keep],
-        F.coalesce(F.when(text.isNotNull(), F.size(ls)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(ls) - F.size(left), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(text.isNotNull(), F.size(ls)), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(ls) - F.size(left), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs (doc_id, text, ...)`` after line dedup; ``n_chars``, if there, is brought up to date, and rows of which nothing but white space is left go."""
-    d = dedup_lines(docs)
-    d = d.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    counts = free("lines", docs.columns), free("removed", docs.columns)
+    d, removed = dedup_lines(docs, counts=counts), F.col(counts[1])
+    d = d.where(~((removed > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        d = d.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*docs.columns)
 
 

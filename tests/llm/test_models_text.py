@@ -313,7 +313,8 @@ def test_toxicity_learns_words_and_stems(spark):
     odd = spark.createDataFrame([(1, None, None, 0.0), (2, "", "xx", 0.0), (3, "zurk " + "an er " * 30_000, "en", 0.0)], "doc_id long, text string, lang string, score double")
     got = {r.doc_id: r for r in toxicity.score(odd, net).collect()}
     assert got[1].score == got[2].score and 0 <= got[1].score <= 1 and got[3].rejected
-    assert toxicity.without_toxic(odd, net).columns == odd.columns
+    kept = toxicity.without_toxic(odd.withColumn("rejected", F.lit("x")).withColumn("_score", F.lit(1)), net)
+    assert kept.columns == [*odd.columns, "rejected", "_score"] and {(r.score, r.rejected, r._score) for r in kept.collect()} == {(0.0, "x", 1)}
 
 
 def test_toxicity_without_labels(spark):

@@ -132,6 +132,8 @@ def test_line_dedup_extra_columns_and_repeats(spark):
     assert {(r._w, r._left, r._o, r._gone, r._ls) for r in lines.dedup_lines(clash).collect()} == {("_w", "_left", "_o", "_gone", "_ls")}
     out = {(r.doc_id, r.n_removed): r.text for r in lines.dedup_lines(df).collect()}
     assert out[(1, 0)] == long and out[(2, 1)] == "end" and out[(3, 1)] == "" and out[(None, 0)] == "x"
+    named = lines.without_copies(df.withColumns({"n_lines": F.lit(-1), "n_removed": F.lit(-2), "_lines": F.lit(-3)}))
+    assert {(r.n_lines, r.n_removed, r._lines) for r in named.collect()} == {(-1, -2, -3)}
     left = lines.without_copies(df)
     assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 1, 2]
     assert [r.n_chars for r in left.where("doc_id = 2").collect()] == [3]
