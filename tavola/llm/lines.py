@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .tables import free, table
+from .tables import dealt_anew, free, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _FIRST = -(1 << 63)
@@ -98,9 +98,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         named = part if named is None else named.unionByName(part)
         k += 1
     named = materialize(named, "blocks", 2 * have)
-    # a table of its own, so that adaptive execution may split the blocks of one interval in the join
-    first = materialize(named.groupBy("m", "ra", "rb").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "intervals", have)
-    return named.join(first, ["m", "ra", "rb"]).where(F.struct(*_AT) > F.col("first")).select(*_AT, "m")
+    first = named.groupBy("m", "ra", "rb").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("c")).where("c > 1")
+    return named.join(dealt_anew(first, ["m", "ra", "rb"], "c"), ["m", "ra", "rb"]).where(F.struct(*_AT) > F.col("first")).select(*_AT, "m")
 
 
 def _merged(runs: DataFrame) -> DataFrame:
