@@ -40,7 +40,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None, per_file: in
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tavola/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     out = df if rows is None else df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_file)))
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tavola_path = path
     _MADE.append(path)
@@ -79,6 +79,20 @@ def _forget(spark: SparkSession) -> None:
         pass
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(docs: DataFrame, size: str = "4m") -> DataFrame:
+    """``docs``, whose session now sends rows to Python in batches of ``size``, unless it has set a bound of its own.
+
+    By default they may be 64 MB, which the JVM and each worker hold at once.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+        conf.set(_BATCH, size)
+    return docs
+
+
 def fits_broadcast(df: DataFrame, limit: int = 64 << 20) -> bool:
     """Whether the optimizer's size estimate of ``df`` (a scan or a filter of one) is proven under ``limit`` bytes."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
