@@ -2,7 +2,8 @@
 
 The edge set is rewritten until it is a forest of stars whose centres are the
 least nodes.  No task ever holds the neighbours of a node: minima are
-pre-aggregated, and joins can be split by adaptive execution.
+pre-aggregated, and both sides of the join with them are dealt out for it, so
+that adaptive execution can split a node of many neighbours.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, release
+from .tables import dealt_anew
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return both.where("v > u").join(dealt_anew(least, ["u"], "n"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    j = e.join(least, "hi")
-    moved = j.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+    least = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+    moved = e.join(dealt_anew(least, ["hi"], "n"), "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 

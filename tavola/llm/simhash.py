@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
-from .tables import table
+from .storage import in_small_batches, materialize
+from .tables import dealt_anew, table
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _SLICE = 1 << 15
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("th"))
-    return d.mapInArrow(run, "id long, fp long, th long")
+    return in_small_batches(d).mapInArrow(run, "id long, fp long, th long")
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -159,10 +159,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes", fps.count())
     found = connected_components(links(nodes.select("fp", F.col("fp").alias("node")), distance, blocks), "a", "b")
     linked = found.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(nodes, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "root").select("fp", "root", "component")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    linked = linked.join(dealt_anew(least, ["root"], "n"), "root").select("fp", "root", "component")
     label = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
-    label = materialize(label, "labels", nodes.count())  # of known size, and dealt anew for the join, which can then split the rows of one fingerprint
+    label = materialize(label, "labels", nodes.count())  # dealt out anew for the join, which can then split the rows of one fingerprint
     return fps.join(label, "fp").select("id", "fp", "th", "component", "root")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
-from .tables import free, table
+from .tables import dealt_anew, free, table
 
 #: (verdict, host, path) of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -84,10 +84,11 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, ur
     member = connected_components(edges, "a", "b")
     known = rule_of(F.regexp_extract("node", r"^[^/?#]*", 0), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1), rules)["verdict"]
     member = materialize(member.select("node", "component", known.alias("v")), "aliases")
-    said = member.groupBy("component").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").alias("_said"))
+    said = member.groupBy("component").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").alias("_said"), F.count("*").alias("n"))
+    said = dealt_anew(said.where("_said is not null"), ["component"], "n")
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     own, at, node, told = (free(x, keep) for x in ("own", "at", "node", "told"))
-    said = member.join(said, "component").where("_said is not null").select(F.col("node").alias(node), F.col("_said").alias(told))
+    said = member.join(said, "component").select(F.col("node").alias(node), F.col("_said").alias(told))
     out = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias(at))
     out = out.withColumn(own, rule_of(F.col("host"), F.col("path"), rules))
     out = out.join(said, F.col(at) == F.col(node), "left")

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tavola.llm import components, lines, simhash, winnow
+from tavola.llm.tables import dealt_anew
 
 WORDS = ["the", "of", "and", "in", "ab", "cd", "ef", "gh", "Über", "naïve"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,6 +45,15 @@ def test_components(spark):
     assert components.connected_components(df.limit(0), "a", "b").count() == 0
 
 
+def test_totals_are_dealt_anew(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"))
+    totals = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = rows.hint("merge").join(dealt_anew(totals, ["k"], "n"), "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # for the totals, and for either side of the join
+    assert out.agg(F.sum("n")).first()[0] == 34 * 34 + 2 * 33 * 33
+
+
 def brute_fp(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
