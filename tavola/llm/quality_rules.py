@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize
-from .tables import table
+from .storage import in_small_batches, materialize
+from .tables import free, table
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -92,11 +92,12 @@ def measure(docs: DataFrame, text_col: str = "text", keep: Iterable[str] = ("doc
             cols = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * len(BASE)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*b.schema.names[1:], *BASE])
 
-    d = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    schema = d.drop("_text").schema
+    own = free("text", keep)
+    d = docs.select(F.col(text_col).cast("string").alias(own), *keep)
+    schema = d.drop(own).schema
     for name in BASE:
         schema = schema.add(name, "long")
-    return d.mapInArrow(run, schema)
+    return in_small_batches(d).mapInArrow(run, schema)
 
 
 def base_failed():
@@ -150,7 +151,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     lab = labels.where(F.col(good).isin(0, 1)).groupBy("doc_id").agg(F.min(good).alias("y"))
     level = [sum((F.expr(expr) > F.lit(float(c))).cast("int") for c in grid).alias(f"l{i}") for i, (expr, grid) in enumerate(RULES.values())]
     part = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)).cast("int")
-    rows = measured.where(~base_failed() & F.col(stratum).isNotNull()).select("doc_id", F.col(stratum).cast("string").alias("s"), part.alias("part"), *level).distinct().join(lab, "doc_id")
+    rows = measured.where(~base_failed() & F.col(stratum).isNotNull()).join(lab, "doc_id")
+    rows = rows.select("doc_id", F.col(stratum).cast("string").alias("s"), part.alias("part"), *level, "y").distinct()  # of labelled rows alone
     names = [f"l{i}" for i in range(len(RULES))]
     found = rows.groupBy("s", "part", *names).agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad"))
     least = math.log(delta) / math.log1p(-risk)
