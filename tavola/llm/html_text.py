@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import in_small_batches
 from .tables import free, table
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -336,7 +337,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     own = free("html", keep)
     d = pages.select(F.col(html_col).cast("string").alias(own), *keep)
-    return d.mapInArrow(run, d.drop(own).schema.add(out_col, "string").add("n_chars", "long"))
+    return in_small_batches(d).mapInArrow(run, d.drop(own).schema.add(out_col, "string").add("n_chars", "long"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import in_small_batches
 from .tables import free, table
 
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
@@ -190,7 +191,7 @@ def grade(docs: DataFrame, model: Ordinal, text_col: str = "text", least: float
 
     own = free("text", keep)
     d = docs.select(F.col(text_col).cast("string").alias(own), *keep)
-    return d.mapInArrow(run, d.drop(own).schema.add("expected_grade", "double").add("p_above", T.ArrayType(T.DoubleType())).add("selected", "boolean"))
+    return in_small_batches(d).mapInArrow(run, d.drop(own).schema.add("expected_grade", "double").add("p_above", T.ArrayType(T.DoubleType())).add("selected", "boolean"))
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import in_small_batches
 from .tables import free, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -108,8 +109,8 @@ class Vocabulary:
             raise ValueError("a piece goes on beyond a word; this vocabulary cannot be matched word by word")
         # pieces that merging can reach at all, as one matrix of their characters' numbers (0: beyond the piece)
         usable = [i for i in normal if self._merge(self.text[i]) == [self.text[i]]]
-        self.ids = np.array(usable, np.int64)
-        self.lens = np.array([len(self.text[i]) for i in usable], np.int64)
+        self.ids = np.array(usable, np.int32)
+        self.lens = np.array([len(self.text[i]) for i in usable], np.int32)
         self.depth = int(self.lens.max(initial=1))
         flat = _points("".join(self.text[i] for i in usable))
         self.alphabet = np.unique(flat)
@@ -138,7 +139,7 @@ class Vocabulary:
 
     def may_meet(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the pieces may stand side by side; each pair is merged once in a process."""
-        code = left * np.int64(1 << 20) + right
+        code = left.astype(np.int64) * (1 << 20) + right
         at = self.pairs.find(code)
         if (at < 0).any():
             new = np.unique(code[at < 0])
@@ -172,7 +173,7 @@ def _suffix_array(codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray,
         for j in range(per):
             k = (k << bits) | (padded[first + j : first + j + len(codes)] if first + j < depth else 0)
         keys.append(k)
-    order = np.argsort(keys[0])
+    order = np.argsort(keys[0]).astype(np.int32)
     first = keys[0][order]
     new = np.r_[True, first[1:] != first[:-1]]
     tied = np.flatnonzero(~(new & np.r_[new[1:], True]))  # few suffixes share a whole first key
@@ -232,8 +233,8 @@ def _edges(chars: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     s = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     t, e = np.repeat(ids, n), s + np.repeat(lens, n)
     inside = e <= ends[s]
-    strange = np.flatnonzero(~np.isin(chars, v.single))
-    return np.r_[s[inside], strange], np.r_[e[inside], strange + 1], np.r_[t[inside], np.full(len(strange), v.unknown)]
+    strange = np.flatnonzero(~np.isin(chars, v.single)).astype(np.int32)
+    return np.r_[s[inside], strange], np.r_[e[inside], strange + 1], np.r_[t[inside], np.full(len(strange), v.unknown, np.int32)]
 
 
 def _as_bytes(piece: np.ndarray, word: np.ndarray, odd_chars: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +265,8 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     s, e, t = _edges(chars, np.repeat(begin[1:], size), v)
     # relax by place within the word, all words at once
     total, stop = len(chars), v.unknown
-    last = np.full(total + 1, -1, np.int64)  # the piece that ends before each place (within the word that it is in)
-    came = np.full(total + 1, -1, np.int64)
+    last = np.full(total + 1, -1, np.int32)  # the piece that ends before each place (within the word that it is in)
+    came = np.full(total + 1, -1, np.int32)
     depth_of = (e - np.repeat(begin[:-1], size)[s]).astype(np.uint16 if int(size.max()) < 1 << 16 else np.int64)
     by = np.argsort(depth_of, kind="stable")
     s, e, t, depth_of = s[by], e[by], t[by], depth_of[by]
@@ -344,7 +345,7 @@ class Encoder:
     Words of over ``long`` characters are encoded on their own and not kept.
     """
 
-    def __init__(self, path: str = MODEL, most: int = 400_000, most_chars: int = 8 << 20, long: int = 256):
+    def __init__(self, path: str = MODEL, most: int = 300_000, most_chars: int = 6 << 20, long: int = 256):
         self.v, self.most, self.most_chars, self.long = vocabulary(path), most, most_chars, long
         v = self.v
         self.high = np.zeros(len(v.text), bool)  # bytes that are only a part of a character
@@ -364,7 +365,7 @@ class Encoder:
         text = text.replace(" ", _SPACE)
         return _UNIT.findall(_SPACE + text if self.v.prefix else text)
 
-    def _learn(self, new: list[str], step: int = 60_000) -> None:
+    def _learn(self, new: list[str], step: int = 20_000) -> None:
         for i in range(0, len(new), step):
             part = new[i : i + step]
             short = [w for w in part if len(w) <= self.long]
@@ -462,7 +463,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFr
 
     own = free("text", keep)
     d = docs.select(F.col(text_col).cast("string").alias(own), *keep)
-    return d.mapInArrow(run, d.drop(own).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
+    return in_small_batches(d).mapInArrow(run, d.drop(own).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", path: str = MODEL) -> DataFrame:
@@ -477,7 +478,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", path: s
 
     own = free("ids", keep)
     d = rows.select(F.col(ids_col).cast("array<int>").alias(own), *keep)
-    return d.mapInArrow(run, d.drop(own).schema.add(out_col, "string"))
+    return in_small_batches(d).mapInArrow(run, d.drop(own).schema.add(out_col, "string"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, release
+from .storage import in_small_batches, materialize, release
 from .tables import free, table
 
 #: Alphabets within which a character is replaced; case is kept.
@@ -350,7 +350,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["th", "kind", "canon", "f", "m"])
 
-    return docs.select(text.alias("t"), F.xxhash64(text).alias("th")).where("t is not null").mapInArrow(run, "th long, kind string, canon string, f boolean, m boolean")
+    return in_small_batches(docs).select(text.alias("t"), F.xxhash64(text).alias("th")).where("t is not null").mapInArrow(run, "th long, kind string, canon string, f boolean, m boolean")
 
 
 _ENTITY = ["kind", "canon", "gender", "tweak"]
@@ -442,7 +442,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
                 out.append(replace(x.as_py(), secret, own))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=[*b.schema.names[2:], text_col, "n_entities"])
 
-    done = d.mapInArrow(run, d.drop(t, told).schema.add(text_col, "string").add("n_entities", "long"))
+    done = in_small_batches(d).mapInArrow(run, d.drop(t, told).schema.add(text_col, "string").add("n_entities", "long"))
     return done.select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
 
 
