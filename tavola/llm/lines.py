@@ -95,9 +95,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         part = here.join(level.withColumnRenamed("r", "ra"), _AT)
         tail = level.select("o", "th", F.col("i").alias("j"), F.col("r").alias("rb"))
         part = part.withColumn("j", (F.col("i") + F.col("m") - size).cast("int")).join(tail, ["o", "th", "j"]).drop("j")
+        part = materialize(part, f"blocks-{size}", 2 * have)  # level by level: one plan of all joins is large for the driver
         named = part if named is None else named.unionByName(part)
         k += 1
-    named = materialize(named, "blocks", 2 * have)
     first = named.groupBy("m", "ra", "rb").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("c")).where("c > 1")
     return named.join(dealt_anew(first, ["m", "ra", "rb"], "c"), ["m", "ra", "rb"]).where(F.struct(*_AT) > F.col("first")).select(*_AT, "m")
 
