@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import drift, html_text, lines, ordinal, pieces, planes, quality_rules, simhash, surrogates, toxicity, urls, winnow
+from . import align, drift, html_text, lines, ordinal, pieces, planes, quality_rules, simhash, surrogates, toxicity, urls, winnow
 
-_MODULES = (drift, html_text, lines, ordinal, pieces, planes, quality_rules, simhash, surrogates, toxicity, urls, winnow)
+_MODULES = (align, drift, html_text, lines, ordinal, pieces, planes, quality_rules, simhash, surrogates, toxicity, urls, winnow)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
