@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tavola.functions import values as V
 from tavola.functions.rules import first_contained
 from tavola.functions.text import tokens
+from tavola.operators.keymatch import best_keys
 from tavola.operators.lemmas import ranked
 from tavola.operators.lineage import cut
 
@@ -30,25 +31,10 @@ def curated_match(name: Column, pairs: list[tuple[str, str]]) -> Column:
     return F.coalesce(F.try_element_at(exact, low), first_contained(low, pairs))
 
 
-def curated_join(names: DataFrame, synonyms: DataFrame, name: str = "dish_name") -> DataFrame:
-    """``names`` with ``curated``, for tables ``synonyms (ordinal, key, canonical)`` too large for an expression.
-
-    Distinct names are matched.  A key meets the names that have its first
-    three characters somewhere (a shorter key: itself), so only names that may
-    contain it are compared.
-    """
-    low = names.select(F.lower(name).alias("low")).where("low is not null").distinct()
-    def grams(c: str, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.length(c) - (n - 1))
-        return F.when(F.length(c) >= n, F.transform(at, lambda i: F.substr(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    first = F.substring("key", 1, 3)
-    short = F.flatten(F.array(*[grams("low", n) for n in (1, 2, 3)]))
-    keyed = synonyms.withColumn("g", first)
-    parts = low.select("low", F.explode(F.array_distinct(short)).alias("g"))
-    hits = parts.join(keyed, "g").where(F.col("low").contains(F.col("key")))
-    best = hits.groupBy("low").agg(F.min_by("canonical", F.struct((F.col("low") != F.col("key")).cast("int"), F.col("ordinal"))).alias("curated"))
-    return names.withColumn("_low", F.lower(name)).join(best.withColumnRenamed("low", "_low"), "_low", "left").drop("_low")
+def curated_join(names: DataFrame, synonyms: DataFrame, name: str = "dish_name", shard_chars: int = 1_000_000) -> DataFrame:
+    """``names`` with ``curated``, for tables ``synonyms (ordinal, key, canonical)`` too large for an expression; see ``best_keys``."""
+    best = best_keys(names.select(F.lower(name).alias("low")), synonyms, shard_chars)
+    return names.withColumn("_low", F.lower(name)).join(best.select(F.col("low").alias("_low"), F.col("canonical").alias("curated")), "_low", "left").drop("_low")
 
 
 def token_classes(sets: DataFrame) -> DataFrame:
@@ -57,6 +43,21 @@ def token_classes(sets: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("tokens").agg(F.min("id").alias("class_id")), "tokens").select("id", "class_id")
 
 
+def near_by_prefix(x: DataFrame, y: DataFrame, num: int, also: Column | None = None) -> DataFrame:
+    """Rows ``x`` and ``y`` of two prefix indexes ``(t, id, n, i)`` that share a token and whose sizes and places allow a similarity of ``num`` thousandths.
+
+    Sizes lie in bands so wide that similar sets are in one or in neighbouring
+    bands, and the band is part of the key: a common token is one key per
+    band, and sizes that are far apart never meet.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1000.0 / num)) + 1e-9).cast("int") if num < 1000 else F.col("n")
+    x = x.withColumn("band", band).alias("x")
+    y = y.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + F.least("x.i", "y.i")
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")) & ((1000 + num) * rest >= num * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, on if also is None else on & also)
+
+
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``a, b`` (a < b): ids of ``sets (id, tokens)``, no two of them equal, with a Jaccard similarity of ``threshold`` or more.
 
@@ -75,9 +76,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those come before all others
     ordered = long.join(freq, "t").withColumn("i", place + alone)
     parts = cut(ordered.where(F.expr(f"i <= n - cast(ceil({num} * n / 1000.0) as int) + 1")).select("t", "id", "n", "i"))
-    x, y = parts.alias("x"), parts.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + F.least("x.i", "y.i")
-    near = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")) & ((1000 + num) * rest >= num * (F.col("x.n") + F.col("y.n"))))
+    near = near_by_prefix(parts, parts, num, F.col("x.id") < F.col("y.id"))
     pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
