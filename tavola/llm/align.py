@@ -129,57 +129,104 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights, first)
 
 
-class Aligned:
-    """Segments aligned: numbers of tokens, groups and links, groups as text, and ``code`` (A's id times 65536 plus B's) of every linked pair with how often it is, from ``start`` on."""
-
-    def __init__(self, own: Tokenizers, segments: list[str]):
-        a, b = own.encode(segments)
-        raw = [s.encode() for s in segments]
-        self.ok = np.array([b"".join(map(own.a_bytes.__getitem__, x)) == r == b"".join(map(own.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)], bool)
-        a, b = ([x if good else [] for x, good in zip(t, self.ok, strict=True)] for t in (a, b))
-        n = len(segments)
-        self.n_a, self.n_b = (np.fromiter(map(len, t), np.int64, n) for t in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in t for i in x), np.int64, int(c.sum())) for t, c in ((a, self.n_a), (b, self.n_b)))
-        ends_a, ends_b = np.cumsum(own.a_sizes[ids_a]), np.cumsum(own.b_sizes[ids_b])
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)  # segments end where tokens of both end, so no group goes on beyond one
-        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
-        seg_a = np.repeat(np.arange(n), self.n_a)
-        count_a, count_b = (np.bincount(g, minlength=len(both)) for g in (group_a, group_b))
-        begin_a, begin_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
-        seg = seg_a[begin_a] if len(both) else np.empty(0, np.int64)
-        links = count_a * count_b
-        self.n_groups = np.bincount(seg, minlength=n)
-        self.n_links = np.zeros(n, np.int64)
-        np.add.at(self.n_links, seg, links)
-        small = links <= _LARGE
-        each = np.where(small[group_a], count_b[group_a], 0)
-        at = np.repeat(begin_b[group_a], each) + _runs(each)
-        keys = [(np.repeat(seg_a, each) << 32) | (np.repeat(ids_a, each) << 16) | ids_b[at]]
+class Groups:
+    """Aligned segments: how many groups each has, how many ids of A and of B each group has, and these ids one after the other."""
+
+    def __init__(self, groups: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
+        self.groups, self.count_a, self.count_b, self.ids_a, self.ids_b = groups, count_a, count_b, ids_a, ids_b
+        self.n = len(groups)
+        self.seg = np.repeat(np.arange(self.n), groups)
+        self.begin_a, self.begin_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
+
+    def totals(self) -> list[np.ndarray]:
+        """Ids of A, ids of B, groups and links of each segment."""
+        out = []
+        for of_group in (self.count_a, self.count_b, np.ones_like(self.count_a), self.count_a * self.count_b):
+            up = np.concatenate([[0], np.cumsum(of_group)])
+            end = np.cumsum(self.groups)
+            out.append(up[end] - up[end - self.groups])
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment, code (A's id times 65536 plus B's) and number of links of every linked pair, by segment."""
+        small = self.count_a * self.count_b <= _LARGE
+        group = np.repeat(np.arange(len(self.seg)), self.count_a)
+        each = np.where(small[group], self.count_b[group], 0)
+        at = np.repeat(self.begin_b[group], each) + _runs(each)
+        keys = [(np.repeat(self.seg[group], each) << 32) | (np.repeat(self.ids_a, each) << 16) | self.ids_b[at]]
         weights = [np.ones(len(at), np.int64)]
         for g in np.flatnonzero(~small).tolist():
-            x, k = np.unique(ids_a[begin_a[g] : begin_a[g] + count_a[g]], return_counts=True)
-            y, m = np.unique(ids_b[begin_b[g] : begin_b[g] + count_b[g]], return_counts=True)
-            keys.append((seg[g] << 32) | ((x << 16)[:, None] | y[None, :]).ravel())
+            x, k = np.unique(self.ids_a[self.begin_a[g] : self.begin_a[g] + self.count_a[g]], return_counts=True)
+            y, m = np.unique(self.ids_b[self.begin_b[g] : self.begin_b[g] + self.count_b[g]], return_counts=True)
+            keys.append((self.seg[g] << 32) | ((x << 16)[:, None] | y[None, :]).ravel())
             weights.append((k[:, None] * m[None, :]).ravel())
-        found, self.times = _summed(np.concatenate(keys), np.concatenate(weights))
-        self.codes = found & 0xFFFFFFFF
-        self.start = np.searchsorted(found >> 32, np.arange(n + 1))
-        self.groups = self._texts(n, ids_a, ids_b, begin_a, begin_b, count_a, count_b, seg)
-
-    @staticmethod
-    def _texts(n, ids_a, ids_b, begin_a, begin_b, count_a, count_b, seg) -> list[str]:
-        a, b = ids_a.tolist(), ids_b.tolist()
-        one = (count_a == 1) & (count_b == 1)
+        found, times = _summed(np.concatenate(keys), np.concatenate(weights))
+        return found >> 32, found & 0xFFFFFFFF, times
+
+    def texts(self) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of each segment."""
+        a, b = self.ids_a.tolist(), self.ids_b.tolist()
+        one = (self.count_a == 1) & (self.count_b == 1)
         texts = [
             f"{a[i]}|{b[j]}" if single else f"{','.join(map(str, a[i : i + k]))}|{','.join(map(str, b[j : j + m]))}"
-            for i, j, k, m, single in zip(begin_a.tolist(), begin_b.tolist(), count_a.tolist(), count_b.tolist(), one.tolist(), strict=True)
+            for i, j, k, m, single in zip(self.begin_a.tolist(), self.begin_b.tolist(), self.count_a.tolist(), self.count_b.tolist(), one.tolist(), strict=True)
         ]
-        ends = np.searchsorted(seg, np.arange(n), "right").tolist()
-        return [";".join(texts[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _lists(values: np.ndarray, start: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(values, kind))
+        ends = np.cumsum(self.groups).tolist()
+        return [";".join(texts[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+    def packed(self) -> list[bytes]:
+        """Each segment as bytes: its groups and whether numbers are wide, ids of A and of B in each group, all ids of A, all of B."""
+        wide = np.zeros(self.n, bool)
+        np.logical_or.at(wide, self.seg, (self.count_a > 255) | (self.count_b > 255))
+        head = (self.groups << 1 | wide).astype("<u4").tobytes()
+        ends = np.cumsum(self.groups).tolist()
+        ends_a, ends_b = (np.concatenate([[0], np.cumsum(c)])[ends].tolist() for c in (self.count_a, self.count_b))
+        both = np.stack([self.count_a, self.count_b], axis=1).astype("<u4")
+        narrow, full = both.astype("u1").tobytes(), both.tobytes()
+        a, b = self.ids_a.astype("<u2").tobytes(), self.ids_b.astype("<u2").tobytes()
+        out, g, x, y = [], 0, 0, 0
+        for i, (h, i_a, i_b, w) in enumerate(zip(ends, ends_a, ends_b, wide.tolist(), strict=True)):
+            out.append(head[4 * i : 4 * i + 4] + (full[8 * g : 8 * h] if w else narrow[2 * g : 2 * h]) + a[2 * x : 2 * i_a] + b[2 * y : 2 * i_b])
+            g, x, y = h, i_a, i_b
+        return out
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Groups:
+        data = np.frombuffer(b"".join(parts), "u1")
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.cumsum(size) - size
+
+        def numbers(start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+            """``count`` numbers of ``width`` bytes from each start on."""
+            first = np.repeat(start, count) + width * _runs(count)
+            return sum(data[first + k].astype(np.int64) << (8 * k) for k in range(width))
+
+        head = numbers(at, np.ones(len(parts), np.int64), 4) if len(parts) else np.empty(0, np.int64)
+        groups, wide = head >> 1, (head & 1).astype(bool)
+        counts = np.empty(2 * int(groups.sum()), np.int64)
+        is_wide = np.repeat(wide, 2 * groups)
+        counts[~is_wide] = numbers(at[~wide] + 4, 2 * groups[~wide], 1)
+        counts[is_wide] = numbers(at[wide] + 4, 2 * groups[wide], 4)
+        count_a, count_b = counts[::2].copy(), counts[1::2].copy()
+        end = np.cumsum(groups)
+        n_a, n_b = (np.concatenate([[0], np.cumsum(c)])[end] - np.concatenate([[0], np.cumsum(c)])[end - groups] for c in (count_a, count_b))
+        ids = at + 4 + 2 * groups * np.where(wide, 4, 1)
+        return cls(groups, count_a, count_b, numbers(ids, n_a, 2), numbers(ids + 2 * n_a, n_b, 2))
+
+
+def align_texts(own: Tokenizers, segments: list[str]) -> tuple[np.ndarray, Groups]:
+    """Which segments both tokenizers give back byte for byte, and their groups; the others have none."""
+    a, b = own.encode(segments)
+    raw = [s.encode() for s in segments]
+    ok = [b"".join(map(own.a_bytes.__getitem__, x)) == r == b"".join(map(own.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
+    n_a, n_b = (np.array([len(x) if good else 0 for x, good in zip(t, ok, strict=True)], np.int64) for t in (a, b))
+    ids_a, ids_b = (np.fromiter((i for x, good in zip(t, ok, strict=True) if good for i in x), np.int64, int(c.sum())) for t, c in ((a, n_a), (b, n_b)))
+    ends_a, ends_b = np.cumsum(own.a_sizes[ids_a]), np.cumsum(own.b_sizes[ids_b])
+    both = np.intersect1d(ends_a, ends_b, assume_unique=True)  # segments end where tokens of both end, so no group goes on beyond one
+    group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+    count_a, count_b = (np.bincount(g, minlength=len(both)).astype(np.int64) for g in (group_a, group_b))
+    seg = np.repeat(np.arange(len(segments)), n_a)[np.cumsum(count_a) - count_a] if len(both) else np.empty(0, np.int64)
+    return np.array(ok, bool), Groups(np.bincount(seg, minlength=len(segments)).astype(np.int64), count_a, count_b, ids_a, ids_b)
 
 
 def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
@@ -192,7 +239,7 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             counts = np.array(sizes, np.int32).tobytes()
-            return pa.RecordBatch.from_pydict({"chunk": [(part << 32) + number], "doc_ids": [ids], "counts": [counts], "seq": [b"".join(seqs)], "segments": [list(known)]}, schema=kind)
+            return pa.RecordBatch.from_pydict({"chunk": [(part << 32) + number], "doc_ids": [ids], "counts": [counts], "seq": [_dense(np.concatenate([np.empty(0, np.int32), *seqs]))], "segments": [list(known)]}, schema=kind)
 
         ids, sizes, seqs, known, held = [], [], [], {}, 0
         for b in batches:
@@ -203,7 +250,7 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
                     sizes.append(-1)
                 else:
                     found = own.segments(text)
-                    seqs.append(np.fromiter((known.setdefault(s, len(known)) for s in found), np.int32, len(found)).tobytes())
+                    seqs.append(np.fromiter((known.setdefault(s, len(known)) for s in found), np.int32, len(found)))
                     sizes.append(len(found))
                     held += len(raw)
                 if held >= size or len(ids) >= 100_000:
@@ -216,18 +263,24 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 
 
 def align_segments(segments: DataFrame, a: str, b: str, batch: int = 5_000) -> DataFrame:
-    """``segment, ok, n_a, n_b, n_groups, n_links, groups, codes, times`` of ``segments (segment)``, aligned each by itself."""
-    kind = pa.schema([("segment", pa.string()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    """``segment, packed`` of ``segments (segment)``, each aligned by itself; see ``Groups.packed``.  Null: not given back by both tokenizers."""
+    kind = pa.schema([("segment", pa.string()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers(a, b)
         for x in batches:
             for at in range(0, x.num_rows, batch):
                 part = x.column(0).slice(at, batch)
-                d = Aligned(own, part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, pa.array(d.ok), pa.array(d.n_a), pa.array(d.n_b), pa.array(d.n_groups), pa.array(d.n_links), pa.array(d.groups, pa.string()), _lists(d.codes, d.start, pa.int64()), _lists(d.times, d.start, pa.int64())], schema=kind)
+                ok, groups = align_texts(own, part.to_pylist())
+                packed = [p if good else None for p, good in zip(groups.packed(), ok.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part, pa.array(packed, pa.binary())], schema=kind)
+
+    return segments.select("segment").mapInArrow(run, "segment string, packed binary")
+
 
-    return segments.select("segment").mapInArrow(run, "segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, codes array<long>, times array<long>")
+def _dense(seq: np.ndarray) -> bytes:
+    """Numbers of segments by their low and their high half: most are small, so the second half is mostly zeros."""
+    return seq.astype("<u2").tobytes() + (seq >> 16).astype("<u2").tobytes()
 
 
 class _Chunk:
@@ -239,7 +292,8 @@ class _Chunk:
         self.sizes = np.maximum(sizes, 0)
         self.end = np.cumsum(self.sizes)
         self.begin = self.end - self.sizes
-        self.seq = np.frombuffer(seq, np.int32)
+        low, high = np.frombuffer(seq, "<u2").reshape(2, -1).astype(np.int64)
+        self.seq = high << 16 | low
 
     def sums(self, per_segment: np.ndarray) -> np.ndarray:
         """For each document the sum over its segments."""
@@ -247,39 +301,39 @@ class _Chunk:
         return up[self.end] - up[self.begin]
 
 
-_DONE = "chunk long, doc_ids array<long>, counts binary, seq binary, seg_start binary, seg_pair binary, seg_times binary, good binary, totals binary, groups array<string>, codes array<long>, holders array<long>"
+_DONE = "chunk long, doc_ids array<long>, counts binary, seq binary, seg_size binary, seg_pair binary, seg_times binary, good binary, totals binary, groups array<string>, codes array<long>, holders array<long>"
 
 
 def _composed(chunks: DataFrame, aligned: DataFrame, digest: bool) -> DataFrame:
     """One row per chunk: its documents with their totals and groups, and how many of them hold each of its pairs."""
-    kind = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("counts", "seq", "seg_start", "seg_pair", "seg_times", "good", "totals")], ("groups", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
+    kind = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("counts", "seq", "seg_size", "seg_pair", "seg_times", "good", "totals")], ("groups", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         chunk = _Chunk(row["counts"], row["seq"])
         right = right.sort_by("number").combine_chunks()
-        col = lambda c: right.column(c).to_numpy()
-        flat = lambda c: right.column(c).combine_chunks().flatten().to_numpy()
         n = right.num_rows
-        start = np.concatenate([[0], np.cumsum(right.column("codes").combine_chunks().value_lengths().to_numpy())]).astype(np.int64) if n else np.zeros(1, np.int64)
-        codes, pair = np.unique(flat("codes") if n else np.empty(0, np.int64), return_inverse=True)
-        times = flat("times") if n else np.empty(0, np.int64)
-        bad = ~col("ok").astype(bool) if n else np.empty(0, bool)
+        packed = right.column("packed").to_pylist()
+        bad = np.array([x is None for x in packed], bool)
+        found = Groups.unpacked([x or bytes(4) for x in packed])
+        pair_seg, pair_code, times = found.pairs()
+        size = np.bincount(pair_seg, minlength=n)
+        start = np.concatenate([[0], np.cumsum(size)])
+        codes, pair = np.unique(pair_code, return_inverse=True)
         good = chunk.given & (chunk.sizes > 0) & (chunk.sums(bad.astype(np.int64)) == 0)
-        totals = np.stack([chunk.sums(col(c)) if n else np.zeros(len(good), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")]) * good
+        totals = np.stack([chunk.sums(x) for x in found.totals()]) * good
         # each document's distinct segments, then its distinct pairs
         doc = np.repeat(np.arange(len(good)), chunk.sizes)
         own = np.unique((doc * max(n, 1) + chunk.seq)[good[doc]])
         doc, seg = own // max(n, 1), own % max(n, 1)
-        size = start[seg + 1] - start[seg]
-        held = np.unique(np.repeat(doc, size) * max(len(codes), 1) + pair[np.repeat(start[seg], size) + _runs(size)])
+        held = np.unique(np.repeat(doc, size[seg]) * max(len(codes), 1) + pair[np.repeat(start[seg], size[seg]) + _runs(size[seg])])
         holders = np.bincount(held % max(len(codes), 1), minlength=len(codes)) if len(codes) else np.empty(0, np.int64)
-        texts = [x.encode() for x in right.column("groups").to_pylist()]
+        texts = [x.encode() for x in found.texts()]
         groups = []
         for i, (fit, a, b) in enumerate(zip(good.tolist(), chunk.begin.tolist(), chunk.end.tolist(), strict=True)):
             whole = b";".join([texts[s] for s in chunk.seq[a:b].tolist()]) if fit else b""
             groups.append((hashlib.sha256(whole).hexdigest() if digest else whole.decode()) if fit else "")
-        out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [start.tobytes()], [pair.astype(np.int32).tobytes()], [times.tobytes()], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
+        out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [size.astype(np.int32).tobytes()], [pair.astype(np.int32).tobytes()], [times.tobytes() if (times > 1).any() else b""], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind, strict=True)], schema=kind)
 
     entries = chunks.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("number", "segment")).join(aligned, "segment").drop("segment")
@@ -318,7 +372,8 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
         chunk, good = _Chunk(row["counts"], row["seq"]), np.frombuffer(row["good"], bool)
         right = right.sort_by("number")
         n, best = (right.column(c).to_numpy().astype(np.int64) for c in ("n", "best"))
-        start, pair, times = np.frombuffer(row["seg_start"], np.int64), np.frombuffer(row["seg_pair"], np.int32), np.frombuffer(row["seg_times"], np.int64)
+        start = np.concatenate([[0], np.cumsum(np.frombuffer(row["seg_size"], np.int32), dtype=np.int64)])
+        pair, times = np.frombuffer(row["seg_pair"], np.int32), np.frombuffer(row["seg_times"], np.int64) if row["seg_times"] else 1
 
         def per_segment(of_pair: np.ndarray) -> np.ndarray:
             up = np.concatenate([[0], np.cumsum(times * of_pair[pair])])

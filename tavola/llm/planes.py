@@ -26,6 +26,7 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,13 @@ _IDS, _DOCS = 0, 1
 
 def to_planes(values: np.ndarray, bits: bool) -> list[np.ndarray]:
     """The bit or byte planes of unsigned integers, lowest first."""
-    octets = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    flat = np.ascontiguousarray(values)
     if bits:
-        return list(np.packbits(np.unpackbits(octets, axis=1, bitorder="little").T, axis=1, bitorder="little"))
-    return list(np.ascontiguousarray(octets.T))
+        flat = flat.view(f"<u{flat.itemsize}")
+        one, used = flat.dtype.type(1), int(np.bitwise_or.reduce(flat)).bit_length()
+        none = np.zeros(-(-len(flat) // 8), np.uint8)
+        return [np.packbits(((flat >> flat.dtype.type(k)) & one).astype(np.uint8), bitorder="little") if k < used else none for k in range(8 * flat.itemsize)]
+    return list(np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T))
 
 
 def from_planes(planes: list[np.ndarray], count: int, dtype: np.dtype, bits: bool) -> np.ndarray:
@@ -199,72 +203,84 @@ class Encoder:
         self.begin, self.end = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _put(self, word: bytes, ids: np.ndarray) -> None:
-        n, size = len(self.place), len(ids)
-        if n == len(self.begin):
+    def _put(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New words, with their ids one after the other and where in these each ends."""
+        n, m = len(self.place), len(words)
+        while n + m > len(self.begin):
             self.begin, self.end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.end))
-        while self.used + size > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + size] = ids
-        self.begin[n], self.end[n] = self.used, self.used + size
-        self.used += size
-        self.place[word] = n
-
-    def _known(self, word: bytes) -> np.ndarray:
-        i = self.place[word]
-        return self.flat[self.begin[i] : self.end[i]]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.end[n : n + m] = self.used + ends
+        self.begin[n], self.begin[n + 1 : n + m] = self.used, self.used + ends[:-1]
+        self.used += len(ids)
+        self.place.update(zip(words, range(n, n + m), strict=True))
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Of words that are known; -1 for others."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their places, one after the other, and where each word ends."""
+        begin, size = self.begin[at], self.end[at] - self.begin[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
     def _learn(self, words: list[bytes]) -> None:
-        """Words of letters are asked for many at a time, as the ids that end a word tell them apart; others singly, without the marks behind letters, which are words of their own to the library."""
-        plain, odd, joined = [], [], []
-        asked = set()
+        """Distinct new words.  Those of letters are asked for many at a time, as the ids that end a word tell them apart; others singly, without the marks behind letters, which are words of their own to the library."""
+        plain, odd, joined = {}, {}, []
         for w in words:
             stem = w.rstrip(self.marks)
             text = stem.decode("utf-8", "replace")
             if text.isalpha():
-                if stem not in self.place and stem not in asked:
-                    asked.add(stem)
-                    plain.append((stem, text))
+                if stem not in self.place:
+                    plain[stem] = text
                 if len(stem) < len(w):
-                    joined.append((w, stem, w[len(stem) :]))
-                    if (tail := w[len(stem) :]) not in self.place and tail not in asked:
-                        asked.add(tail)
-                        odd.append(tail)
-            elif w not in asked:
-                asked.add(w)
-                odd.append(w)
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self.library.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
+                    tail = w[len(stem) :]
+                    joined.append((w, stem, tail))
+                    if tail not in self.place:
+                        odd[tail] = None
+            else:
+                odd[w] = None
+        stems, texts = list(plain), list(plain.values())
+        for i in range(0, len(stems), 500):
+            ids = np.array(self.library.encode_batch_fast([" ".join(texts[i : i + 500])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):  # a letter that the library does not take for one
-                odd += [s for s, _ in part]
-                continue
-            for (stem, _), a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self._put(stem, ids[a:b])
-        for i in range(0, len(odd), 500):
-            part = odd[i : i + 500]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self._put(w, np.array(e.ids, np.uint32))
-        for w, stem, tail in joined:
-            if w not in self.place:
-                self._put(w, np.concatenate([self._known(stem), self._known(tail)]))
-
-    def encode(self, raw: bytes) -> np.ndarray:
+            if len(ends) == len(stems[i : i + 500]):
+                self._put(stems[i : i + 500], ids, ends)
+            else:  # a letter that the library does not take for one
+                odd |= dict.fromkeys(stems[i : i + 500])
+        others = list(odd)
+        for i in range(0, len(others), 500):
+            part = others[i : i + 500]
+            found = [e.ids for e in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            self._put(part, np.array([x for ids in found for x in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
+        joined = [x for x in joined if x[0] not in self.place]
+        if joined:
+            whole, stems, tails = zip(*joined, strict=True)
+            ids, ends = self._ids(self._places([x for two in zip(stems, tails, strict=True) for x in two]))
+            self._put(list(whole), ids, ends[1::2])
+
+    def encode_all(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of some texts."""
         if not self.by_word:
-            return np.array(self.library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-        words = raw.split() if b"<|" in raw else raw.lower().split()  # the library lower-cases anyway, but for its special tokens
-        if not words:
-            return np.empty(0, np.uint32)
+            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)]
         if len(self.place) > self.most:
             self._empty()
-        at = np.fromiter(map(self.place.get, words, [-1] * len(words)), np.int64, len(words))
-        if (at < 0).any():
-            self._learn(list({words[i] for i in np.flatnonzero(at < 0).tolist()}))
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        begin, size = self.begin[at], self.end[at] - self.begin[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))]
+        # the library lower-cases anyway, but for its special tokens
+        split = [raw.split() if b"<|" in raw else raw.lower().split() for raw in raws]
+        words = list(chain.from_iterable(split))
+        at = self._places(words)
+        if len(new := np.flatnonzero(at < 0)):
+            missing = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            at[new] = self._places(missing)
+        ids, ends = self._ids(at)
+        cuts = np.concatenate([[0], ends])[np.cumsum([len(x) for x in split])]
+        return np.split(ids, cuts[:-1]) if len(raws) else []
+
+    def encode(self, raw: bytes) -> np.ndarray:
+        return self.encode_all([raw])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -307,8 +323,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
         with whole_file(f"{folder}/{name}", work) as out:
             file = Writer(out, block, bits)
             while first is not None:
-                for i, raw in zip(first.column(0).to_pylist(), first.column(1).to_pylist(), strict=True):
-                    file.add(i, np.concatenate([own.encode(raw or b""), last]))
+                found = own.encode_all([raw or b"" for raw in first.column(1).to_pylist()])
+                for i, ids in zip(first.column(0).to_pylist(), found, strict=True):
+                    file.add(i, np.concatenate([ids, last]))
                 first = next(batches, None)
             file.close()
         yield pa.RecordBatch.from_pydict({"file_no": [number], "name": [name], "n_docs": [file.n_docs], "n_ids": [file.n_ids]}, schema=kind)

@@ -111,12 +111,23 @@ def test_segments_compose(own, text):
 def test_large_groups(own, monkeypatch):
     """Groups counted by distinct ids and those counted link by link agree."""
     parts = [" " + "ab=#" * k + "日😀x" * k for k in range(1, 12)] + [" word", "\nline", " "]
-    one = align.Aligned(own, parts)
+    ok, found = align.align_texts(own, parts)
+    assert ok.all()
+    one = found.pairs()
     monkeypatch.setattr(align, "_LARGE", 0)
-    two = align.Aligned(own, parts)
-    for c in ("codes", "times", "start", "n_links", "n_groups"):
-        assert np.array_equal(getattr(one, c), getattr(two, c)), c
-    assert one.groups == two.groups and one.n_links.sum() == one.times.sum()
+    assert all(np.array_equal(x, y) for x, y in zip(one, found.pairs(), strict=True))
+    assert found.totals()[3].sum() == one[2].sum()
+
+
+def test_packed_and_back(own):
+    parts = [" word", " " + "日本" * 50, "\n", " x1=1234"]
+    _, found = align.align_texts(own, parts)
+    found.count_a[0] += 300  # as if a group had so many ids that its numbers are wide
+    found.ids_a = np.concatenate([np.arange(300), found.ids_a])
+    back = align.Groups.unpacked(align.Groups(found.groups, found.count_a, found.count_b, found.ids_a, found.ids_b).packed())
+    for c in ("groups", "count_a", "count_b", "ids_a", "ids_b"):
+        assert np.array_equal(getattr(back, c), getattr(found, c)), c
+    assert align.Groups.unpacked([]).texts() == [] and align.Groups.unpacked([bytes(4)]).texts() == [""]
 
 
 def test_white_space_of_the_library(own):
