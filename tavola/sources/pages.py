@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import urllib.request
-from collections.abc import Callable
-from datetime import date, timedelta
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -158,18 +155,3 @@ def weekly_schedule(days: DataFrame, day_col: str = "day") -> DataFrame:
     sunday = days.where(F.dayofweek(day_col) == 1).select(F.col(day_col).cast("date").alias("d"))
     back = sunday.select("d", F.posexplode(names).alias("back", "page"))
     return back.select(F.date_format(F.date_sub("d", F.col("back")), "yyyy-MM-dd").alias("file_date"), "page")
-
-
-def fetch_week(site: str, folder: str, today: date | None = None, get: Callable[[str], bytes] | None = None) -> list[str]:
-    """On a Sunday, save the week's pages of ``site`` as UTF-8 files named by date; returns the paths.  On other days nothing."""
-    today = today or date.today()
-    if today.weekday() != 6:
-        return []
-    get = get or (lambda url: urllib.request.urlopen(url).read())  # noqa: S310
-    out = []
-    for back, name in enumerate(V.DAY_PAGES):
-        path = f"{folder}/{today - timedelta(days=back):%Y-%m-%d}.html"
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(get(f"{site}/{name}.htm").decode("windows-1250"))
-        out.append(path)
-    return out

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -71,6 +72,16 @@ def test_dictionary_file(spark, tmp_path, capsys):
     got = json.loads((tmp_path / "d.json").read_text(encoding="utf-8"))
     assert got["total_unique_lemmas"] == 4 and got["total_occurrences"] == 7 and got["dictionary"] == {"a": 3, "ő": 2, '"b"': 1, ",": 1}
     assert [x["lemma"] for x in got["sorted_by_frequency"]] == ["a", "ő", '"b"', ","]
+    # byte for byte what one writer in rank order writes, over several partitions
+    words = spark.range(700).selectExpr("concat('w', id % 90, '\\u0001\"ő') AS lemmas")
+    made = L.lemma_dictionary(words)
+    sinks.write_dictionary(made, f"file://{tmp_path}/w.json")
+    sinks.write_dictionary(made.drop("rank"), str(tmp_path / "v.json"))
+    items = [(r.lemma, r.frequency) for r in made.orderBy("rank").collect()]
+    whole = {"total_unique_lemmas": 90, "total_occurrences": 700, "dictionary": dict(items), "sorted_by_frequency": [{"lemma": w, "frequency": n} for w, n in items]}
+    plain = json.dumps(whole, ensure_ascii=False, indent=2)
+    flat = re.sub(r"\{\s+(\"lemma\": .*),\s+(\"frequency\": \d+)\s+\}", r"{\1, \2}", plain) + "\n"
+    assert (tmp_path / "w.json").read_text(encoding="utf-8") == flat == (tmp_path / "v.json").read_text(encoding="utf-8")
     sinks.write_dictionary(L.lemma_dictionary(rows.limit(0)), str(tmp_path / "e.json"))
     assert json.loads((tmp_path / "e.json").read_text())["dictionary"] == {}
     assert tuple(L.lemma_counts(rows).first()) == (2, 7, 1, 6)
@@ -86,17 +97,6 @@ def test_model_ladder():
         L.load_model("en_core", absent, lambda n: "blank")
 
 
-def test_fetch_week(tmp_path):
-    import datetime
-
-    asked = []
-    sunday = datetime.date(2024, 5, 5)
-    got = pages.fetch_week("http://x", str(tmp_path), sunday, lambda url: asked.append(url) or "Tűzött".encode("windows-1250"))
-    assert len(got) == 7 and asked[0] == "http://x/vasarnap.htm" and asked[-1] == "http://x/hetfo.htm"
-    assert (tmp_path / "2024-04-29.html").read_text(encoding="utf-8") == "Tűzött"
-    assert pages.fetch_week("http://x", str(tmp_path), sunday - datetime.timedelta(days=1), lambda url: 1 / 0) == []
-
-
 def test_whole_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n", encoding="utf-8")
     assert [r.text for r in files.read_text(spark, str(tmp_path)).collect()] == ["one\ntwo\n"]
