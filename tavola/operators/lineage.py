@@ -5,8 +5,24 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder under ``spark.checkpoint.dir``, which is to stay; temporary on a local master without such."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="tavola-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,13 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            master = spark.sparkContext.master
-            if not (master == "local" or master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            own = tempfile.mkdtemp(prefix="tavola-")
-            atexit.register(shutil.rmtree, own, True)
-            folder = f"file://{own}"
+        folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
