@@ -5,11 +5,11 @@ that goes from what is no white space into it, which is verified on both.  So
 the tokens of a text are those of its segments, and every cut is a place where
 tokens of both end.  Tasks cut their documents into chunks of a bounded size:
 the distinct segments of the chunk, and the documents as numbers of them.
-Segments that are distinct over all chunks are tokenised and aligned once and
-joined back to the chunks that have them; each chunk then composes its
-documents.  What is counted over the corpus, the documents that hold a pair of
-ids linked, is counted per chunk, summed up per pair and joined back in the
-same way.
+Segments that are distinct over all chunks are tokenised and aligned once,
+beside all entries that have them, which take the result back to their chunks;
+each chunk then composes its documents.  What is counted over the corpus, the
+documents that hold a pair of ids linked, is counted per chunk, summed up per
+pair and joined back in the same way.
 
 A text that is null, empty, not UTF-8 or not given back byte for byte by both
 tokenizers has no tokens.  Rows count each for itself, also where ids or whole
@@ -262,20 +262,34 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
     return docs.mapInArrow(cut, "chunk long, doc_ids array<long>, counts binary, seq binary, segments array<string>")
 
 
-def align_segments(segments: DataFrame, a: str, b: str, batch: int = 5_000) -> DataFrame:
-    """``segment, packed`` of ``segments (segment)``, each aligned by itself; see ``Groups.packed``.  Null: not given back by both tokenizers."""
-    kind = pa.schema([("segment", pa.string()), ("packed", pa.binary())])
+def align_segments(entries: DataFrame, a: str, b: str, batch: int = 5_000) -> DataFrame:
+    """``of, number, packed`` of ``entries (of, number, segment)``: each distinct segment is aligned once, and every entry gets what its segment has; see ``Groups.packed``.  Null: not given back by both tokenizers.
+
+    Entries are dealt out and sorted by segment, so those of one segment
+    follow each other and stream through one task.  No segment has more
+    entries than there are chunks.
+    """
+    kind = pa.schema([("of", pa.int64()), ("number", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers(a, b)
+        last, had = None, pa.array([], pa.binary())
         for x in batches:
             for at in range(0, x.num_rows, batch):
-                part = x.column(0).slice(at, batch)
-                ok, groups = align_texts(own, part.to_pylist())
+                part = x.slice(at, batch)
+                segments = part.column(2).to_pylist()
+                new = [i for i, (s, before) in enumerate(zip(segments, [last, *segments], strict=False)) if s != before]
+                ok, groups = align_texts(own, [segments[i] for i in new])
                 packed = [p if good else None for p, good in zip(groups.packed(), ok.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(packed, pa.binary())], schema=kind)
+                every = pa.concat_arrays([had, pa.array(packed, pa.binary())])
+                first = np.zeros(len(segments), np.int64)
+                first[new] = 1
+                at_ = np.cumsum(first) - (1 - len(had))  # entries before the first new segment go on with the one before
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), every.take(pa.array(at_))], schema=kind)
+                last, had = segments[-1], every.slice(len(every) - 1)
 
-    return segments.select("segment").mapInArrow(run, "segment string, packed binary")
+    dealt = entries.repartition("segment").sortWithinPartitions("segment")
+    return dealt.select("of", "number", "segment").mapInArrow(run, "of long, number int, packed binary")
 
 
 def _dense(seq: np.ndarray) -> bytes:
@@ -301,10 +315,23 @@ class _Chunk:
         return up[self.end] - up[self.begin]
 
 
+def _holders(doc: np.ndarray, seg: np.ndarray, size: np.ndarray, start: np.ndarray, pair: np.ndarray, n: int, most: int = 1 << 19) -> np.ndarray:
+    """In how many documents each of ``n`` pairs is, of documents with distinct segments, by document; about ``most`` pairs are held at a time."""
+    out, up, i = np.zeros(n, np.int64), np.cumsum(size[seg]), 0
+    while i < len(doc):
+        at = min(max(int(np.searchsorted(up, (up[i - 1] if i else 0) + most)), i), len(doc) - 1)
+        j = int(np.searchsorted(doc, doc[at], "right"))
+        part, k = seg[i:j], size[seg[i:j]]
+        held = np.unique(np.repeat(doc[i:j] - doc[i], k) * n + pair[np.repeat(start[part], k) + _runs(k)])
+        out += np.bincount(held % n, minlength=n)
+        i = j
+    return out
+
+
 _DONE = "chunk long, doc_ids array<long>, counts binary, seq binary, seg_size binary, seg_pair binary, seg_times binary, good binary, totals binary, groups array<string>, codes array<long>, holders array<long>"
 
 
-def _composed(chunks: DataFrame, aligned: DataFrame, digest: bool) -> DataFrame:
+def _composed(chunks: DataFrame, paths: tuple[str, str], digest: bool) -> DataFrame:
     """One row per chunk: its documents with their totals and groups, and how many of them hold each of its pairs."""
     kind = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("counts", "seq", "seg_size", "seg_pair", "seg_times", "good", "totals")], ("groups", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
 
@@ -326,8 +353,7 @@ def _composed(chunks: DataFrame, aligned: DataFrame, digest: bool) -> DataFrame:
         doc = np.repeat(np.arange(len(good)), chunk.sizes)
         own = np.unique((doc * max(n, 1) + chunk.seq)[good[doc]])
         doc, seg = own // max(n, 1), own % max(n, 1)
-        held = np.unique(np.repeat(doc, size[seg]) * max(len(codes), 1) + pair[np.repeat(start[seg], size[seg]) + _runs(size[seg])])
-        holders = np.bincount(held % max(len(codes), 1), minlength=len(codes)) if len(codes) else np.empty(0, np.int64)
+        holders = _holders(doc, seg, size, start, pair, len(codes))
         texts = [x.encode() for x in found.texts()]
         groups = []
         for i, (fit, a, b) in enumerate(zip(good.tolist(), chunk.begin.tolist(), chunk.end.tolist(), strict=True)):
@@ -336,7 +362,7 @@ def _composed(chunks: DataFrame, aligned: DataFrame, digest: bool) -> DataFrame:
         out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [size.astype(np.int32).tobytes()], [pair.astype(np.int32).tobytes()], [times.tobytes() if (times > 1).any() else b""], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind, strict=True)], schema=kind)
 
-    entries = chunks.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("number", "segment")).join(aligned, "segment").drop("segment")
+    entries = align_segments(chunks.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("number", "segment")), *paths)
     return chunks.drop("segments").groupBy("chunk").cogroup(entries.groupBy("of")).applyInArrow(compose, _DONE)
 
 
@@ -348,7 +374,7 @@ def pair_counts(done: DataFrame) -> DataFrame:
     return pairs.join(most, "a").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk_bytes: int = 6 << 20) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each row of ``docs``.
 
     ``groups``: ``a1,a2|b1;a3|b2`` in order of the text, or with ``digest``
@@ -360,10 +386,8 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     with small_batches(spark):
         chunks = materialize(_chunks(rows, (a, b), chunk_bytes), "chunks")
-        distinct = chunks.select(F.explode("segments").alias("segment")).distinct()
-        aligned = materialize(align_segments(distinct, a, b), "aligned")
-        done = materialize(_composed(chunks, aligned, digest), "composed")
-        release(chunks, aligned)
+        done = materialize(_composed(chunks, (a, b), digest), "composed")
+        release(chunks)
         pairs = materialize(pair_counts(done), "pairs")
     kind = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups", pa.string())])
 
