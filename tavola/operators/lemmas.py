@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tavola.functions.text import split_words
 from tavola.operators.lineage import cut
+from tavola.operators.suffixes import learn, lemmas_of
 
 
 def _identity(dishes: DataFrame, **_) -> DataFrame:
@@ -49,7 +50,13 @@ def _spacy(dishes: DataFrame, model: str = "hu_core_news_lg", **_) -> DataFrame:
     return dishes.withColumn("lemmas", lemmas("dish_name"))
 
 
-BACKENDS: dict[str, Callable[..., DataFrame]] = {"identity": _identity, "lookup": _lookup, "spacy": _spacy}
+def _learned(dishes: DataFrame, pairs: DataFrame, **_) -> DataFrame:
+    """By rules learnt from ``pairs (word, lemma)``; words of the pairs have the lemma given there."""
+    words = _identity(dishes).select(F.explode("lemmas").alias("word"))
+    return _lookup(dishes, lemmas_of(words, learn(pairs), pairs).select("word", "lemma"))
+
+
+BACKENDS: dict[str, Callable[..., DataFrame]] = {"identity": _identity, "lookup": _lookup, "learned": _learned, "spacy": _spacy}
 
 
 def lemmatize(dishes: DataFrame, backend: str = "identity", **options) -> DataFrame:

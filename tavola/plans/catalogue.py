@@ -464,6 +464,30 @@ def dishes_resolved(spark, d):
     return C.joined(S.resolve(_categorized(spark, d))).withColumn("lemmas", F.array_join("lemmas", " "))
 
 
+# Names of which some are one set of words in another order, some differ in a word of many, and some of these hold a curated key as well.
+_RIVALS = """CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' friss házi saláta finom meleg kenyér') WHEN 1 THEN concat('finom meleg kenyér friss házi saláta ', p_name)
+WHEN 2 THEN concat(p_name, ' friss házi saláta finom meleg kenyér extra') WHEN 3 THEN concat(p_name, ' friss házi saláta finom meleg kenyér rántott sajt')
+WHEN 4 THEN concat('rántott sajt kenyér friss házi saláta finom meleg ', p_name) ELSE p_name END"""
+
+
+@query(
+    f"WITH RECURSIVE merged AS (SELECT {_RIVALS} AS dish_name, CAST(sum(p_size) AS BIGINT) AS count FROM part GROUP BY 1){_CUR}, "
+    f"toks AS (SELECT dish_name, row_number() OVER (ORDER BY count DESC, dish_name) AS r, {_tokens_sql('dish_name')} AS s FROM merged LEFT JOIN cur USING (dish_name) WHERE curated IS NULL), {_GROUPS} "
+    "SELECT merged.dish_name, count, coalesce(curated, grp.canonical_name, merged.dish_name) AS canonical_name, CASE WHEN curated IS NOT NULL THEN 'curated' WHEN grp.canonical_name IS NOT NULL THEN 'auto' END AS match_type FROM merged LEFT JOIN cur USING (dish_name) LEFT JOIN grp ON grp.dish_name = merged.dish_name"
+)
+def resolved_rivals(spark, d):
+    """Names that group automatically, some of them with a curated rival, which goes first."""
+    names = _t(spark, d, "part").groupBy(F.expr(_RIVALS).alias("dish_name")).agg(F.sum("p_size").cast("long").alias("count"))
+    return S.resolve(names)
+
+
+@query("SELECT p_name AS dish_name, max(coalesce(CASE WHEN p_partkey % 4 <> 0 THEN concat(p_name, ' ', p_partkey % 3) END, p_name)) AS canonical_name FROM part GROUP BY p_name")
+def canonical_map_repeated(spark, d):
+    """Names that the build side has many times, with one canonical name or another or none."""
+    rows = _t(spark, d, "part").select(F.col("p_name").alias("dish_name"), F.expr("CASE WHEN p_partkey % 4 <> 0 THEN concat(p_name, ' ', p_partkey % 3) END").alias("canonical_name"))
+    return T.canonical_map(rows)
+
+
 def _curated(spark, d) -> DataFrame:
     rows = _categorized(spark, d)
     return rows.withColumn("canonical_name", F.coalesce(S.curated_match(F.col("dish_name"), _PAIRS), "dish_name"))
@@ -554,6 +578,13 @@ def page_menus(spark, d):
     return G.page_elements(pages, close_p=True).groupBy("path", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(f"SELECT url AS path, {_P_TEXT} AS text FROM (SELECT url, unnest(string_split(html, '<p>')[2:]) AS x FROM pages)")
+def page_texts(spark, d):
+    """The text of every paragraph of the scraped pages."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("path"), F.lit("2024-01-07").alias("date"), F.col("html").cast("binary").alias("content"))
+    return G.page_elements(pages, close_p=True).where("tag = 'p'").select("path", "text")
+
+
 # Pages of parts: 37 pages, on each every sixth element an image, known logo or not, and paragraphs of every kind between.
 _EL_TAG = "CASE WHEN cast(floor(p_partkey / 37) AS bigint) % 6 = 0 THEN 'img' ELSE 'p' END"
 _EL_SRC = "CASE WHEN cast(floor(p_partkey / 37) AS bigint) % 6 = 0 THEN CASE p_partkey % 5 WHEN 0 THEN 'img/Desperado.JPG' WHEN 1 THEN 'weber.png' WHEN 2 THEN 'kukta.jpg' WHEN 3 THEN '2darvas.gif' ELSE 'OTTHON.png' END END"

@@ -14,6 +14,7 @@ from tavola.operators import seasonal as T
 from tavola.operators.keymatch import best_keys
 from tavola.operators.lineage import shared_folder
 from tavola.operators.nameindex import NameIndex
+from tavola.operators.suffixes import learn, lemmas_of
 from tavola.plans import catalogue as C
 from tavola.streaming import seen
 
@@ -116,3 +117,39 @@ def matched_by_bucket(spark, d):
 def spellings_collated(spark, d):
     """Clients' names that differ in case and accents alone."""
     return spellings(C._t(spark, d, "clients"), "name", None)
+
+
+# Of words that the documents have both with and without an end of one to three letters the one without is the lemma: the longest such.
+_WORDS = r"w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')) AS word FROM documents) WHERE length(word) BETWEEN 4 AND 16)"
+_PAIRS = "pairs AS (SELECT word, left(word, length(word) - cut) AS lemma, cut FROM (SELECT a.word, min(k) AS cut FROM w a, range(1, 4) AS r(k) WHERE length(a.word) - k >= 4 AND left(a.word, length(a.word) - CAST(k AS INTEGER)) IN (SELECT word FROM w) GROUP BY a.word))"
+_RULES = (
+    "ends AS (SELECT right(word, CAST(k AS INTEGER)) AS suffix, cut, count(*) AS n FROM pairs, range(1, 7) AS r(k) WHERE k >= cut AND k <= length(word) GROUP BY ALL), "
+    "kept AS (SELECT suffix, arg_min(cut, (-n, cut)) AS cut, max(n) AS n, sum(n) AS total FROM ends GROUP BY suffix HAVING max(n) >= 3 AND max(n) >= 0.5 * sum(n)), "
+    "rules AS (SELECT a.* FROM kept a LEFT JOIN kept b ON b.suffix = substr(a.suffix, 2) WHERE b.cut IS DISTINCT FROM a.cut)"
+)
+
+
+def _words(spark, d) -> DataFrame:
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
+    return C._t(spark, d, "documents").select(F.explode(found).alias("word")).where(F.length("word").between(4, 16)).distinct()
+
+
+def _word_pairs(words: DataFrame) -> DataFrame:
+    shorter = words.select("word", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).where(F.length("word") - F.col("k") >= 4).withColumn("lemma", F.expr("left(word, length(word) - k)"))
+    return shorter.join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi").groupBy("word").agg(F.min_by("lemma", "k").alias("lemma"))
+
+
+@query(f"WITH {_WORDS}, {_PAIRS}, {_RULES} SELECT suffix, CAST(cut AS INTEGER) AS cut, '' AS add, n, CAST(total AS BIGINT) AS of FROM rules")
+def suffix_rules(spark, d):
+    """Rules on word ends, learnt from all words of the documents."""
+    return learn(_word_pairs(_words(spark, d)))
+
+
+@query(
+    f"WITH {_WORDS}, {_PAIRS}, {_RULES}, fit AS (SELECT w.word, max_by(suffix, length(suffix)) AS suffix, max_by(cut, length(suffix)) AS cut FROM w JOIN rules ON length(suffix) <= length(w.word) AND right(w.word, length(suffix)) = suffix WHERE length(w.word) > cut GROUP BY w.word) "
+    "SELECT w.word, coalesce(left(w.word, length(w.word) - CAST(fit.cut AS INTEGER)), w.word) AS lemma, suffix FROM w LEFT JOIN fit ON fit.word = w.word"
+)
+def learned_lemmas(spark, d):
+    """Lemmas of all words of the documents by these rules."""
+    words = _words(spark, d)
+    return lemmas_of(words, learn(_word_pairs(words)))

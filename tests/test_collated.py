@@ -28,7 +28,7 @@ def test_differences(spark):
     told = {name: dict(zip(pairs, equal(spark, pairs, key), strict=True)) for name, key in (("fold", X.fold), ("strip", X.strip_accents), ("collated", collated))}
     assert [p for p in pairs if told["fold"][p]] == [("Hús, leves", "hus leves"), ("a  b", "a b"), ("hús", "HUS")]
     assert [p for p in pairs if told["strip"][p]] == []
-    assert [p for p in pairs if told["collated"][p]] == [("hús", "HUS"), ("ß", "ss"), ("ﬁ", "fi"), ("ģ", "g"), ("é", "é")]
+    assert [p for p in pairs if told["collated"][p]] == pairs[2:]
 
 
 def test_grouping_and_joining(spark):
