@@ -55,13 +55,20 @@ def to_planes(values: np.ndarray, bits: bool) -> list[np.ndarray]:
     return list(np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T))
 
 
-def from_planes(planes: list[np.ndarray], count: int, dtype: np.dtype, bits: bool) -> np.ndarray:
+def from_planes(planes: list[np.ndarray | None], count: int, dtype: np.dtype, bits: bool) -> np.ndarray:
+    """The integers again; None stands for a plane of zeros."""
+    width = np.dtype(dtype).itemsize
     if bits:
-        flat = np.unpackbits(np.stack(planes), axis=1, count=count, bitorder="little").T
-        octets = np.packbits(flat, axis=1, bitorder="little")
-    else:
-        octets = np.stack(planes).T
-    return np.ascontiguousarray(octets).view(dtype).reshape(count)
+        out = np.zeros(count, f"<u{width}")
+        for k, plane in enumerate(planes):
+            if plane is not None:
+                out |= np.unpackbits(plane, count=count, bitorder="little").astype(out.dtype) << out.dtype.type(k)
+        return out.view(dtype)
+    octets = np.zeros((count, width), np.uint8)
+    for k, plane in enumerate(planes):
+        if plane is not None:
+            octets[:, k] = plane
+    return octets.view(dtype).reshape(count)
 
 
 class Writer:
@@ -145,8 +152,7 @@ class Reader:
         bits, count = bool(entry["bits"]), int(entry["count"])
         lengths = entry["lengths"][: dtype.itemsize * (8 if bits else 1)].astype(np.int64)
         data, ends = self._bytes(int(entry["offset"]), int(lengths.sum())), np.cumsum(lengths)
-        size = -(-count // 8) if bits else count
-        planes = [np.frombuffer(self.zstd.decompress(data[e - n : e]), np.uint8) if n else np.zeros(size, np.uint8) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        planes = [np.frombuffer(self.zstd.decompress(data[e - n : e]), np.uint8) if n else None for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
         return from_planes(planes, count, dtype, bits)
 
     def span(self, first: int, count: int) -> np.ndarray:
@@ -182,7 +188,7 @@ class Reader:
 class Encoder:
     """Ids of whole texts by the library, each distinct word asked for once; ``most`` words are kept."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 750_000):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
