@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
@@ -72,10 +72,13 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     sets = cut(sets.select("id", "tokens", F.size("tokens").alias("n"))).where(F.col("n") * 1000 >= num * (F.col("n") + 1))
     long = sets.select("id", "n", F.explode("tokens").alias("t"))
     freq = long.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")  # a token of one set makes no pair
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("f"), F.col("t")))
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those come before all others
-    ordered = long.join(freq, "t").withColumn("i", place + alone)
-    parts = cut(ordered.where(F.expr(f"i <= n - cast(ceil({num} * n / 1000.0) as int) + 1")).select("t", "id", "n", "i"))
+    # those of one set come before all others, and where they fill the prefix there is no pair
+    own = long.join(freq, "t").groupBy("id", "n").agg(F.collect_list(F.struct("f", "t")).alias("x"))
+    alone = F.col("n") - F.size("x")
+    most = F.expr(f"n - cast(ceil({num} * n / 1000.0) as int) + 1")
+    own = own.withColumn("alone", alone).where(F.col("alone") < most)
+    parts = own.select("id", "n", "alone", F.posexplode(F.slice(F.array_sort("x"), F.lit(1), most - F.col("alone"))).alias("at", "x"))
+    parts = cut(parts.select("x.t", "id", "n", (F.col("at") + 1 + F.col("alone")).alias("i")))
     near = near_by_prefix(parts, parts, num, F.col("x.id") < F.col("y.id"))
     pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
