@@ -36,10 +36,46 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; one that is empty is ``/``."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda had, x: F.when(x == ".", had).when(x == "..", F.slice(had, 1, F.greatest(F.size(had) - 1, F.lit(0)))).otherwise(F.concat(had, F.array(x))),
+    )
+    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    plain = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))).otherwise(plain)
+
+
 def address(url: Column) -> Column:
-    """What names a page: host, path and query, without scheme and fragment; null if there is no ``://``."""
+    """What names a page: host, path and query; null if there is no ``://``.
+
+    Without scheme and fragment, a port that is the scheme's own, and dot
+    segments; a missing path is ``/``.  Both ends of every link pass here.
+    """
     rest = _rest(url)
-    return F.when(rest != "", F.concat(host_of(url), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)))
+    port = F.when(url.rlike("(?i)^\\s*http://"), r":80?$").when(url.rlike("(?i)^\\s*https://"), r":(?:443)?$").otherwise(":$")
+    host = F.regexp_replace(host_of(url), port, F.lit(""))
+    query = F.regexp_extract(rest, r"^[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(rest != "", F.concat(host, _without_dots(path_of(url)), query))
+
+
+def joined(base: Column, target: Column) -> Column:
+    """The address that ``target`` has on the page ``base``, before normalizing; null for schemes of no pages, and where the base is no address."""
+    t = F.regexp_replace(target, "#.*$", "")
+    scheme, origin = F.regexp_extract(base, r"^(.*?):?//", 1), F.regexp_extract(base, r"^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    relative = (
+        F.when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
+        .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
+        .when(F.startswith(t, F.lit("?")), F.concat(origin, path, t))
+        .when(t == "", base)
+        .otherwise(F.concat(origin, folder, t))
+    )
+    return F.when(t.rlike("(?i)^https?://"), t).when(t.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None).otherwise(F.when(origin != "", relative))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -52,21 +88,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), none)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Its value, trimmed; empty without it."""
+    pattern = rf"(?i)[\s\x22\x27/]{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+    return F.trim(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(a, b)``: addresses that a page's canonical link or refresh redirect makes equal.  Relative targets are of the page's host."""
-    html, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
-    tags = F.when(
-        F.expr(f"`{html_col}` rlike '(?i)canonical|http-equiv'"),
-        F.concat(
-            F.transform(F.expr(rf"regexp_extract_all(`{html_col}`, r'(?i)<link\b[^>]*\brel\s*=\s*[\x22\x27]?canonical[\x22\x27\s/>][^>]*>?', 0)"), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", 1)),
-            F.transform(F.expr(rf"regexp_extract_all(`{html_col}`, r'(?i)<link\b[^>]*\bhref\s*=[^>]*\brel\s*=\s*[\x22\x27]?canonical\b[^>]*>?', 0)"), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", 1)),
-            F.transform(F.expr(rf"regexp_extract_all(`{html_col}`, r'(?i)<meta\b[^>]*http-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>?', 0)"), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", 1)),
-        ),
-    )
-    out = pages.select(url.alias("u"), F.explode(tags).alias("t")).where("t <> ''").withColumn("t", F.regexp_replace("t", "(?i)&(?:amp|#38|#x26);?", "&"))
-    origin = F.regexp_extract("u", r"^(.*?://[^/?#]*)", 1)
-    target = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(origin, F.col("t"))).otherwise(F.concat(F.regexp_extract("u", r"^(.*?://[^/?#]*/(?:[^?#]*/)?)", 1), F.col("t")))
-    return out.select(address(F.col("u")).alias("a"), address(target).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    """``(a, b)``: addresses that a page's canonical link or refresh redirect makes equal.
+
+    Targets are resolved against the page's address (a missing path, ``.``,
+    ``..``, ``?query`` and ``//host`` included).  ``rel`` may name more than
+    ``canonical``.  What stands in comments, scripts and styles declares
+    nothing; targets that are no web pages make no edge.
+    """
+    url = F.col(url_col).cast("string")
+    html = F.regexp_replace(F.col(html_col).cast("string"), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    found = F.when(F.col(html_col).cast("string").rlike("(?i)canonical|http-equiv"), F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>?"), F.lit(0)))
+    tags = pages.select(url.alias("u"), F.explode(found).alias("t"))
+    canonical = F.col("t").rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(F.col("t"), "rel")), r"\s+"), "canonical")
+    refresh = F.col("t").rlike("(?i)^<meta") & (F.lower(_attribute(F.col("t"), "http-equiv")) == "refresh")
+    jump = F.regexp_extract(_attribute(F.col("t"), "content"), r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)", 1)
+    out = tags.select("u", F.when(canonical, _attribute(F.col("t"), "href")).when(refresh, jump).alias("t")).where("t <> ''")
+    out = out.withColumn("t", F.regexp_replace("t", "(?i)&(?:amp|#38|#x26);?", "&"))
+    return out.select(address(F.col("u")).alias("a"), address(joined(F.col("u"), F.col("t"))).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
