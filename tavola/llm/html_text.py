@@ -46,6 +46,8 @@ _CONTAINERS = frozenset("html body div section center main article table td".spl
 _ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 _P_SCOPE = ("td", "th", "caption", "table", "button", "object")
+#: Elements that hold text themselves.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre".split())
 _DAMP = 1e-4
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -59,25 +61,33 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def _weak(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether tag, role or class say that this is no part of an article."""
+_SAID, _NAMED = 2, 1
+
+
+def _weak(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """Whether tag or role say (2), or class or id name (1), that this is no part of an article.
+
+    Of a container any part of a name tells, unless a word like ``with`` comes
+    before it; of a paragraph, a heading or an item only a whole name.
+    """
     if tag in ("html", "body", "main", "article"):
-        return False
+        return 0
     if tag in _WEAK or tag == "header" and not in_article:
-        return True
+        return _SAID
+    if any(name == "role" and value and value.strip().lower() in _ROLES for name, value in attrs):
+        return _SAID
     for name, value in attrs:
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in _ROLES:
-            return True
-        if name in ("class", "id"):
+        if value and name in ("class", "id"):
             for token in value.split():
+                if tag in _TEXTS:
+                    if token.lower() in _NAMES:
+                        return _NAMED
+                    continue
                 parts = [p.lower() for p in _PART.findall(token)]
-                if parts and parts[0] not in _NOT and not _NAMES.isdisjoint(parts):
-                    return True
-                if "header" in parts and not in_article:
-                    return True
-    return False
+                told = next((i for i, x in enumerate(parts) if x in _NAMES or x == "header" and not in_article), -1)
+                if told >= 0 and _NOT.isdisjoint(parts[:told]):
+                    return _NAMED
+    return 0
 
 
 @dataclass(slots=True)
@@ -114,7 +124,8 @@ class _Lines(HTMLParser):
         self.kinds, self.parent = [""], [0]
         self.inline_of = [0]  # of each element the innermost inline one that is dropped or weak, itself included
         self.unclosed: set[int] = set()
-        self.dropped = self.weak = 0  # open block elements of the kind
+        self.said = [0]  # of each block element, what tag, role and names say of it
+        self.dropped = 0  # open block elements of the kind
         self.inline = self.inline_dropped = 0  # open inline ones of either kind, and dropped ones
         self.blocks: list[int] = []  # places of open block elements
         self.began = 0  # the first inline one that began on this line
@@ -131,17 +142,18 @@ class _Lines(HTMLParser):
         for text, aside in ((self.text, False), (self.aside, True)):
             words = " ".join("".join(text).split()) if text else ""
             if words:
-                self.lines.append(Line(words, self.tags, at, aside or self.weak > 0, self.inline_of[at], 0 if aside else self.linked))
+                self.lines.append(Line(words, self.tags, at, aside, self.inline_of[at], 0 if aside else self.linked))
                 self.tags = self.linked = 0
             text.clear()
         self.began = 0
 
-    def _push(self, tag: str, dropped: bool, weak: bool, inline: bool) -> None:
+    def _push(self, tag: str, dropped: bool, weak: int, inline: bool) -> None:
         up, number = self._inside(), len(self.kinds)
         self.kinds.append(tag)
         self.parent.append(up)
         odd = inline and (dropped or weak)
         self.inline_of.append(number if odd else self.inline_of[up])
+        self.said.append(0 if odd else weak)
         self.places.setdefault(tag, []).append(len(self.open))
         if not inline:
             self.blocks.append(len(self.open))
@@ -151,8 +163,7 @@ class _Lines(HTMLParser):
             self.began = self.began or number
         else:
             self.dropped += dropped
-            self.weak += weak
-        self.open.append((tag, number, dropped, weak, inline))
+        self.open.append((tag, number, dropped, bool(weak), inline))
 
     def _pop_to(self, k: int, closed: int = -1) -> None:
         """``closed``: the place of the element whose end tag this is."""
@@ -168,7 +179,6 @@ class _Lines(HTMLParser):
                     self.unclosed.add(number)
             else:
                 self.dropped -= dropped
-                self.weak -= weak
 
     def _last(self, tags: tuple[str, ...]) -> int:
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
@@ -193,7 +203,7 @@ class _Lines(HTMLParser):
             return
         self.link += tag == "a"
         dropped = tag in _DROP or bool(attrs) and _hidden(attrs)
-        weak = not dropped and (bool(attrs) or tag in _WEAK or tag == "header") and _weak(tag, attrs, bool(self.places.get("article") or self.places.get("main")))
+        weak = 0 if dropped or not (attrs or tag in _WEAK or tag == "header") else _weak(tag, attrs, bool(self.places.get("article") or self.places.get("main")))
         if block or dropped or weak or self.inline:  # inside an inline one all are told apart, so that end tags fit
             self._push(tag, dropped, weak, not block)
 
@@ -221,13 +231,30 @@ class _Lines(HTMLParser):
             self.linked += len(data.strip())
 
     def result(self) -> list[Line]:
-        """The lines; those in inline elements that were closed in order are weak."""
+        """The lines; weak are those in inline elements that were closed in order, and those in blocks that tag, role or name tell.
+
+        No name weakens a block that has the page's title or article and half
+        of its text outside of links and of what tags and roles tell: a layout
+        may be named for its sidebar.
+        """
+        n = len(self.kinds)
+        inside, text = np.array([x.inside for x in self.lines], int), np.array([max(0, len(x.text) - x.linked) for x in self.lines], float)
+        sure = [False] * n
+        for e in range(1, n):
+            sure[e] = self.said[e] == _SAID or sure[self.parent[e]]
+        held = _sums(np.where(np.array(sure)[inside], 0, text), inside, self.parent) if self.lines else np.zeros(n)
+        whole = [k in ("h1", "main", "article") for k in self.kinds]
+        for e in range(n - 1, 0, -1):
+            whole[self.parent[e]] = whole[self.parent[e]] or whole[e]
+        block = [False] * n
+        for e in range(1, n):
+            block[e] = self.said[e] == _SAID or self.said[e] == _NAMED and not (whole[e] and 2 * held[e] >= held[0]) or block[self.parent[e]]
         weak = [False] * len(self.kinds)  # of inline ones: closed, or in one that is
         for e in range(1, len(weak)):
             if self.inline_of[e] == e:
                 weak[e] = e not in self.unclosed or weak[self.inline_of[self.parent[e]]]
         for x in self.lines:
-            x.weak = x.weak or weak[x.inline]
+            x.weak = x.weak or block[x.inside] or weak[x.inline]
         return self.lines
 
 

@@ -130,6 +130,64 @@ def test_inline_boilerplate_leaves_the_line():
     assert html_text.blocks("<article><p>One</p><span class='ad'><div>BUY</div></span><p>two</p></article>") == ["One", "two"]
 
 
+def test_links_as_the_standard_library(spark):
+    """Every kind of target on every kind of page, against urljoin and the same normal form in plain Python."""
+    from urllib.parse import urljoin, urlsplit
+
+    def plain(url):
+        u = urlsplit(url)
+        own, parts = {"http": ":80", "https": ":443"}.get(u.scheme, ""), []
+        path = u.path or "/"
+        segments = path.split("/")[1:]
+        for x in segments:
+            if x == "..":
+                parts = parts[:-1]
+            elif x != ".":
+                parts.append(x)
+        if segments[-1] in (".", "..") and parts:
+            parts.append("")
+        return u.netloc.lower().removesuffix(own) + "/" + "/".join(parts) + (f"?{u.query}" if u.query else "")
+
+    bases = ["http://a.com", "http://a.com/", "https://A.com:443/x/y.html?q=1#f", "http://a.com:80/x/", "http://b.org:8080/p/q/r?s"]
+    targets = ["../b/c", "b", "./b/./c", "?p=2", "/r/s", "//Other.net/z", "https://c.de", "http://c.de:80/a/../b", "../../../up", "d/..", "..", ".", "x?y=/../z", "#only", "g;h=1/../i"]
+    rows = [(b, t, f"<html><head><link rel='alternate canonical' href='{t}'></head>") for b in bases for t in targets]
+    got = collections.defaultdict(set)
+    for r in urls.alias_edges(spark.createDataFrame([(b, h) for b, _, h in rows], "url string, html string")).collect():
+        got[r.a].add(r.b)
+    want = collections.defaultdict(set)
+    for b, t, _ in rows:
+        if plain(b) != (to := plain(urljoin(b, t))):
+            want[plain(b)].add(to)
+    assert got == want
+
+
+def test_what_declares_no_alias(spark):
+    url = "http://a.com/x"
+    none = ["<!-- <link rel=canonical href=http://b.com/> -->", "<!-- <link rel=canonical href=http://b.com/>", "<script>'<link rel=canonical href=http://b.com/>'</script>", "<link rel=canonical href='mailto:x@y'>", "<link rel=canonical href='javascript:void(0)'>", "<link rel='canonical-x' href='http://b.com/'>", "<link rel=alternate href='http://b.com/canonical'>", "<link rel=canonical>", "<meta http-equiv=refresh content='5'>", "<link rel=canonical href='http://a.com:80/y/../x#top'>"]
+    some = ["<LINK REL=Canonical HREF=http://b.com/>", "<link href='http://b.com' rel=\"nofollow\tcanonical\">", "<meta content=\"0; URL='http://b.com/'\" http-equiv=Refresh>", "<!-- x --><link rel=canonical href=//b.com/>"]
+    frame = lambda html: spark.createDataFrame([(url, h) for h in html], "url string, html string")
+    assert urls.alias_edges(frame([*none, None, ""])).collect() == []
+    for h in some:
+        assert [tuple(r) for r in urls.alias_edges(frame([h])).collect()] == [("a.com/x", "b.com/")], h
+
+
+def test_names_of_layouts():
+    """A class that names a part of a layout takes no article with it; the part itself stays out."""
+    long = "This is a long paragraph of text that goes on and on for a while, as articles do. " * 4
+    body = f"<h1>T</h1><p>{long}</p><p>{long}</p>"
+    want = ["T", long.strip(), long.strip()]
+    for page in (
+        f"<div class='layout-with-sidebar'>{body}</div>",
+        f"<div class='content sidebar-right'><article>{body}</article></div>",
+        f"<div class='post comments-open'>{body}</div>",
+        f"<div id='search-results-page'>{body}</div>",
+        f"<div class='sidebar-layout'><div>{body}</div><div class='sidebar'><p>{long}</p></div></div>",
+        f"<article>{body}<div class='comments'><p>{long}</p><p>{long}</p><p>{long}</p></div></article>",
+        f"<div><h1>T</h1><p class='share-price'>{long}</p><p class='related-work'>{long}</p><p class='ad'>{long}</p></div>",
+    ):
+        assert html_text.blocks(page) == want, page
+
+
 def test_clusters_select_the_region():
     long = "A sentence of some length that goes on and on. " * 4
     plain = "<div><a href=/>Home</a> <a href=/n>News</a></div><div><a href=/x>x</a></div><div><h1>Title</h1><p>Hi.</p>{0}<p>{1}</p><p>Bye.</p></div><div><b>(c)</b> <i>us</i></div>"
