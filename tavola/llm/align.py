@@ -19,8 +19,10 @@ from below.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ _META = "▁"
 _BLANKS = " \t\n\r\v\f"
 #: Pairs of larger groups are counted by distinct ids, one group at a time.
 _LARGE = 4_096
+#: Of the number of a chunk's segment; a chunk ends at half as many, so one more text of this many words fits.
+_BITS = 24
 
 
 def _byte_level() -> dict[str, int]:
@@ -239,7 +243,7 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             counts = np.array(sizes, np.int32).tobytes()
-            return pa.RecordBatch.from_pydict({"chunk": [(part << 32) + number], "doc_ids": [ids], "counts": [counts], "seq": [_dense(np.concatenate([np.empty(0, np.int32), *seqs]))], "segments": [list(known)]}, schema=kind)
+            return pa.RecordBatch.from_pydict({"chunk": [(part << 16) + number], "doc_ids": [ids], "counts": [counts], "seq": [_dense(np.concatenate([np.empty(0, np.int32), *seqs]))], "segments": [list(known)]}, schema=kind)
 
         ids, sizes, seqs, known, held = [], [], [], {}, 0
         for b in batches:
@@ -253,7 +257,7 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
                     seqs.append(np.fromiter((known.setdefault(s, len(known)) for s in found), np.int32, len(found)))
                     sizes.append(len(found))
                     held += len(raw)
-                if held >= size or len(ids) >= 100_000:
+                if held >= size or len(ids) >= 100_000 or len(known) >= 1 << (_BITS - 1):
                     yield close()
                     ids, sizes, seqs, known, held, number = [], [], [], {}, 0, number + 1
         if ids:
@@ -262,39 +266,83 @@ def _chunks(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
     return docs.mapInArrow(cut, "chunk long, doc_ids array<long>, counts binary, seq binary, segments array<string>")
 
 
-def align_segments(entries: DataFrame, a: str, b: str, batch: int = 5_000) -> DataFrame:
-    """``of, number, packed`` of ``entries (of, number, segment)``: each distinct segment is aligned once, and every entry gets what its segment has; see ``Groups.packed``.  Null: not given back by both tokenizers.
+def align_segments(entries: DataFrame, a: str, b: str, batch: int = 5_000, most: int = 500_000) -> DataFrame:
+    """``of, n, data`` of ``entries (entry, segment)``: each distinct segment is aligned once, and every entry gets what its segment has.
 
     Entries are dealt out and sorted by segment, so those of one segment
     follow each other and stream through one task.  No segment has more
-    entries than there are chunks.
+    entries than there are chunks.  What a task has for a chunk, of ``most``
+    entries at a time, is one compressed row; see ``_opened``.
     """
-    kind = pa.schema([("of", pa.int64()), ("number", pa.int32()), ("packed", pa.binary())])
+    kind = pa.schema([("of", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizers(a, b)
-        last, had = None, pa.array([], pa.binary())
+        import zstandard
+
+        own, zstd = tokenizers(a, b), zstandard.ZstdCompressor(level=3)
+        last: str | None = None
+        packed: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            entry, which = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(entry)
+            entry, which = entry[order], which[order]
+            chunk = entry >> _BITS
+            first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            size = np.fromiter(map(len, packed), "<u4", len(packed))
+            rows = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=True):
+                numbers = (entry[i:j] & ((1 << _BITS) - 1)).astype("<u4")
+                rows.append(zstd.compress(numbers.tobytes() + size[which[i:j]].tobytes() + b"".join([packed[k] for k in which[i:j].tolist()])))
+            return pa.RecordBatch.from_arrays([pa.array(chunk[first], pa.int64()), pa.array(np.diff([*first, len(chunk)]).astype(np.int32), pa.int32()), pa.array(rows, pa.binary())], schema=kind)
+
         for x in batches:
             for at in range(0, x.num_rows, batch):
                 part = x.slice(at, batch)
-                segments = part.column(2).to_pylist()
+                segments = part.column(1).to_pylist()
                 new = [i for i, (s, before) in enumerate(zip(segments, [last, *segments], strict=False)) if s != before]
                 ok, groups = align_texts(own, [segments[i] for i in new])
-                packed = [p if good else None for p, good in zip(groups.packed(), ok.tolist(), strict=True)]
-                every = pa.concat_arrays([had, pa.array(packed, pa.binary())])
-                first = np.zeros(len(segments), np.int64)
-                first[new] = 1
-                at_ = np.cumsum(first) - (1 - len(had))  # entries before the first new segment go on with the one before
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), every.take(pa.array(at_))], schema=kind)
-                last, had = segments[-1], every.slice(len(every) - 1)
+                begun = np.zeros(len(segments), np.int64)
+                begun[new] = 1
+                held.append((part.column(0).to_numpy(), len(packed) - 1 + np.cumsum(begun)))  # what comes before the first new segment goes on with the one before
+                packed += [p if good else b"" for p, good in zip(groups.packed(), ok.tolist(), strict=True)]
+                last = segments[-1]
+                if sum(len(e) for e, _ in held) >= most:
+                    yield flush()
+                    held, packed = [], packed[-1:]
+        if held:
+            yield flush()
 
     dealt = entries.repartition("segment").sortWithinPartitions("segment")
-    return dealt.select("of", "number", "segment").mapInArrow(run, "of long, number int, packed binary")
+    return dealt.select("entry", "segment").mapInArrow(run, "of long, n int, data binary")
+
+
+def _opened(counts: list[int], rows: list[bytes]) -> list[bytes]:
+    """The packed alignments of a chunk's segments by their numbers, from all its rows; empty where a segment is not given back by both tokenizers."""
+    import zstandard
+
+    zstd, numbers, parts = zstandard.ZstdDecompressor(), [], []
+    for n, row in zip(counts, rows, strict=True):
+        data = zstd.decompress(row)
+        numbers.append(np.frombuffer(data, "<u4", n))
+        ends = (8 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4 * n), dtype=np.int64)).tolist()
+        parts += [data[i:j] for i, j in zip([8 * n, *ends], ends, strict=False)]
+    return [parts[i] for i in np.argsort(np.concatenate([np.empty(0, np.int64), *numbers])).tolist()]
 
 
 def _dense(seq: np.ndarray) -> bytes:
-    """Numbers of segments by their low and their high half: most are small, so the second half is mostly zeros."""
-    return seq.astype("<u2").tobytes() + (seq >> 16).astype("<u2").tobytes()
+    """Numbers of segments, compressed by their low, middle and high bytes: most are small."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes())
+
+
+def _numbers(dense: bytes) -> np.ndarray:
+    import zstandard
+
+    low, middle, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(dense), np.uint8).reshape(3, -1).astype(np.int64)
+    return high << 16 | middle << 8 | low
 
 
 class _Chunk:
@@ -306,8 +354,7 @@ class _Chunk:
         self.sizes = np.maximum(sizes, 0)
         self.end = np.cumsum(self.sizes)
         self.begin = self.end - self.sizes
-        low, high = np.frombuffer(seq, "<u2").reshape(2, -1).astype(np.int64)
-        self.seq = high << 16 | low
+        self.seq = _numbers(seq)
 
     def sums(self, per_segment: np.ndarray) -> np.ndarray:
         """For each document the sum over its segments."""
@@ -338,10 +385,9 @@ def _composed(chunks: DataFrame, paths: tuple[str, str], digest: bool) -> DataFr
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         chunk = _Chunk(row["counts"], row["seq"])
-        right = right.sort_by("number").combine_chunks()
-        n = right.num_rows
-        packed = right.column("packed").to_pylist()
-        bad = np.array([x is None for x in packed], bool)
+        packed = _opened(right.column("n").to_pylist(), right.column("data").to_pylist())
+        n = len(packed)
+        bad = np.array([not x for x in packed], bool)
         found = Groups.unpacked([x or bytes(4) for x in packed])
         pair_seg, pair_code, times = found.pairs()
         size = np.bincount(pair_seg, minlength=n)
@@ -362,7 +408,7 @@ def _composed(chunks: DataFrame, paths: tuple[str, str], digest: bool) -> DataFr
         out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [size.astype(np.int32).tobytes()], [pair.astype(np.int32).tobytes()], [times.tobytes() if (times > 1).any() else b""], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind, strict=True)], schema=kind)
 
-    entries = align_segments(chunks.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("number", "segment")), *paths)
+    entries = align_segments(chunks.select("chunk", F.posexplode("segments").alias("number", "segment")).select((F.shiftleft("chunk", _BITS) + F.col("number")).alias("entry"), "segment"), *paths)
     return chunks.drop("segments").groupBy("chunk").cogroup(entries.groupBy("of")).applyInArrow(compose, _DONE)
 
 
@@ -374,7 +420,15 @@ def pair_counts(done: DataFrame) -> DataFrame:
     return pairs.join(most, "a").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk_bytes: int = 6 << 20) -> DataFrame:
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffles of tables that are written: it does so once their plans are collected here and in the JVM, which is twice as the one has to tell the other."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each row of ``docs``.
 
     ``groups``: ``a1,a2|b1;a3|b2`` in order of the text, or with ``digest``
@@ -388,7 +442,9 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
         chunks = materialize(_chunks(rows, (a, b), chunk_bytes), "chunks")
         done = materialize(_composed(chunks, (a, b), digest), "composed")
         release(chunks)
+        _drop_shuffles(spark)
         pairs = materialize(pair_counts(done), "pairs")
+        _drop_shuffles(spark)
     kind = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups", pa.string())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -136,3 +136,30 @@ def test_white_space_of_the_library(own):
         x = chr(c)
         if not re.match(r"\s", x) and len(own.a.pre_tokenizer.pre_tokenize_str(f"{x}{x}b")) == 3:
             assert len(own.a.pre_tokenizer.pre_tokenize_str(x + x)) == 2, hex(c)
+
+
+def test_small_flushes(spark, own):
+    """Entries that come in many rows per chunk, and segments that go on over batches, give the same."""
+    rng = random.Random(11)
+    segments = [f" w{i}" for i in range(40)] + [" ▁", "\n日本", " "]
+    rows = [((c << align._BITS) + i, s) for c in (0, 5, (3 << 16) + 1) for i, s in enumerate(rng.sample(segments, 30))]
+    entries = spark.createDataFrame(rows, "entry long, segment string")
+    found = {}
+    for r in align.align_segments(entries, *PATHS, batch=3, most=7).groupBy("of").agg(F.collect_list(F.struct("n", "data")).alias("x")).collect():
+        found[r.of] = align._opened([x.n for x in r.x], [bytes(x.data) for x in r.x])
+    for c in {e >> align._BITS for e, _ in rows}:
+        parts = [s for e, s in rows if e >> align._BITS == c]
+        ok, groups = align.align_texts(own, parts)
+        assert found[c] == [p if good else b"" for p, good in zip(groups.packed(), ok, strict=True)]
+
+
+def test_holders_in_slices():
+    rng = np.random.default_rng(3)
+    for most in (1, 5, 1 << 19):
+        size = rng.integers(0, 4, 12)
+        start = np.concatenate([[0], np.cumsum(size)])
+        pair = rng.integers(0, 6, int(size.sum()))
+        held = sorted({(int(d), int(s)) for d, s in rng.integers(0, [9, 12], (40, 2))})
+        doc, seg = np.array(held).T
+        want = collections.Counter(p for d in set(doc.tolist()) for p in {int(x) for e, s in held if e == d for x in pair[start[s] : start[s + 1]]})
+        assert align._holders(doc, seg, size, start, pair, 6, most).tolist() == [want[p] for p in range(6)]
