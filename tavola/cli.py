@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
-from tavola.operators import categorize, dishes, lemmas, menus, resolve, seasonal, sinks
+from tavola.operators import categorize, dishes, lemmas, menus, observed, resolve, seasonal, sinks
 from tavola.session import session
-from tavola.sources import files, pages
+from tavola.sources import files, pages, web
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,10 +23,11 @@ def _parser() -> argparse.ArgumentParser:
             q.add_argument(flag, **how)
 
     need = {"required": True}
+    stage("fetch", ("--site", need), ("--output", need), ("--first", {}), ("--last", {}))
     stage("text", ("--pages", need), ("--output", need))
     stage("menus", ("--pages", need), ("--output", need), ("--strict-logos", {"action": "store_true"}), ("--close-p", {"action": "store_true"}))
     stage("dishes", ("--menus", need), ("--output", need))
-    stage("lemmas", ("--csv", need), ("--model", {"default": "identity"}), ("--output", need))
+    stage("lemmas", ("--csv", need), ("--model", {"default": "identity"}), ("--pairs", {}), ("--output", need))
     stage("dictionary", ("--input", need), ("--output-csv", need), ("--output-json", {}), ("--min-frequency", {"type": int, "default": 1}), ("--filter-punctuation", {"action": "store_true"}))
     stage("categorize", ("--input", need), ("--output", need), ("--stats", {}))
     stage("synonyms", ("--input", need), ("--synonym-map", {}), ("--output", need), ("--groups", need), ("--threshold", {"type": float, "default": 0.85}))
@@ -46,7 +47,12 @@ def _show(title: str, few: DataFrame) -> None:
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = session()
-    if a.stage == "text":
+    if a.stage == "fetch":
+        spark.dataSource.register(web.daily_pages())
+        days = {k: v for k, v in (("first", a.first), ("last", a.last)) if v}
+        saved = web.save_pages(spark.read.format("daily_pages").options(site=a.site, **days).load(), a.output)
+        _show("pages", saved.orderBy("date"))
+    elif a.stage == "text":
         raw = pages.read_pages(spark, a.pages)
         text = pages.page_text(raw, "content")
         sinks.write_text(text.select(F.explode(F.split("text", "\n", -1)).alias("value")), f"{a.output}/dump")
@@ -62,6 +68,8 @@ def main(argv: list[str] | None = None) -> None:
         counts = files.read_csv(spark, a.csv, "dish_name string, count long")
         named = files.without_header_rows(counts, "dish_name")
         backend, options = (a.model, {}) if a.model in lemmas.BACKENDS else ("spacy", {"model": a.model})
+        if backend == "learned":
+            options = {"pairs": files.read_csv(spark, a.pairs, "word string, lemma string")}
         out = lemmas.lemmatize(named, backend, **options)
         out = out.withColumn("lemmas", F.array_join("lemmas", " "))
         sinks.write_csv(out, a.output)
@@ -95,13 +103,14 @@ def main(argv: list[str] | None = None) -> None:
         _show("resolved names", out.groupBy("match_type").agg(F.count("*").alias("names")).orderBy("match_type"))
     elif a.stage == "seasonal":
         names = seasonal.canonical_map(files.read_strings(spark, a.dishes))
-        counts = seasonal.monthly_counts(seasonal.matched(spark.read.parquet(a.menus), names), a.min_count)
+        rows, seen = observed.matched(spark.read.parquet(a.menus), names)
+        counts = seasonal.monthly_counts(rows, a.min_count)
         summary = seasonal.seasonal_summary(counts)
         sinks.write_csv(counts.drop("first_seen", "last_seen").orderBy(F.desc("total"), "canonical_name"), a.output_monthly)
         sinks.write_csv(summary.orderBy(F.desc("total_count"), "canonical_name"), a.output_summary)
         if a.output_json:
             sinks.write_report(seasonal.seasonal_report(summary, a.min_count), a.output_json)
-        _show("rows", seasonal.run_metrics(spark.read.parquet(a.menus), names))
+        print("rows:\n  " + "  ".join(f"{k}={v}" for k, v in observed.figures(seen).items()))  # of the first write; nothing is counted again
         _show("best of each season", seasonal.top_per_season(summary, 3).orderBy("season", "rank"))
         _show("most seasonal", seasonal.most_seasonal(summary, a.min_count, 5))
     elif a.stage == "clean":

@@ -31,10 +31,10 @@ def test_restarted_stream_equals_batch(spark, tmp_path):
     rows[7] = (None, *rows[7][1:])
     folder, table, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
     seen = []
-    for k in range(0, 900, 225):  # the query ends and starts anew on its checkpoint for each part
-        for j in range(k, k + 225, 75):
-            drop(spark, folder, rows[j : j + 75], j)
-        seen += rows[k : k + 225]
+    for k in range(0, 900, 300):  # the query ends and starts anew on its checkpoint for each part
+        for j in range(k, k + 300, 100):
+            drop(spark, folder, rows[j : j + 100], j)
+        seen += rows[k : k + 300]
         keep_seen(stream(spark, folder), table, check).awaitTermination()
         batch = spark.createDataFrame(seen, SCHEMA).where("canonical_name is not null").withColumn("month", F.split("date", "-")[1].cast("int"))
         want = {r.canonical_name: r.asDict() for r in T.monthly_counts(batch, 1).collect()}

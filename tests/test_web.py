@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from tavola import cli
 from tavola.sources import pages, web
 
 SUNDAY = datetime.date(2024, 5, 5)
@@ -76,3 +77,11 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     asked = len(os.listdir(tmp_path / "log"))
     assert run("2024-05-03") == ["2024-05-01", "2024-05-02", "2024-05-03"] and len(os.listdir(tmp_path / "log")) == asked
     assert run("2024-05-05") == [f"2024-05-0{i}" for i in range(1, 6)]
+
+
+def test_fetch_stage(spark, tmp_path, monkeypatch, capsys):
+    os.makedirs(tmp_path / "log")
+    get, made = site(str(tmp_path / "log")), web.daily_pages
+    monkeypatch.setattr(web, "daily_pages", lambda: made(get))
+    cli.main(["fetch", "--site", "http://x", "--output", f"{tmp_path}/p", "--first", "2024-05-04", "--last", "2024-05-05"])
+    assert sorted(os.listdir(tmp_path / "p")) == ["2024-05-04.html", "2024-05-05.html"] and "date=2024-05-04" in capsys.readouterr().out
