@@ -332,17 +332,17 @@ def _opened(counts: list[int], rows: list[bytes]) -> list[bytes]:
 
 
 def _dense(seq: np.ndarray) -> bytes:
-    """Numbers of segments, compressed by their low, middle and high bytes: most are small."""
+    """Numbers from 0, compressed by their first to fourth bytes: most are small."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _numbers(dense: bytes) -> np.ndarray:
     import zstandard
 
-    low, middle, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(dense), np.uint8).reshape(3, -1).astype(np.int64)
-    return high << 16 | middle << 8 | low
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(dense), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 class _Chunk:
@@ -405,7 +405,7 @@ def _composed(chunks: DataFrame, paths: tuple[str, str], digest: bool) -> DataFr
         for i, (fit, a, b) in enumerate(zip(good.tolist(), chunk.begin.tolist(), chunk.end.tolist(), strict=True)):
             whole = b";".join([texts[s] for s in chunk.seq[a:b].tolist()]) if fit else b""
             groups.append((hashlib.sha256(whole).hexdigest() if digest else whole.decode()) if fit else "")
-        out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [size.astype(np.int32).tobytes()], [pair.astype(np.int32).tobytes()], [times.tobytes() if (times > 1).any() else b""], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
+        out = [[row["chunk"]], [row["doc_ids"]], [row["counts"]], [row["seq"]], [_dense(size)], [_dense(pair)], [times.tobytes() if (times > 1).any() else b""], [good.tobytes()], [totals.astype(np.int64).tobytes()], [groups], [codes], [holders]]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind, strict=True)], schema=kind)
 
     entries = align_segments(chunks.select("chunk", F.posexplode("segments").alias("number", "segment")).select((F.shiftleft("chunk", _BITS) + F.col("number")).alias("entry"), "segment"), *paths)
@@ -452,8 +452,8 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
         chunk, good = _Chunk(row["counts"], row["seq"]), np.frombuffer(row["good"], bool)
         right = right.sort_by("number")
         n, best = (right.column(c).to_numpy().astype(np.int64) for c in ("n", "best"))
-        start = np.concatenate([[0], np.cumsum(np.frombuffer(row["seg_size"], np.int32), dtype=np.int64)])
-        pair, times = np.frombuffer(row["seg_pair"], np.int32), np.frombuffer(row["seg_times"], np.int64) if row["seg_times"] else 1
+        start = np.concatenate([[0], np.cumsum(_numbers(row["seg_size"]))])
+        pair, times = _numbers(row["seg_pair"]), np.frombuffer(row["seg_times"], np.int64) if row["seg_times"] else 1
 
         def per_segment(of_pair: np.ndarray) -> np.ndarray:
             up = np.concatenate([[0], np.cumsum(times * of_pair[pair])])
