@@ -65,5 +65,5 @@ def test_odd_tables(spark, folder, tmp_path):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= names
