@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -36,3 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` from Parquet in the folder of ``cut``: smaller than a checkpoint, which keeps rows as they are in memory.  Deleted at the end of the session's Python."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pick(df: DataFrame, keys: DataFrame, how: str, on: str = "row", most: int = 1_000_000) -> DataFrame:
+    """Semi or anti join of ``df``, whose rows are large, with the stored table ``keys``: up to ``most`` keys go to all executors, so that ``df`` is not shuffled for them."""
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone
+        pass

@@ -10,7 +10,8 @@ from tavola.functions.rules import first_contained
 from tavola.functions.text import tokens
 from tavola.operators.keymatch import best_keys
 from tavola.operators.lemmas import ranked
-from tavola.operators.lineage import cut
+from tavola.operators.lineage import cut, pick, stored
+from tavola.operators.nearsets import near_pairs
 
 
 def curated_pairs(groups=V.SYNONYMS) -> list[tuple[str, str]]:
@@ -58,32 +59,36 @@ def near_by_prefix(x: DataFrame, y: DataFrame, num: int, also: Column | None = N
     return x.join(y, on if also is None else on & also)
 
 
+def digest_of(tokens: str) -> Column:
+    """``digest`` of a sorted token set, in place of the set where classes are made; tokens have no spaces."""
+    return F.unhex(F.sha2(F.array_join(tokens, " "), 256)).alias("digest")
+
+
+def not_first(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """``row`` of all ``rows`` but the first one, by ``order``, of each ``key``."""
+    first = rows.groupBy(key).agg(F.min(F.struct(order.alias("o"), "row")).getField("row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return rows.select(key, "row").join(first, key).where("row <> _first").select("row")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """Those of ``pairs (a, b)``, each given once, whose ``sets (id, tokens)`` have a similarity of ``num`` thousandths or more."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    some = pick(sets.select("id", "tokens"), stored(ids, "ids"), "left_semi", "id")
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(some.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(1000 * shared >= num * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``a, b`` (a < b): ids of ``sets (id, tokens)``, no two of them equal, with a Jaccard similarity of ``threshold`` or more.
 
-    Prefix filtering: with tokens ordered from the rarest on, similar sets
-    share one of their first ``n - ceil(threshold * n) + 1``; their sizes are
-    within the threshold, and what the sets have from that token on suffices.
-    Only ids, sizes and places are joined on tokens; each pair that is left is
-    then verified once.  Sets so small that no other can be similar are left
-    out first, and with them nearly all common tokens of prefixes.
+    Those of ``near_pairs`` are verified, each once.  Sets so small that no
+    other can be similar are left out first.  ``sets`` are read more than
+    once, so they should be a stored table; ids are integers.
     """
     num = round(threshold * 1000)
-    sets = cut(sets.select("id", "tokens", F.size("tokens").alias("n"))).where(F.col("n") * 1000 >= num * (F.col("n") + 1))
-    long = sets.select("id", "n", F.explode("tokens").alias("t"))
-    freq = long.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")  # a token of one set makes no pair
-    # those of one set come before all others, and where they fill the prefix there is no pair
-    own = long.join(freq, "t").groupBy("id", "n").agg(F.collect_list(F.struct("f", "t")).alias("x"))
-    alone = F.col("n") - F.size("x")
-    most = F.expr(f"n - cast(ceil({num} * n / 1000.0) as int) + 1")
-    own = own.withColumn("alone", alone).where(F.col("alone") < most)
-    parts = own.select("id", "n", "alone", F.posexplode(F.slice(F.array_sort("x"), F.lit(1), most - F.col("alone"))).alias("at", "x"))
-    parts = cut(parts.select("x.t", "id", "n", (F.col("at") + 1 + F.col("alone")).alias("i")))
-    near = near_by_prefix(parts, parts, num, F.col("x.id") < F.col("y.id"))
-    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(1000 * shared >= num * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    sets = sets.select("id", "tokens", F.lit(True).alias("fresh")).where(F.size("tokens") * 1000 >= num * (F.size("tokens") + 1))
+    return verified(stored(near_pairs(sets, num), "pairs"), sets, num)
 
 
 def leaders(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from tavola.operators import menus as M
 from tavola.operators import reports as P
 from tavola.operators import resolve as S
 from tavola.operators import seasonal as T
-from tavola.operators.lineage import cut
+from tavola.operators.lineage import cut, pick, stored
 from tavola.sources import pages as G
 
 QUERIES: dict = {}
@@ -430,7 +430,10 @@ def _sets(spark, d) -> DataFrame:
 @query(f"WITH {_CLASSES}, {_EDGES.format(id='id', rows='ok')} SELECT a, b FROM edge")
 def jaccard_pairs(spark, d):
     """Similar classes of documents, by their least ids; documents of one class have one set of tokens."""
-    return S.similar_pairs(_sets(spark, d).groupBy("tokens").agg(F.min("id").alias("id")))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(X.tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "tokens", S.digest_of("tokens")), "sets")
+    later = stored(S.not_first(sets, "digest", F.struct("id", "row")), "later")
+    return S.similar_pairs(pick(sets, later, "left_anti"))
 
 
 @query(f"WITH {_CLASSES} SELECT sets.id, ok.id AS class_id FROM sets JOIN ok USING (s)")
