@@ -114,18 +114,42 @@ def auto_groups(dishes: DataFrame, threshold: float = 0.85, lemmas: str | None =
 
     Names come by falling ``count``, then by name.  Names with one token set
     share the fate of the first of them; names without a token stay alone.
+    Without ``lemmas`` a name may come in several rows, whose counts add up.
+
+    ``dishes`` are read twice: for their tokens, and for the names that have
+    others like them; only these are sorted, and no other name is shuffled.
     """
     text = F.col("dish_name")
     if lemmas and lemmas in dishes.columns:
         joined = F.array_join(lemmas, " ") if dict(dishes.dtypes)[lemmas].startswith("array") else F.col(lemmas)
         text = F.when(F.coalesce(joined, F.lit("")) != "", joined).otherwise(text)
     named = dishes.groupBy("dish_name").agg(F.max("count").alias("count"), F.min(text).alias("_text")) if lemmas else dishes.withColumn("_text", text)
-    rows = ranked(named.select("dish_name", "count", F.array_sort(tokens(F.col("_text"))).alias("tokens")), "count", "dish_name", "long").where(F.size("tokens") > 0)
-    sets = cut(rows.groupBy("tokens").agg(F.min("rank").alias("id")))
-    joins = leaders(similar_pairs(sets, threshold))
-    head = sets.join(joins, "id", "left").select("tokens", F.coalesce("leader", "id").alias("leader"))
-    own = rows.join(head, "tokens").where("rank <> leader").select("dish_name", "leader")
-    return own.join(rows.select(F.col("rank").alias("leader"), F.col("dish_name").alias("canonical_name")), "leader").select("dish_name", "canonical_name")
+    sets = named.select(F.monotonically_increasing_id().alias("row"), name_key("dish_name"), "count", F.array_sort(tokens(F.col("_text"))).alias("tokens"))
+    sets = stored(sets.select("*", digest_of("tokens")), "names").where(F.size("tokens") > 0)
+    later = stored(not_first(sets, "digest", F.col("row")), "later")
+    edges = stored(similar_pairs(pick(sets, later, "left_anti").select(F.col("row").alias("id"), "tokens"), threshold), "edges")
+    classes = sets.groupBy("digest").agg(F.min("row").alias("id"), (F.min("name") != F.max("name")).alias("many"))
+    return grouped(sets.select("name", "digest", "count"), classes, edges, named.select("dish_name"))
+
+
+def name_key(name: str) -> Column:
+    """``name`` in few bytes."""
+    return F.unhex(F.sha2(name, 256)).alias("name")
+
+
+def grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``dish_name, canonical_name`` from ``rows (name, digest, count)``, their ``classes (digest, id, many)``, ``edges (a, b)`` between the ids of classes, and all ``names (dish_name)``."""
+    linked = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("linked", F.lit(True))
+    some = classes.join(linked, "id", "left").where("many or linked").select("digest", "id")
+    some = stored(rows.join(some, "digest").groupBy("name").agg(F.first("id").alias("id"), F.sum("count").alias("count")), "some")
+    found = pick(names.select("dish_name", name_key("dish_name")), some, "inner", "name").groupBy("dish_name").agg(F.first("id").alias("id"), F.first("count").alias("count"))
+    ranks = stored(ranked(found, "count", "dish_name", "long").select("dish_name", "id", "rank"), "ranks")
+    first = cut(ranks.groupBy("id").agg(F.min("rank").alias("first")))
+    at = lambda c, to: first.select(F.col("id").alias(c), F.col("first").alias(to))
+    lines = edges.join(at("a", "p"), "a").join(at("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    head = first.join(leaders(lines).withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+    own = ranks.join(head, "id").where("rank <> leader").select("dish_name", "leader")
+    return own.join(ranks.select(F.col("rank").alias("leader"), F.col("dish_name").alias("canonical_name")), "leader").select("dish_name", "canonical_name")
 
 
 def resolve(categorized: DataFrame, pairs: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:

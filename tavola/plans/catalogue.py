@@ -430,8 +430,8 @@ def _sets(spark, d) -> DataFrame:
 @query(f"WITH {_CLASSES}, {_EDGES.format(id='id', rows='ok')} SELECT a, b FROM edge")
 def jaccard_pairs(spark, d):
     """Similar classes of documents, by their least ids; documents of one class have one set of tokens."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(X.tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "tokens", S.digest_of("tokens")), "sets")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(X.tokens(F.col("text"))).alias("tokens"))
+    sets = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "tokens", S.digest_of("tokens")), "sets").where(F.size("tokens") > 0)
     later = stored(S.not_first(sets, "digest", F.struct("id", "row")), "later")
     return S.similar_pairs(pick(sets, later, "left_anti"))
 
@@ -449,7 +449,7 @@ _GROUPS = f"sets AS (SELECT s, min(r) AS r FROM toks WHERE len(s) > 0 GROUP BY s
 @query(f"WITH RECURSIVE toks AS (SELECT dish_name, row_number() OVER (ORDER BY c DESC, dish_name) AS r, {_tokens_sql('dish_name')} AS s FROM (SELECT text AS dish_name, count(*) AS c FROM documents WHERE text IS NOT NULL GROUP BY text)), {_GROUPS} SELECT sha256(dish_name) AS name_sha256, sha256(canonical_name) AS canonical_sha256 FROM grp")
 def auto_groups(spark, d):
     """Texts, as names, that join an earlier, similar one."""
-    names = D.dish_count(_t(spark, d, "documents"), "text")
+    names = _t(spark, d, "documents").where("text is not null").select(F.col("text").alias("dish_name"), F.lit(1).cast("long").alias("count"))
     out = S.auto_groups(names, lemmas=None)
     return out.select(F.sha2("dish_name", 256).alias("name_sha256"), F.sha2("canonical_name", 256).alias("canonical_sha256"))
 

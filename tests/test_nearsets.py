@@ -55,3 +55,11 @@ def test_copies_are_one_class(spark, tmp_path):
     rows = [(7, text), (3, " ".join(reversed(text.split()))), (9, text), (5, f"{text} leves"), (1, None), (2, "a")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in entry.queries()["jaccard_pairs"](spark, str(tmp_path)).collect()] == [(3, 5)]
+
+
+def test_names_in_several_rows(spark):
+    """Counts of a name add up, and only names that have others like them are sorted."""
+    a, b, c = ("alma körte szilva barack meggy cseresznye dió mogyoró", "dió alma körte szilva barack meggy cseresznye mogyoró", "alma körte szilva barack meggy cseresznye dió mogyoró mák")
+    rows = [(a, 1), (b, 2), (a, 2), (c, 1), ("más", 5), (None, 4), ("!", 9), (c, 3)]
+    df = spark.createDataFrame(rows, "dish_name string, count long").repartition(3)
+    assert sorted(tuple(r) for r in S.auto_groups(df, lemmas=None).collect()) == sorted([(a, c), (b, c)])
