@@ -1,9 +1,9 @@
 """Groups of similar names, kept up to date as names come in batches.
 
-A folder keeps what pairing needs: the distinct token sets, an order of their
-tokens that never changes, the prefix index in that order, the edges found so
-far, and the names with their counts.  A batch pairs its new sets with the
-index, never old ones with each other; leaders are then found over the stored
+A folder keeps what pairing needs: the distinct token sets, the edges found so
+far, and the names with their counts.  The keys by which sets meet are found in
+each set alone, so they need no table.  A batch pairs its new sets with all,
+never old ones with each other; leaders are then found over the stored
 edges, in the order that the counts have by now.  So the groups equal those of
 one run over all names, whatever order they came in.
 
@@ -14,20 +14,19 @@ committed batches only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.functions.text import tokens
-from tavola.operators.lemmas import ranked
-from tavola.operators.lineage import cut
-from tavola.operators.resolve import leaders, near_by_prefix
+from tavola.operators.lineage import pick, shuffles_freed, stored
+from tavola.operators.nearsets import near_pairs
+from tavola.operators.resolve import grouped, name_key, not_first, verified
 
 _TABLES = {
-    "names": "dish_name string, count long, id string",
-    "sets": "id string, tokens array<string>, n int",
-    "tokens": "t string, generation int, f long",
-    "prefix": "t string, id string, n int, i int",
-    "edges": "x string, y string",
+    "names": "row long, dish_name string, count long, id string",
+    "sets": "row long, id string, tokens array<string>, n int",
+    "prefix": "x long, y long",  # pairs that share a key; the folder has kept its name
+    "edges": "x long, y long",
     "commits": "names long, sets long, edges long",
 }
 
@@ -58,35 +57,29 @@ class NameIndex:
 
     def _write(self, df: DataFrame, table: str, batch: int) -> DataFrame:
         path = f"{self.folder}/{table}/batch={batch}"
-        df.select(*[c.split()[0] for c in _TABLES[table].split(", ")]).write.mode("overwrite").parquet(path)
+        with shuffles_freed(self.spark):
+            df.select(*[c.split()[0] for c in _TABLES[table].split(", ")]).write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(_TABLES[table]).parquet(path)
 
     def add(self, names: DataFrame, batch: int) -> None:
         """Take in ``names (dish_name, count)``; counts of a name add up over batches.  ``batch``: a number over all committed ones, or the last one again."""
         if (done := self.batches()) and batch < done[-1]:
             raise ValueError(f"batch {done[-1]} has been paired with batch {batch} already")
-        sorted_tokens = F.array_sort(tokens(F.col("dish_name")))
-        rows = names.where("dish_name is not null").groupBy("dish_name").agg(F.sum("count").cast("long").alias("count")).withColumn("tokens", sorted_tokens)
-        rows = cut(rows.withColumn("id", F.when(F.size("tokens") > 0, set_id(F.col("tokens")))))
-        self._write(rows, "names", batch)
-
-        found = rows.where("id is not null").select("id", "tokens").dropDuplicates(["id"])
-        sets = self._write(found.join(self._read("sets", batch), "id", "left_anti").withColumn("n", F.size("tokens")), "sets", batch)
-        # tokens that no set had so far come before all others, the rarest of them first
-        long = sets.select("id", "n", F.explode("tokens").alias("t"))
-        known = self._read("tokens", batch)
-        fresh = self._write(long.groupBy("t").agg(F.count("*").alias("f")).join(known, "t", "left_anti").withColumn("generation", F.lit(batch)), "tokens", batch)
-        place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("generation"), "f", "t"))
-        ordered = long.join(known.unionByName(fresh), "t").withColumn("i", place)
-        prefix = self._write(ordered.where(F.expr(f"i <= n - cast(ceil({self.num} * n / 1000.0) as int) + 1")), "prefix", batch)
-
-        old = near_by_prefix(prefix, self._read("prefix", batch), self.num).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-        new = near_by_prefix(prefix, prefix, self.num, F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-        pairs = old.unionByName(new).distinct()
-        every = self._read("sets", batch).unionByName(sets)
-        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x").join(every.select(F.col("id").alias("y"), F.col("tokens").alias("t")), "y")
-        shared = F.size(F.array_intersect("s", "t"))
-        edges = self._write(both.where(1000 * shared >= self.num * (F.size("s") + F.size("t") - shared)), "edges", batch)
+        words = F.array_sort(tokens(F.col("dish_name")))
+        last = self._read("names", batch).agg(F.coalesce(F.max("row") + 1, F.lit(0)).alias("n")).first().n
+        rows = names.where("dish_name is not null").groupBy("dish_name").agg(F.sum("count").cast("long").alias("count")).withColumn("tokens", words)
+        rows = rows.withColumn("id", F.when(F.size("tokens") > 0, set_id(F.col("tokens")))).withColumn("row", F.monotonically_increasing_id() + last)
+        rows = self._write(rows, "names", batch)
+
+        found, old = rows.where("id is not null"), self._read("sets", batch)
+        known = found.select("id", "row").join(old.select("id"), "id", "left_semi").select("row")
+        later = stored(not_first(found, "id", F.col("row")).union(known), "later")
+        sets = self._write(pick(found, later, "left_anti").withColumn("tokens", words).withColumn("n", F.size("tokens")), "sets", batch)
+        every = old.withColumn("fresh", F.lit(False)).unionByName(sets.withColumn("fresh", F.lit(True))).where(F.col("n") * 1000 >= self.num * (F.col("n") + 1))
+        every = every.select(F.col("row").alias("id"), "tokens", "fresh")
+        pairs = self._write(near_pairs(every, self.num).select(F.col("a").alias("x"), F.col("b").alias("y")), "prefix", batch)
+        edges = verified(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), every, self.num)
+        edges = self._write(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), "edges", batch)
         counts = [d.agg(F.count("*").alias(c)) for c, d in (("names", rows), ("sets", sets), ("edges", edges))]
         self._write(counts[0].crossJoin(counts[1]).crossJoin(counts[2]), "commits", batch)  # one row each
 
@@ -96,11 +89,8 @@ class NameIndex:
 
     def groups(self) -> DataFrame:
         """``dish_name, canonical_name`` of names that join an earlier, similar one, by falling count and then by name, as ``auto_groups`` of all names tells."""
-        rows = ranked(self.names(), "count", "dish_name", "long").where("id is not null")
-        sets = cut(rows.groupBy("id").agg(F.min("rank").alias("first")))
-        at = lambda c, to: sets.select(F.col("id").alias(c), F.col("first").alias(to))
-        edges = self._read("edges").join(at("x", "p"), "x").join(at("y", "q"), "y")
-        joins = leaders(edges.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-        head = sets.join(joins.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
-        own = rows.join(head, "id").where("rank <> leader").select("dish_name", "leader")
-        return own.join(rows.select(F.col("rank").alias("leader"), F.col("dish_name").alias("canonical_name")), "leader").select("dish_name", "canonical_name")
+        names = self._read("names").where("id is not null")
+        rows = names.select(name_key("dish_name"), F.col("id").alias("digest"), "count")
+        many = rows.groupBy("digest").agg((F.min("name") != F.max("name")).alias("many"))
+        classes = self._read("sets").select(F.col("row").alias("id"), F.col("id").alias("digest")).join(many, "digest")
+        return grouped(rows, classes, self._read("edges").select(F.col("x").alias("a"), F.col("y").alias("b")), names.select("dish_name"))

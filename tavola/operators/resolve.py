@@ -44,21 +44,6 @@ def token_classes(sets: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("tokens").agg(F.min("id").alias("class_id")), "tokens").select("id", "class_id")
 
 
-def near_by_prefix(x: DataFrame, y: DataFrame, num: int, also: Column | None = None) -> DataFrame:
-    """Rows ``x`` and ``y`` of two prefix indexes ``(t, id, n, i)`` that share a token and whose sizes and places allow a similarity of ``num`` thousandths.
-
-    Sizes lie in bands so wide that similar sets are in one or in neighbouring
-    bands, and the band is part of the key: a common token is one key per
-    band, and sizes that are far apart never meet.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1000.0 / num)) + 1e-9).cast("int") if num < 1000 else F.col("n")
-    x = x.withColumn("band", band).alias("x")
-    y = y.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + F.least("x.i", "y.i")
-    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.n") * 1000 >= num * F.col("y.n")) & (F.col("y.n") * 1000 >= num * F.col("x.n")) & ((1000 + num) * rest >= num * (F.col("x.n") + F.col("y.n")))
-    return x.join(y, on if also is None else on & also)
-
-
 def digest_of(tokens: str) -> Column:
     """``digest`` of a sorted token set, in place of the set where classes are made; tokens have no spaces."""
     return F.unhex(F.sha2(F.array_join(tokens, " "), 256)).alias("digest")
