@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.functions import values as V
+from tavola.session import in_small_batches
 
 ENCODINGS = ("utf-8", "iso-8859-2", "windows-1250")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,20 +89,32 @@ def elements_of(html: str, close_p: bool = False) -> list[tuple[str, str | None,
     return [(tag, src, "".join(text).strip()) for tag, src, text in p.found]
 
 
+_ELEMENT = pa.schema([("path", pa.string()), ("date", pa.string()), ("pos", pa.int32()), ("tag", pa.string()), ("src", pa.string()), ("text", pa.string())])
+
+
+def elements_in_batches(pages: Iterable[tuple], close_p: bool = False, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The elements of ``pages``, in batches that end with the page with which they have over ``most`` characters."""
+    out: tuple[list, ...] = tuple([] for _ in _ELEMENT)
+    held = 0
+    for path, day, raw in pages:
+        for pos, (tag, src, text) in enumerate(elements_of(decode(raw), close_p)):
+            for col, v in zip(out, (path, day, pos, tag, src, text), strict=True):
+                col.append(v)
+            held += 100 + len(path or "") + len(src or "") + len(text)
+        if held > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ELEMENT, strict=True)], schema=_ELEMENT)
+            out, held = tuple([] for _ in _ELEMENT), 0
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ELEMENT, strict=True)], schema=_ELEMENT)
+
+
 def page_elements(pages: DataFrame, close_p: bool = False) -> DataFrame:
     """``path, date, pos, tag, src, text``: the elements of ``pages (path, date, content)``."""
 
     def run(batches):
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for path, day, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for pos, (tag, src, text) in enumerate(elements_of(decode(raw), close_p)):
-                    for col, v in zip(out, (path, day, pos, tag, src, text), strict=True):
-                        col.append(v)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["path", "date", "pos", "tag", "src", "text"])
-
-    return pages.select("path", "date", "content").mapInArrow(run, "path string, date string, pos int, tag string, src string, text string")
+        # a page at a time: as lists all pages of a batch would be in memory twice
+        yield from elements_in_batches((tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows)), close_p)
+
+    return in_small_batches(pages.select("path", "date", "content")).mapInArrow(run, "path string, date string, pos int, tag string, src string, text string")
 
 
 class _Plain(HTMLParser):

@@ -65,3 +65,13 @@ def test_schedule(spark):
     days = spark.createDataFrame([(dt.date(2024, 5, 5),), (dt.date(2024, 5, 6),)], "day date")
     got = sorted(map(tuple, G.weekly_schedule(days).collect()))
     assert len(got) == 7 and got[0] == ("2024-04-29", "hetfo") and got[-1] == ("2024-05-05", "vasarnap")
+
+
+def test_pages_leave_python_in_small_batches(spark):
+    """Elements of large pages are not held for a whole batch of pages."""
+    df = spark.range(40, numPartitions=1).selectExpr("cast(id AS string) AS path", "'2024-05-05' AS date", "cast(concat('<p>', repeat('ab ', 5000), '</p><p>x') AS binary) AS content")
+    sizes = []
+    for b in G.elements_in_batches(((str(i), "2024-05-05", f"<p>{'ab ' * 5000}</p><p>x") for i in range(40)), True, 60_000):
+        sizes.append(b.num_rows)
+    assert sum(sizes) == 80 and max(sizes) <= 10
+    assert G.page_elements(df, True).count() == 80
